@@ -322,7 +322,13 @@ def context_long(bars: DataFrame, samples: DataFrame, version: str = "context_v1
 
     def build(d: DataFrame, w: WindowSpec) -> DataFrame:
         prev = F.lag("close").over(w)
-        d = d.withColumns({"_lr": ln_pos(ratio("close", prev)), "_rl": ln_pos(ratio("high", "low"))})
+        d = d.withColumns(
+            {
+                "_lr": ln_pos(ratio("close", prev)),
+                "_rl": ln_pos(ratio("high", "low")),
+                "_closes": F.collect_list("close").over(rows(w, -99, 0)),
+            }
+        )
         cols: dict[str, Column] = {}
         for k in (20, 50, 100):
             f, inner = rows(w, 1 - k, 0), rows(w, 2 - k, 0)
@@ -339,7 +345,7 @@ def context_long(bars: DataFrame, samples: DataFrame, version: str = "context_v1
                 "pre_simple_ret": F.when(first > 0, F.col("close") / first - 1.0),
                 "realized_vol": F.stddev_pop("_lr").over(inner),
                 "downside_vol": F.coalesce(F.stddev_pop(down).over(inner), F.lit(0.0)),
-                "max_drawdown": _fold_drawdown(F.collect_list("close").over(f)),
+                "max_drawdown": F.when(F.col("_wanted"), _fold_drawdown(F.slice("_closes", -k, k))),
                 "range_mean": F.avg("_rl").over(f),
                 "range_zscore": z("_rl"),
                 "volume_zscore": z("volume"),
@@ -356,7 +362,10 @@ def context_long(bars: DataFrame, samples: DataFrame, version: str = "context_v1
             cols[f"_c{k}"] = F.when(full, whole).otherwise(F.slice(whole, 1, 2))
         return d.withColumns(cols)
 
-    wide = over_chunks(bars, build, back=101, size=size).select(*KEYS, "bar_index", "_c20", "_c50", "_c100")
+    # the drawdown fold runs only on bars that carry a sample
+    marks = samples.select(*KEYS, "bar_index", F.lit(True).alias("_wanted")).distinct()
+    marked = bars.join(marks, [*KEYS, "bar_index"], "left").fillna(False, ["_wanted"])
+    wide = over_chunks(marked, build, back=101, size=size).where("_wanted").select(*KEYS, "bar_index", "_c20", "_c50", "_c100")
     joined = samples.join(wide, [*KEYS, "bar_index"])
     sets = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_c{k}").alias("c")) for k in (20, 50, 100)])
     long = joined.withColumn("_s", F.explode(sets)).withColumn("_p", F.explode("_s.c"))

@@ -13,27 +13,27 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .chunks import CHUNK
 
-BINS = 1024
-STRIDE = 32
+BINS = 512
 
 
 def _edges(df: DataFrame, groups: Sequence[str], value: str, bins: int) -> DataFrame:
-    probs = ", ".join(f"{k / bins!r}D" for k in range(1, bins))
+    # one foldable text literal instead of a thousand numbers keeps the plan small
+    probs = ",".join(repr(k / bins) for k in range(1, bins))
     return df.groupBy(*groups).agg(
-        F.expr(f"array_sort(array_distinct(percentile_approx({value}, array({probs}), 10000)))").alias("_edges"),
+        F.expr(f"array_sort(array_distinct(percentile_approx({value}, cast(split('{probs}', ',') as array<double>), 10000)))").alias("_edges"),
         F.count(value).alias("_total"),
     )
 
 
-def _bin(value: str) -> Column:
-    """Number of edges below the value, found in two strides."""
-    blocks = F.expr(
-        f"size(filter(sequence(1, greatest(1, cast(size(_edges) / {STRIDE} as int))), "
-        f"k -> coalesce(try_element_at(_edges, k * {STRIDE}) < {value}, false)))"
-    )
-    return blocks * STRIDE + F.size(
-        F.filter(F.slice("_edges", blocks * STRIDE + 1, STRIDE), lambda e: e < F.col(value))
-    )
+def _with_bin(df: DataFrame, value: str, name: str = "_bin") -> DataFrame:
+    """Number of edges below the value, by a binary search of nine compiled steps."""
+    df = df.withColumn(name, F.lit(0))
+    step = BINS // 2
+    while step:
+        below = F.coalesce(F.get("_edges", F.col(name) + (step - 1)) < F.col(value), F.lit(False))
+        df = df.withColumn(name, F.when(below, F.col(name) + step).otherwise(F.col(name)))
+        step //= 2
+    return df
 
 
 def _joined(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -53,7 +53,7 @@ def exact_quantiles(
     groups = list(groups)
     data = df.select(*groups, F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
     edges = _edges(data, groups, "_x", bins)
-    binned = _joined(data, edges, groups).withColumn("_bin", _bin("_x")).drop("_edges")
+    binned = _with_bin(_joined(data, edges, groups), "_x").drop("_edges")
     offsets = _bin_offsets(binned.select(*groups, "_bin"), groups, F.lit(1))
     total = Window.partitionBy(*groups)
     wanted = F.array(
@@ -75,12 +75,12 @@ def exact_quantiles(
         .select(*groups, "_bin", "_off", "_want")
     )
     ties = (
-        binned.join(needed.select(*groups, "_bin"), [*groups, "_bin"], "left_semi")
+        binned.join(needed, [*groups, "_bin"])
         .groupBy(*groups, "_bin", "_x")
-        .agg(F.count(F.lit(1)).alias("_c"))
+        .agg(F.count(F.lit(1)).alias("_c"), F.first("_off").alias("_off"), F.first("_want").alias("_want"))
     )
     inside = Window.partitionBy(*groups, "_bin").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    placed = ties.join(needed, [*groups, "_bin"]).withColumn("_end", F.col("_off") + F.sum("_c").over(inside))
+    placed = ties.withColumn("_end", F.col("_off") + F.sum("_c").over(inside))
     hit = placed.select(*groups, "_x", (F.col("_end") - F.col("_c")).alias("_start"), "_end", F.explode("_want").alias("_w"))
     lo, hi = F.floor("_w.pos"), F.ceil("_w.pos")
 
@@ -105,7 +105,7 @@ def value_positions(df: DataFrame, groups: Sequence[str], value: str, bins: int
         df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n_equal"))
     )
     edges = _edges(ties, groups, value, bins)
-    binned = _joined(ties, edges.drop("_total"), groups).withColumn("_bin", _bin(value)).drop("_edges")
+    binned = _with_bin(_joined(ties, edges.drop("_total"), groups), value).drop("_edges")
     offsets = _bin_offsets(binned, groups, F.col("n_equal")).withColumn(
         "n_total", F.sum("_n").over(Window.partitionBy(*groups))
     )
@@ -143,7 +143,7 @@ def with_first_rank(
     groups = list(groups)
     data = df.where(F.col(value).isNotNull())
     edges = _edges(data, groups, value, bins).drop("_total")
-    binned = _joined(data, edges, groups).withColumn("_k", _bin(value))
+    binned = _with_bin(_joined(data, edges, groups), value, "_k")
     heavy = F.coalesce(F.try_element_at("_edges", F.col("_k") + 1) == F.col(value), F.lit(False))
     binned = binned.withColumn("_s", F.when(heavy, F.floor(F.col(tie) / size) + 1).otherwise(-1)).withColumn(
         "_bin", F.struct("_k", "_s")

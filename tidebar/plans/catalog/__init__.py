@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("bars", "series")
+FAMILIES = ("bars", "series", "features", "labels")
 
 
 def load() -> None:

@@ -11,7 +11,7 @@ Plan = Callable[[SparkSession, str], DataFrame]
 PLANS: dict[str, Plan] = {}
 ORACLES: dict[str, str] = {}
 
-DIGITS = 6
+DIGITS = 7
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
