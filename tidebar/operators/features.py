@@ -317,6 +317,13 @@ def premium_stats(premium: DataFrame, size: int = CHUNK) -> DataFrame:
     return over_chunks(premium, build, back=50, keys=["feed"], index="pos", size=size)
 
 
+# Metric names of the context feature table.
+CONTEXT_METRICS = (
+    "pre_log_ret", "pre_simple_ret", "realized_vol", "downside_vol", "range_mean", "range_zscore", "volume_zscore",
+    "trend_slope", "distance_to_high", "distance_to_low",
+)
+
+
 def context_long(bars: DataFrame, samples: DataFrame, version: str = "context_v1", size: int = CHUNK) -> DataFrame:
     """Context features in long form for lookbacks of 20, 50 and 100 bars including the current one."""
 
@@ -332,7 +339,6 @@ def context_long(bars: DataFrame, samples: DataFrame, version: str = "context_v1
         cols: dict[str, Column] = {}
         for k in (20, 50, 100):
             f, inner = rows(w, 1 - k, 0), rows(w, 2 - k, 0)
-            full = F.col("bar_index") + 1 >= k
             first = F.lag("close", k - 1).over(w)
             down = F.when(F.col("_lr") < 0, F.col("_lr"))
 
@@ -345,7 +351,6 @@ def context_long(bars: DataFrame, samples: DataFrame, version: str = "context_v1
                 "pre_simple_ret": F.when(first > 0, F.col("close") / first - 1.0),
                 "realized_vol": F.stddev_pop("_lr").over(inner),
                 "downside_vol": F.coalesce(F.stddev_pop(down).over(inner), F.lit(0.0)),
-                "max_drawdown": F.when(F.col("_wanted"), _fold_drawdown(F.slice("_closes", -k, k))),
                 "range_mean": F.avg("_rl").over(f),
                 "range_zscore": z("_rl"),
                 "volume_zscore": z("volume"),
@@ -353,29 +358,37 @@ def context_long(bars: DataFrame, samples: DataFrame, version: str = "context_v1
                 "distance_to_high": change(F.max("high").over(f), "close"),
                 "distance_to_low": change(F.min("low").over(f), "close"),
             }
-            pairs = [
-                F.struct(F.lit("available_bars").alias("n"), F.least(F.col("bar_index") + 1, F.lit(k)).cast("double").alias("v")),
-                F.struct(F.lit("insufficient_history").alias("n"), flag(~full).alias("v")),
-                *[F.struct(F.lit(n).alias("n"), F.when(full, v).alias("v")) for n, v in values.items()],
-            ]
-            whole = F.array(*pairs)
-            cols[f"_c{k}"] = F.when(full, whole).otherwise(F.slice(whole, 1, 2))
+            cols |= {f"_{k}_{n}": v for n, v in values.items()}
         return d.withColumns(cols)
 
-    # the drawdown fold runs only on bars that carry a sample
+    # samples are marked first: only their bars leave the window stage and pay for the folds below
     marks = samples.select(*KEYS, "bar_index", F.lit(True).alias("_wanted")).distinct()
-    marked = bars.join(marks, [*KEYS, "bar_index"], "left").fillna(False, ["_wanted"])
-    wide = over_chunks(marked, build, back=101, size=size).where("_wanted").select(*KEYS, "bar_index", "_c20", "_c50", "_c100")
-    joined = samples.join(wide, [*KEYS, "bar_index"])
-    sets = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_c{k}").alias("c")) for k in (20, 50, 100)])
-    long = joined.withColumn("_s", F.explode(sets)).withColumn("_p", F.explode("_s.c"))
+    marked = bars.select(*KEYS, "bar_index", "high", "low", "close", "volume").join(marks, [*KEYS, "bar_index"], "left")
+    wide = over_chunks(marked, build, back=101, size=size).where("_wanted")
+    pairs = []
+    for k in (20, 50, 100):
+        full = F.col("bar_index") + 1 >= k
+        named = {
+            "available_bars": F.least(F.col("bar_index") + 1, F.lit(k)).cast("double"),
+            "insufficient_history": flag(~full),
+            **{n: F.when(full, F.col(f"_{k}_{n}")) for n in CONTEXT_METRICS},
+            "max_drawdown": F.when(full, _fold_drawdown(F.slice("_closes", -k, k))),
+        }
+        for n, v in named.items():
+            always = n in ("available_bars", "insufficient_history")
+            pairs.append(
+                F.struct(F.lit(k).alias("k"), F.lit(n).alias("n"), v.alias("v"), (F.lit(True) if always else full).alias("on"))
+            )
+    long = samples.join(
+        wide.select(*KEYS, "bar_index", F.explode(F.array(*pairs)).alias("_p")).where("_p.on"), [*KEYS, "bar_index"]
+    )
     return long.select(
-        digest_id("ctx_", "sample_id", F.lit(version), F.col("_s.k"), F.col("_p.n")).alias("context_feature_id"),
+        digest_id("ctx_", "sample_id", F.lit(version), F.col("_p.k"), F.col("_p.n")).alias("context_feature_id"),
         "sample_id",
         F.lit(version).alias("feature_version"),
         *KEYS,
         "bar_index",
-        F.col("_s.k").alias("lookback_bars"),
+        F.col("_p.k").alias("lookback_bars"),
         F.col("_p.n").alias("feature_name"),
         finite("_p.v").alias("feature_value"),
     )

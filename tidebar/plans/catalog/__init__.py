@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("bars", "series", "features", "labels")
+FAMILIES = ("bars", "series", "features", "labels", "study")
 
 
 def load() -> None:

@@ -40,8 +40,7 @@ def touch_sql(tp: float, sl: float) -> str:
     return f"CASE WHEN len(p) > 0 THEN CASE WHEN coalesce({goal}, 0) > 0 AND (coalesce({stop}, 0) = 0 OR {goal} < {stop}) THEN 1.0 ELSE 0.0 END END"
 
 
-LAB_SQL = f"""
-{BARS_SQL}, {EVENTS_SQL},
+LAB_BODY = f"""
 fw AS (
   SELECT symbol, "interval", bar_index, close AS base, {", ".join(f"lead(close, {k}) OVER ({W}) AS c{k}" for k in (1, 3, 5, 10, 20))},
     {", ".join(f"max(high) OVER {frame(1, k)} AS h{k}, min(low) OVER {frame(1, k)} AS l{k}" for k in (5, 10, 20))},
@@ -62,6 +61,7 @@ evlab AS (
     CASE WHEN known THEN CASE WHEN mfe_10 >= 0.01 AND mae_10 > -0.005 THEN 1.0 ELSE 0.0 END END AS clean_trade,
     CASE WHEN known THEN CASE WHEN mfe_10 < 0.005 AND mae_10 <= -0.01 THEN 1.0 ELSE 0.0 END END AS trap_move
   FROM (SELECT *, fwd_ret_10_side_adj AS f, fwd_ret_10_side_adj IS NOT NULL AND mfe_10 IS NOT NULL AND mae_10 IS NOT NULL AS known FROM l1))"""
+LAB_SQL = f"{BARS_SQL}, {EVENTS_SQL}, {LAB_BODY}"
 
 
 @query("event_labels", f'SELECT event_id, {", ".join(LAB.split())} FROM evlab', LAB_SQL, LAB)

@@ -22,6 +22,8 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, memory: str = "12g
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
         .config("spark.sql.streaming.noDataMicroBatches.enabled", "true")
         .getOrCreate()
     )
