@@ -98,14 +98,21 @@ def exact_quantiles(
     return picked.groupBy(*groups).agg(*outs)
 
 
-def value_positions(df: DataFrame, groups: Sequence[str], value: str, bins: int = BINS) -> DataFrame:
-    """Per distinct value: ``n_below`` rows before it, ``n_equal`` rows, ``n_total`` rows of its group."""
+def value_positions(
+    df: DataFrame, groups: Sequence[str], value: str, bins: int = BINS, weight: str | None = None,
+    edge_groups: Sequence[str] | None = None,
+) -> DataFrame:
+    """Per distinct value: ``n_below`` rows before it, ``n_equal`` rows, ``n_total`` rows of its group.
+
+    With ``weight`` a row counts that many times. ``edge_groups`` may name fewer
+    columns for the bin edges when many groups share one value range.
+    """
     groups = list(groups)
-    ties = (
-        df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n_equal"))
-    )
-    edges = _edges(ties, groups, value, bins)
-    binned = _with_bin(_joined(ties, edges.drop("_total"), groups), value).drop("_edges")
+    count = F.sum(weight) if weight else F.count(F.lit(1))
+    ties = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(count.alias("n_equal"))
+    shared = list(edge_groups) if edge_groups is not None else groups
+    edges = _edges(ties, shared, value, bins)
+    binned = _with_bin(_joined(ties, edges.drop("_total"), shared), value).drop("_edges")
     offsets = _bin_offsets(binned, groups, F.col("n_equal")).withColumn(
         "n_total", F.sum("_n").over(Window.partitionBy(*groups))
     )

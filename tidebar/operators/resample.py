@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalar import flag
 from .quantiles import exact_quantiles
@@ -112,8 +112,7 @@ def subsample_baseline(
 ) -> DataFrame:
     """Distribution of mean, median and win rate of samples drawn without replacement.
 
-    Drawing ``k`` of ``n`` takes the k smallest md5 keys. A cut on the key value that
-    keeps about k rows (with room for chance) comes first, so only those rows are ranked.
+    Drawing ``k`` of ``n`` takes the k smallest md5 keys.
     """
     groups = list(groups)
     known = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).alias("_v"), F.col(row).cast("string").alias("_row"))
@@ -145,20 +144,23 @@ def subsample_baseline(
 def _smallest(reps: DataFrame, groups: list[str]) -> DataFrame:
     """Rows holding the ``_k`` smallest ``_h`` of each group.
 
-    Keys are uniform, so 4,096 equal slices of the key space give exact counts; whole
-    slices below the cut are kept and only the slice that crosses it is ordered.
+    Keys are uniform, so counts over 4,096 equal slices of the key space say where the
+    cut falls. Whole slices below it are kept as they are; only the slice that crosses
+    it is ordered, and rows above it are dropped before anything is shuffled.
     """
-    from pyspark.sql import Window
-
     sliced = reps.withColumn("_slice", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
-    counts = sliced.groupBy(*groups, "_slice").agg(F.count(F.lit(1)).alias("_c"))
+    counts = sliced.groupBy(*groups, "_slice").agg(F.count(F.lit(1)).alias("_c"), F.max("_k").alias("_take"))
     before = Window.partitionBy(*groups).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_below", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-    placed = sliced.join(counts, [*groups, "_slice"]).where(F.col("_below") < F.col("_k"))
-    inside = Window.partitionBy(*groups, "_slice").orderBy("_h", "_row")
-    return placed.withColumn("_at", F.col("_below") + F.row_number().over(inside)).where(F.col("_at") <= F.col("_k")).drop(
-        "_slice", "_c", "_below", "_at", "_h"
-    )
+    cuts = counts.where(F.col("_below") < F.col("_take")).groupBy(*groups).agg(
+        F.max("_slice").alias("_cut"), F.max(F.struct("_slice", (F.col("_take") - F.col("_below")).alias("need"))).alias("_m")
+    ).select(*groups, "_cut", F.col("_m.need").alias("_need"))
+    near = sliced.join(cuts, groups).where(F.col("_slice") <= F.col("_cut"))
+    whole = near.where(F.col("_slice") < F.col("_cut"))
+    edge = near.where(F.col("_slice") == F.col("_cut")).withColumn(
+        "_at", F.row_number().over(Window.partitionBy(*groups).orderBy("_h", "_row"))
+    ).where(F.col("_at") <= F.col("_need")).drop("_at")
+    return whole.unionByName(edge).drop("_slice", "_cut", "_need", "_h")
 
 
 def against_baseline(events: DataFrame, baseline: DataFrame, groups: Sequence[str], value: str) -> DataFrame:

@@ -239,10 +239,12 @@ def interval_bins(long: DataFrame, groups: Sequence[str], value: str, bins: int,
         edges = exact_quantiles(long, groups, value, [k / bins for k in range(bins + 1)], names)
     edges = edges.select(*groups, F.array_distinct(F.array(*names)).alias("_edges"))
     out = long.where(F.col(value).isNotNull()).join(edges, groups)
+    return _place(out.where(F.size("_edges") > 1), value)
+
+
+def _place(df: DataFrame, value: str) -> DataFrame:
     inner = F.slice("_edges", F.lit(2), F.greatest(F.size("_edges") - 2, F.lit(0)))
-    out = out.where(F.size("_edges") > 1).withColumn(
-        "bin_id", F.size(F.filter(inner, lambda e: e < F.col(value))) + 1
-    )
+    out = df.withColumn("bin_id", F.size(F.filter(inner, lambda e: e < F.col(value))) + 1)
     return out.withColumns(
         {"bin_left": F.element_at("_edges", F.col("bin_id")), "bin_right": F.element_at("_edges", F.col("bin_id") + 1)}
     ).drop("_edges")
@@ -265,8 +267,7 @@ def feature_bins(samples: DataFrame, features: Sequence[str], label: str, bins:
 def factor_bins(samples: DataFrame, factors: Sequence[str], label: str, key: str, bins: int = 5, draws: int = 200) -> DataFrame:
     """Factor binning with bootstrap intervals, monotonicity and the missing rate.
 
-    A factor with fewer distinct values than bins gets fewer bins, so its quantile
-    edges differ; factors are grouped by their bin count and each count runs once.
+    A factor with fewer distinct values than bins gets fewer bins.
     """
     long = unpivot(samples, [key, label], factors, "factor", "value")
     whole = long.groupBy("factor").agg(
@@ -282,11 +283,14 @@ def factor_bins(samples: DataFrame, factors: Sequence[str], label: str, key: str
         )
         .where((F.col("_rows") >= 2) & (F.col("_kinds") >= 2))
     )
-    sized = known.join(shape.select("factor", "_bins"), "factor")
-    binned = None
+    # one quantile pass serves every possible bin count
+    cuts = sorted({k / b for b in range(2, max(2, bins) + 1) for k in range(b + 1)})
+    edges = exact_quantiles(known, ["factor"], "value", cuts, [f"_p{i}" for i in range(len(cuts))]).join(shape, "factor")
+    pick = F.lit(None).cast("array<double>")
     for b in range(2, max(2, bins) + 1):
-        part = interval_bins(sized.where(F.col("_bins") == b), ["factor"], "value", b)
-        binned = part if binned is None else binned.unionByName(part)
+        pick = F.when(F.col("_bins") == b, F.array(*[F.col(f"_p{cuts.index(k / b)}") for k in range(b + 1)])).otherwise(pick)
+    edges = edges.select("factor", F.array_distinct(pick).alias("_edges")).where(F.size("_edges") > 1)
+    binned = _place(known.join(edges, "factor"), "value")
     groups = ["factor", "bin_id"]
     v = F.col(label)
     base = binned.groupBy(*groups).agg(

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("bars", "series", "features", "labels", "study")
+FAMILIES = ("bars", "series", "features", "labels", "study", "factors")
 
 
 def load() -> None:
