@@ -454,14 +454,14 @@ def drawdown(returns: DataFrame, size: int = CHUNK) -> DataFrame:
 
 
 def max_drawdown(values: DataFrame, value: str, keys: Sequence[str] = KEYS, index: str = "bar_index", size: int = CHUNK) -> DataFrame:
-    """Deepest fall of ``value`` below its running peak, with peak and trough positions."""
+    """Deepest relative fall of ``value`` below its running peak, with peak and trough positions."""
     peak = F.struct(F.col(value).alias("v"), (-F.col(index)).alias("i"))
     run = running(values.where(F.col(value).isNotNull()), {"_peak": ("max", peak)}, keys=keys, index=index, size=size)
-    dd = F.col("_peak.v") - F.col(value)
+    dd = F.when(F.col("_peak.v") > 0, 1.0 - F.col(value) / F.col("_peak.v")).otherwise(0.0)
     worst = F.struct(dd.alias("dd"), (-F.col(index)).alias("e"), F.col("_peak.i").alias("s"))
     return run.groupBy(*keys).agg(F.max(worst).alias("_w")).select(
         *keys,
-        F.col("_w.dd").alias("max_drawdown"),
+        (F.col("_w.dd") * -100.0).alias("max_drawdown_pct"),
         F.when(F.col("_w.dd") > 0, -F.col("_w.s")).alias("drawdown_start"),
         F.when(F.col("_w.dd") > 0, -F.col("_w.e")).alias("drawdown_end"),
     )

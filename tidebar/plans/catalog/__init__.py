@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("bars", "series", "features", "labels", "study", "factors")
+FAMILIES = ("bars", "series", "features", "labels", "study", "factors", "trades")
 
 
 def load() -> None:

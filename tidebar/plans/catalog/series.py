@@ -312,11 +312,11 @@ def _(spark, sf):
     f"""WITH p AS (SELECT *, max(close) OVER ({W}) AS pk FROM bars),
      s AS (SELECT *, max(CASE WHEN close = pk AND coalesce(prevpk < pk, true) THEN bar_index END) OVER ({W}) AS st
            FROM (SELECT *, lag(pk) OVER ({W}) AS prevpk FROM p)),
-     m AS (SELECT *, row_number() OVER (PARTITION BY symbol, "interval" ORDER BY pk - close DESC, bar_index) AS rn FROM s)
-    SELECT symbol, "interval", pk - close AS max_drawdown, CASE WHEN pk > close THEN st END AS drawdown_start,
+     m AS (SELECT *, row_number() OVER (PARTITION BY symbol, "interval" ORDER BY 1 - close / pk DESC, bar_index) AS rn FROM s)
+    SELECT symbol, "interval", (close / pk - 1) * 100 AS max_drawdown_pct, CASE WHEN pk > close THEN st END AS drawdown_start,
            CASE WHEN pk > close THEN bar_index END AS drawdown_end FROM m WHERE rn = 1""",
     BARS_SQL,
-    "max_drawdown",
+    "max_drawdown_pct",
 )
 def _(spark, sf):
     return series.max_drawdown(bars(spark, sf), "close")
