@@ -32,7 +32,7 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(
             day.alias("d"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"
         ).alias("seq"),
-        (F.lit(900.0) + F.col("l_extendedprice") / 1000.0).alias("price"),
+        ((F.lit(90_000) + F.floor(F.col("l_extendedprice") / 10.0)) / 100.0).alias("price"),
         F.col("l_quantity").alias("size"),
     )
 
@@ -66,7 +66,7 @@ ticks AS (
          {BASE_MS} + (date_diff('day', DATE '1995-01-01', cast(l_shipdate AS DATE)) // 3) * {STEP} AS open_time_ms,
          date_diff('day', DATE '1995-01-01', cast(l_shipdate AS DATE)) AS d,
          l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
-         900.0::DOUBLE + l_extendedprice / 1000.0::DOUBLE AS price, l_quantity AS size
+         (90000 + floor(l_extendedprice / 10.0::DOUBLE)) / 100.0::DOUBLE AS price, l_quantity AS size
   FROM lineitem),
 bars AS (
   SELECT *, row_number() OVER (PARTITION BY symbol, "interval" ORDER BY open_time_ms) - 1 AS bar_index

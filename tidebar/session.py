@@ -62,3 +62,11 @@ def stored(spark: SparkSession, source: str, name: str, build: Callable[[], Data
         build().write.mode("overwrite").parquet(path)
         _TABLES[slot] = path
     return spark.read.parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write an intermediate result once to the shared checkpoint folder and read it from there."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
+    return df.checkpoint()
