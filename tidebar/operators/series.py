@@ -329,14 +329,14 @@ def liquidity_summary(proxy: DataFrame) -> DataFrame:
 
 
 def rolling_correlation(pairs: DataFrame, window: int, keys: Sequence[str], index: str, size: int = CHUNK) -> DataFrame:
-    """Rolling Pearson correlation of columns ``x`` and ``y``, full windows only."""
+    """Rolling Pearson correlation of columns ``x`` and ``y`` from two joint values on."""
 
     def build(d: DataFrame, w: WindowSpec) -> DataFrame:
         f = rows(w, 1 - window, 0)
         both = F.col("x").isNotNull() & F.col("y").isNotNull()
         return d.withColumn(
             "rolling_corr",
-            F.when(F.count(F.when(both, 1)).over(f) == window, finite(F.corr("x", "y").over(f))),
+            F.when(F.count(F.when(both, 1)).over(f) >= 2, finite(F.corr("x", "y").over(f))),
         )
 
     return over_chunks(pairs, build, back=window, keys=keys, index=index, size=size)

@@ -235,7 +235,7 @@ def _(spark, sf):
 
 @query(
     "rolling_correlation",
-    """SELECT a.symbol, a.open_time_ms, CASE WHEN count(*) OVER f = 30 THEN CASE WHEN isnan(corr(a.log_return, b.log_return) OVER f) THEN NULL ELSE corr(a.log_return, b.log_return) OVER f END END AS rolling_corr
+    """SELECT a.symbol, a.open_time_ms, CASE WHEN count(*) OVER f >= 2 THEN CASE WHEN isnan(corr(a.log_return, b.log_return) OVER f) THEN NULL ELSE corr(a.log_return, b.log_return) OVER f END END AS rolling_corr
     FROM rets a JOIN rets b ON b.symbol = 'S000000' AND a.open_time_ms = b.open_time_ms
     WHERE a.log_return IS NOT NULL AND b.log_return IS NOT NULL AND a.symbol <> 'S000000'
     WINDOW f AS (PARTITION BY a.symbol ORDER BY a.open_time_ms ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)""",
