@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("bars", "series", "features", "labels", "study", "factors", "trades", "diagnostics")
+FAMILIES = ("bars", "series", "features", "labels", "study", "factors", "trades", "diagnostics", "entry")
 
 
 def load() -> None:
