@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalar import digest_id, finite, ratio
+from ..session import cut
 from .quantiles import exact_quantiles
 from .study import rank_bins, unpivot
 
@@ -104,15 +105,16 @@ def diverse(scores: DataFrame, names: Sequence[str], k: int, tie: str, key: str
     At most eight rows are picked from buckets, so the distance to them is computed
     against one short array.
     """
+    scores = cut(scores)
     bucketed = scores
     for i, n in enumerate(names[:3]):
         half = rank_bins(scores.select(key, tie, finite(n).alias("_x")), [], "_x", tie, 2).select(key, F.col("bin_id").alias(f"_b{i}"))
         bucketed = bucketed.join(half, key, "left")
     parts = [F.concat(F.lit(f"{n}:"), F.coalesce(F.col(f"_b{i}").cast("string"), F.lit("<NA>"))) for i, n in enumerate(names[:3])]
-    df = bucketed.withColumn("diversity_bucket", F.concat_ws("|", *parts)).drop("_b0", "_b1", "_b2")
+    df = cut(bucketed.withColumn("diversity_bucket", F.concat_ws("|", *parts)).drop("_b0", "_b1", "_b2"))
     s = F.desc_nulls_last("human_entry_similarity")
     best = df.withColumn("_r", F.row_number().over(Window.partitionBy("diversity_bucket").orderBy(s, key))).where("_r = 1").drop("_r")
-    picked = best.orderBy(s, key).limit(k)
+    picked = cut(best.orderBy(s, key).limit(k))
     q = exact_quantiles(unpivot(scores, [], names), ["feature"], "value", [0.25, 0.5, 0.75], ["_a", "_m", "_b"])
     dev = unpivot(scores, [], names).groupBy("feature").agg(F.stddev_pop("value").alias("_s"))
     iqr = F.col("_b") - F.col("_a")
@@ -122,6 +124,8 @@ def diverse(scores: DataFrame, names: Sequence[str], k: int, tie: str, key: str
         *[F.max(F.when(F.col("feature") == n, F.col("s"))).alias(f"_s{i}") for i, n in enumerate(names)],
     )
 
+    one = cut(one)
+
     def vector(d: DataFrame) -> DataFrame:
         v = F.array(*[(F.coalesce(finite(n), F.col(f"_m{i}")) - F.col(f"_m{i}")) / F.col(f"_s{i}") for i, n in enumerate(names)])
         return d.crossJoin(F.broadcast(one)).withColumn("_v", v)

@@ -184,7 +184,7 @@ def rank_bins(long: DataFrame, groups: Sequence[str], value: str, tie: str, q: i
     groups = list(groups)
     ranked = with_first_rank(long, groups, value, tie)
     kinds = ranked.groupBy(*groups, value).agg(F.lit(1).alias("_u")).groupBy(*groups).agg(F.count(F.lit(1)).alias("_kinds"))
-    out = ranked.join(kinds, groups)
+    out = ranked.join(kinds, groups) if groups else ranked.crossJoin(F.broadcast(kinds))
     bins = F.greatest(F.lit(1), F.least(F.lit(q), F.col("_kinds")))
     at = F.ceil((F.col("rank_no") - 1) * bins / F.greatest(F.col("rank_total") - 1, F.lit(1))) - 1
     return out.withColumn("bin_id", F.when(bins <= 1, 0).otherwise(F.greatest(F.lit(0), at)).cast("long")).drop(
