@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from importlib import import_module
 
-from pyspark.sql import DataFrame, SparkSession
+import corpus_pipeline
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidebar.llm import fingerprints, pii
+from tidebar.llm import decontam, fingerprints, html_text, license_scan, ngram_join, packing, pii, token_files, toxicity, warc
 from tidebar.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,13 +17,48 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"), license_scan.default_templates(spark))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.flagged(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.Digest().apply(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(table(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), packing.word_count(F.col("text")))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OPERATORS = (op1_fingerprints, op2_license_scan, op3_toxicity, op4_warc, op5_html_text, op6_token_counts, op7_pii, op8_ngram_join, op9_packing, op10_decontamination)
+
+
 def queries() -> dict[str, Query]:
-    own = {f.__name__: f for f in (op1_fingerprints, op7_pii)}
-    return own
+    return {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
 
 
 def oracles() -> dict[str, str]:

@@ -59,7 +59,7 @@ def signatures(elements: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """All signatures of a set of mixed 64-bit elements."""
     n = len(elements)
     own = int(np.searchsorted(edges, n, "right")) - 1
-    instances = [own] + [own + 1] * (n * MIN_DEN // MIN_NUM >= edges[own + 1])
+    instances = [own] + [own + 1] * int(n * MIN_DEN // MIN_NUM >= edges[own + 1])
     out = []
     for j in instances:
         k = differences(int(edges[j + 1]) - 1)

@@ -116,6 +116,15 @@ class Model:
     def score(self, total: np.ndarray, count: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(total / np.maximum(count, 1) + self.bias, -60, 60)))
 
+    def of_block(self, at: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The score of each text of a block."""
+        n = len(at) - 1
+        total, count = np.zeros(n), np.zeros(n, np.int64)
+        for doc, bucket in _steps(at, codes):
+            total += np.bincount(doc, weights=self.weights[bucket], minlength=n)
+            count += np.bincount(doc, minlength=n)
+        return self.score(total, count)
+
 
 def fit(rows: list, seed: int = 5) -> Model:
     """rows: (label, buckets, counts), a bounded sample in a fixed order."""
@@ -179,17 +188,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float64), model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = shared.value
-        own = Model(weights, bias)
+        own = Model(*shared.value)
         for batch in batches:
             ids = batch.column(0)
             for first, at, codes in _blocks(batch.column(1).to_pylist()):
-                n = len(at) - 1
-                total, count = np.zeros(n), np.zeros(n, np.int64)
-                for doc, bucket in _steps(at, codes):
-                    total += np.bincount(doc, weights=weights[bucket], minlength=n)
-                    count += np.bincount(doc, minlength=n)
-                yield pa.RecordBatch.from_arrays([ids[first : first + n], pa.array(own.score(total, count))], names=[id_col, "score"])
+                yield pa.RecordBatch.from_arrays([ids[first : first + len(at) - 1], pa.array(own.of_block(at, codes))], names=[id_col, "score"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind.simpleString()}, score double")
 
@@ -198,3 +201,17 @@ def flagged(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """(id, held_out, score, predicted)."""
     scored = score(docs, model, id_col, text_col)
     return scored.select(id_col, F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def drop_flagged(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, that score below the threshold; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float64), model.bias))
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*shared.value)
+        for batch in batches:
+            keep = [own.of_block(at, codes) < threshold for _, at, codes in _blocks(batch.column(place).to_pylist())]
+            yield batch.filter(pa.array(np.concatenate(keep))) if keep else batch
+
+    return docs.mapInArrow(run, docs.schema)

@@ -172,7 +172,7 @@ def archive(pages: DataFrame, folder: str | None = None, id_col: str = "page_id"
     folder = folder or fresh_folder(pages.sparkSession, "warc")
     html = F.coalesce(F.col(html_col), F.lit(""))
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).cast("long").alias("length"))
-    refs = resolve(own, min_bytes)
-    same = own.page_id.eqNullSafe(refs.page_id) & (own.digest == refs.digest)
-    placed = own.join(refs, same, "left").select(own.page_id, "url", "html", own.digest, "refers_to")
+    refs = resolve(own, min_bytes).toDF("ref_page", "ref_digest", "refers_to")
+    same = F.col("page_id").eqNullSafe(F.col("ref_page")) & (F.col("digest") == F.col("ref_digest"))
+    placed = own.join(refs, same, "left").drop("ref_page", "ref_digest")
     return read_archives(write_archives(placed, folder), folder, payloads=False).drop("payload")
