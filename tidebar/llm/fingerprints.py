@@ -3,7 +3,7 @@
 Each five-word shingle is hashed once; eight bits of the hash choose one of 256 bins and
 the rest is its value there. A bin keeps its least value. Empty bins borrow by optimal
 densification: bin i looks at a fixed random sequence of bins and takes the first that is
-filled, the same sequence in every document. The sequence is eight probes and then, for
+filled, the same sequence in every document; what it stores is that value hashed with i. The sequence is eight probes and then, for
 the few bins that are still empty, the filled bin of least hashed rank, which is the
 first of a random order of all bins. Four low-order bits of each bin are stored, packed
 into sixteen longs; likeness subtracts the share of bins that agree by chance.
@@ -72,15 +72,21 @@ def fingerprint(text: Column, words: int = WORDS) -> Column:
     filled = lambda c: c.bitwiseAND(F.lit(_VALUE)) != _VALUE
 
     def densify(b: Column) -> Column:
+        # a borrowed value is hashed with the bin it fills, so that bins of one donor don't agree by chance all at once
+        lent = lambda c, i: low(F.xxhash64(c, i))
+
         def fill(own: Column, kept: Column) -> Column:
             def rest(i: Column) -> Column:
-                ranked = F.transform(kept, lambda c: F.xxhash64(bin_of(c), i).bitwiseAND(F.lit(~_LOW)).bitwiseOR(low(c)))
+                ranked = F.transform(kept, lambda c: F.xxhash64(bin_of(c), i).bitwiseAND(F.lit(~_LOW)).bitwiseOR(lent(c, i)))
                 return low(F.array_min(ranked))
 
-            probes = lambda i: [F.get(own, F.get(_longs(t, "int"), i)) for t in _PROBE]
-            return F.transform(own, lambda v, i: F.coalesce(v, *probes(i), rest(i), F.lit(0).cast("long")))
+            probes = lambda i: F.coalesce(*[F.get(own, F.get(_longs(t, "int"), i)) for t in _PROBE])
+            return F.transform(own, lambda v, i: F.coalesce(low(v), lent_or_none(probes(i), i), rest(i), F.lit(0).cast("long")))
+
+        def lent_or_none(c: Column, i: Column) -> Column:
+            return let(c, lambda d: F.when(d.isNotNull(), lent(d, i)))
 
-        own = F.transform(b, lambda c: F.when(filled(c), low(c)))
+        own = F.transform(b, lambda c: F.when(filled(c), c))
         return let(own, lambda o: let(F.filter(b, filled), lambda k: fill(o, k)))
 
     def pack(d: Column) -> Column:
