@@ -14,9 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidebar.llm import decontam, ngram_join, packing, pii, toxicity
-from tidebar.llm.common import table
-from tidebar.llm.warc import fresh_folder
-from tidebar.session import cut
+from tidebar.llm.common import fresh_folder, saved, table
 
 # ids to drop go to all tasks only below this many
 GONE_ROWS = 500_000
@@ -32,7 +30,7 @@ def keep_one_of_alike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """One document of each group of linked documents: the least id; documents without words link
     with nothing and stay, and so do rows without an id.
     """
-    gone = cut(ngram_join.join_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct())
+    gone = saved(ngram_join.join_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct())
     if gone.count() <= GONE_ROWS:
         gone = F.broadcast(gone)
     kept = docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")

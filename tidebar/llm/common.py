@@ -2,15 +2,33 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidebar.session import checkpoint_root
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's address below the shared checkpoint folder."""
+    return f"{checkpoint_root(spark)}/tidebar-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Write a result to the shared folder and read it from there.
+
+    Unlike a checkpoint, the table read again has the size of its files, so that joins of
+    many such cuts are planned by what they hold.
+    """
+    df.write.parquet(path := fresh_folder(df.sparkSession, name))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind ``value`` once; without this, Catalyst may put its expression into a lambda that runs per element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

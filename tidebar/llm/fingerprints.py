@@ -22,8 +22,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidebar.llm.common import let
-from tidebar.session import cut
+from tidebar.llm.common import let, saved
 
 BINS = 256
 BITS = 4
@@ -129,7 +128,7 @@ def neighbours(keyed: DataFrame) -> DataFrame:
     """
     key = F.struct(*KEY)
     narrow = keyed.groupBy(*KEY).agg(F.max(F.length("text")).alias("n"))
-    line = cut(narrow.repartitionByRange(*KEY).withColumn("part", F.spark_partition_id()))
+    line = saved(narrow.repartitionByRange(*KEY).withColumn("part", F.spark_partition_id()))
     ends = line.groupBy("part").agg(F.min(key).alias("first"), F.max(F.struct(*KEY, "n")).alias("last"))
     order = Window.orderBy("part")  # one row per range
     whole = Window.partitionBy()
@@ -147,7 +146,7 @@ def neighbours(keyed: DataFrame) -> DataFrame:
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edited text, whose last quarter comes from the next document."""
     keyed = _keyed(docs, id_col, text_col)
-    plan = cut(neighbours(keyed))
+    plan = saved(neighbours(keyed))
     placed = keyed.join(plan, [*KEY])
     quarter = lambda n: F.floor(n / 4).cast("int")
     heads = placed.select(*[F.col(f"prev.{k}").alias(k) for k in KEY], F.substr("text", F.lit(1), quarter(F.col("prev.n"))).alias("head"))
@@ -155,7 +154,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     edited = F.concat(F.substr("text", F.lit(1), F.col("n") - quarter(F.col("n"))), F.col("head"))
     both = placed.join(heads, [*KEY]).select(*KEY, "next", "n", "text", edited.alias("edited"))
     done = both.select(*KEY, "next", F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fp"), fingerprint(F.col("edited")).alias("fp_edited"))
-    done = cut(done)
+    done = saved(done)
     following = done.select(*[F.col(k).alias(f"next_{k}") for k in KEY], F.col("fp").alias("fp_next")).groupBy(*[f"next_{k}" for k in KEY]).agg(F.first("fp_next").alias("fp_next"))
     out = done.select("*", *[F.col(f"next.{k}").alias(f"next_{k}") for k in KEY]).join(following, [f"next_{k}" for k in KEY])
     return out.select(F.when(F.col("k0"), F.col("k1")).alias(id_col), "n_chars", "edited_sha256", as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("fp_edited")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("fp_edited")).alias("near_edited"), likeness(F.col("fp"), F.col("fp_next")).alias("near_next"))

@@ -27,9 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tidebar.llm.common import saved
 from tidebar.llm.graph import components
 from tidebar.llm.words import block_words, mix, text_grams
-from tidebar.session import cut
 
 WORDS = 3
 MIN_NUM, MIN_DEN = 90, 100
@@ -153,12 +153,12 @@ def _groups(base: DataFrame) -> DataFrame:
     heavy = sample.orderBy(F.desc("count"), "sig").limit(HEAVY_TOP).select("sig", F.lit(True).alias("heavy"))
     salt = F.when(F.col("heavy"), F.pmod(F.xxhash64("sid"), F.lit(SALTS))).otherwise(-1).cast("int")
     placed = rows.join(F.broadcast(heavy), "sig", "left").select("sig", salt.alias("salt"), "sid")  # at most HEAVY_TOP rows
-    runs = cut(placed.repartition("sig", "salt").sortWithinPartitions("sig", "salt", "sid").mapInArrow(_runs, "sig long, salt int, head long, sid long"))
+    runs = saved(placed.repartition("sig", "salt").sortWithinPartitions("sig", "salt", "sid").mapInArrow(_runs, "sig long, salt int, head long, sid long"))
     tops = runs.where("salt >= 0").select("sig", F.col("head").alias("sid"))
     members = runs.select("sig", "sid").unionByName(runs.where("salt < 0").select("sig", F.col("head").alias("sid"))).unionByName(tops).distinct()
     shape = members.groupBy("sig").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("sid")).alias("print"), F.bit_xor(F.xxhash64(F.lit(1), "sid")).alias("print2"))
     one = shape.where("size > 1").groupBy("size", "print", "print2").agg(F.min("sig").alias("sig")).select("sig")
-    return cut(members.join(one, "sig"))
+    return saved(members.join(one, "sig"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def _labelled(groups: DataFrame, links: DataFrame) -> DataFrame:
     comp = components(links)
     out = groups.join(comp, groups.sid == comp.node, "left").select("sig", "sid", F.coalesce("label", "sid").alias("comp"))
     mixed = out.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("sig")
-    return cut(out.join(mixed, "sig"))
+    return saved(out.join(mixed, "sig"))
 
 
 def _linked(groups: DataFrame, sets: DataFrame) -> DataFrame:
@@ -186,8 +186,8 @@ def _linked(groups: DataFrame, sets: DataFrame) -> DataFrame:
         # each member meets one head of its group, another one in each round
         heads = state.groupBy("sig").agg(F.min(F.struct(F.xxhash64("comp", F.lit(r)).alias("o"), F.xxhash64("sid", F.lit(r)).alias("p"), "sid", "comp")).alias("h"))
         met = state.join(heads, "sig").where("comp != h.comp").select(F.least("sid", "h.sid").alias("a"), F.greatest("sid", "h.sid").alias("b")).distinct()
-        met = cut(met if tried is None else met.join(tried, ["a", "b"], "left_anti"))
-        found = cut(_verified(met, sets))
+        met = saved(met if tried is None else met.join(tried, ["a", "b"], "left_anti"))
+        found = saved(_verified(met, sets))
         tried = met if tried is None else tried.unionByName(met)
         links = found if links is None else links.unionByName(found)
         state = _labelled(groups, links)
@@ -197,23 +197,23 @@ def _linked(groups: DataFrame, sets: DataFrame) -> DataFrame:
     x = state.select("sig", F.col("sid").alias("a"), F.col("comp").alias("ca"))
     y = state.select("sig", F.col("sid").alias("b"), F.col("comp").alias("cb"))
     rest = x.join(y, "sig").where("a < b and ca != cb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    return links.unionByName(_verified(cut(rest), sets))
+    return links.unionByName(_verified(saved(rest), sets))
 
 
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its set's size and the least id reachable by links."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     plain = docs.select(F.col(id_col).cast("long").alias("key"), F.xxhash64(text).alias("tkey"), text.alias("text"))
-    base = cut(plain.mapInArrow(_signed, "key long, tkey long, sid long, n long, sigs array<long>"))
+    base = saved(plain.mapInArrow(_signed, "key long, tkey long, sid long, n long, sigs array<long>"))
     groups = _groups(base)
     # the row that stands for a set: its least id, then its least text hash
     own = base.where("sid is not null").groupBy("sid").agg(F.min("key").alias("least"), F.count("*").alias("copies"), F.min(F.struct(F.coalesce("key", F.lit(-(1 << 63)).cast("long")).alias("k"), "tkey")).alias("row"))
-    own = cut(own)
-    wanted = cut(own.join(groups.select("sid").distinct(), "sid").select("sid", "row.k", F.col("row.tkey").alias("tkey")))
+    own = saved(own)
+    wanted = saved(own.join(groups.select("sid").distinct(), "sid").select("sid", "row.k", F.col("row.tkey").alias("tkey")))
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     picked = plain.withColumn("k", F.coalesce("key", F.lit(-(1 << 63)).cast("long"))).join(wanted, ["k", "tkey"]).select("sid", "text")
-    sets = cut(picked.mapInArrow(_grams, "sid long, grams array<long>").dropDuplicates(["sid"]))
+    sets = saved(picked.mapInArrow(_grams, "sid long, grams array<long>").dropDuplicates(["sid"]))
     labels = components(_linked(groups, sets))
     named = labels.join(own, labels.node == own.sid).select("sid", "label", "least")
     roots = named.groupBy("label").agg(F.min("least").alias("root"))

@@ -18,7 +18,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidebar.session import cut
+from tidebar.llm.common import saved
+
 
 BUCKETS = 16
 BUDGET = 1 << 16
@@ -74,7 +75,7 @@ def histogram_bounds(lengths: DataFrame, buckets: int = BUCKETS) -> list[int]:
 
 def pack(docs: DataFrame, length: Column, id_col: str = "doc_id", buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """One row per row of ``docs``: id, length, bucket and its padded length, batch in the bucket and slot in the batch."""
-    lengths = cut(docs.select(F.col(id_col).alias("id"), length.cast("long").alias("length")).withColumn("line", F.monotonically_increasing_id()))
+    lengths = saved(docs.select(F.col(id_col).alias("id"), length.cast("long").alias("length")).withColumn("line", F.monotonically_increasing_id()))
     bounds = histogram_bounds(lengths, buckets)
     edges = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<bigint>")
     bucket = F.size(F.filter(edges, lambda b: b < F.col("length")))

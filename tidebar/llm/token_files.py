@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidebar.llm.warc import fresh_folder, open_folder
-from tidebar.session import cut
+from tidebar.llm.common import fresh_folder, saved
+from tidebar.llm.warc import open_folder
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # fixed values of that vocabulary: how it splits text, and the id that it leaves free
@@ -82,7 +82,7 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
     fs, root = open_folder(folder)
     fs.create_dir(root, recursive=True)
     kind = docs.schema[id_col].dataType.simpleString()
-    return cut(docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(_writer(folder, vocabulary), f"path string, first long, upto long, ids array<{kind}>"))
+    return saved(docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(_writer(folder, vocabulary), f"path string, first long, upto long, ids array<{kind}>"))
 
 
 def _scanner(folder: str, end: int, dtype: str):
@@ -103,7 +103,7 @@ def scan_token_files(files: DataFrame, folder: str, end: int = END, dtype: str =
     """(path, ordinal, start, n_tokens, ended) of each document of the files (path, ids)."""
     blocks = files.where("ids > 0").select("path", "ids", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("ids") - 1) / block_ids))).alias("block"))
     blocks = blocks.select("path", "block", (F.col("block") * block_ids).alias("start"), F.least(F.col("ids") - F.col("block") * block_ids, F.lit(block_ids).cast("long")).alias("count"))
-    found = cut(blocks.repartition("path", "block").mapInArrow(_scanner(folder, end, dtype), "path string, block long, upto long, ends array<long>"))
+    found = saved(blocks.repartition("path", "block").mapInArrow(_scanner(folder, end, dtype), "path string, block long, upto long, ends array<long>"))
     line = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     # one narrow row a block: separators before it, and where the document begins that reaches into it
     before = found.select(

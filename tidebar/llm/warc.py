@@ -16,7 +16,6 @@ writes no archive and gives an empty result; columns other than the three are ig
 from __future__ import annotations
 
 import hashlib
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +24,7 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidebar.session import checkpoint_root, cut
+from tidebar.llm.common import fresh_folder, saved
 
 MIN_BYTES = 100
 # a file is closed beyond this, so that reading has tasks of bounded size
@@ -40,10 +39,6 @@ def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def fresh_folder(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def resolve(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """(page_id, digest, refers_to) of each page that revisits another; payloads don't move."""
     heads = pages.select("page_id", "digest", "length").where(F.col("length") >= min_bytes)
@@ -98,7 +93,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     fs, root = open_folder(folder)
     fs.create_dir(root, recursive=True)
     rows = pages.select("page_id", "url", "html", "digest", "refers_to")
-    return cut(rows.mapInArrow(_writer(folder), "path string, bytes long, records long"))
+    return saved(rows.mapInArrow(_writer(folder), "path string, bytes long, records long"))
 
 
 def _members(stream) -> Iterator[bytes]:
