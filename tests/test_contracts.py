@@ -30,6 +30,42 @@ def test_guards_stop_outcome_columns():
         rules.rule_column([{"column": "nope", "op": "<=", "value": 1}], ["a"], missing="error")
 
 
+def test_contracts_differ():
+    names = ["fwd_x", "post_x", "mfe_10", "mfe_20", "label_tags_json", "last_exit_reason", "Exit_bar", "pre_ret_10"]
+    assert guards.forbidden(names, "dataset") == ["fwd_x", "post_x", "mfe_10"]
+    assert guards.forbidden(names, "factor") == ["fwd_x", "post_x", "mfe_10", "mfe_20", "label_tags_json", "Exit_bar"]
+    assert guards.forbidden([*names, " "], "context") == [*names[:-1], " "]
+
+
+def test_rules_with_close_thresholds_stay_apart(spark):
+    rows = [(i, i * 1e-9, float(i % 3 - 1)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k long, x double, y double")
+    conds = rules.thresholds(df, ["x"])
+    got = rules.candidates(conds, 1).collect()
+    assert len(got) == 8 == len({r.rule_id for r in got})
+    sums = rules.rule_sums(df, conds, rules.candidates(conds, 1), ["x"], "y", [])
+    assert sorted(r.n for r in sums.collect()) == [200, 200, 400, 400, 600, 600, 800, 800]
+
+
+def test_slow_decay_and_long_symbols(spark):
+    from pyspark.sql import functions as F
+
+    from tidebar.functions.scalar import zero_padded
+    from tidebar.operators import series
+
+    n = 40_000
+    rows = [("S", "1h", i, (0.01 if i % 7 else 0.05) * (-1) ** i) for i in range(n)]
+    df = spark.createDataFrame(rows, "symbol string, interval string, bar_index long, log_return double")
+    got = {r.bar_index: r.ewma_variance for r in series.ewma_variance(df, 0.9999, size=1 << 14).where("bar_index % 1000 = 999").collect()}
+    v = None
+    for _, _, i, r in rows:
+        v = r * r if v is None else 0.9999 * v + 0.0001 * r * r
+        if i in got:
+            assert abs(got[i] / v - 1) < 1e-9
+    texts = spark.range(3).select(zero_padded(F.col("id") * 999_999 + 7, 6).alias("t")).collect()
+    assert [r.t for r in texts] == ["000007", "1000006", "2000005"]
+
+
 def test_fill_and_fees(spark):
     df = spark.createDataFrame([(100.0, 103.2, "LONG")], "a double, b double, side string")
     a = trades.filled_price(F.col("a"), F.col("side"), True, 10.0)

@@ -28,6 +28,12 @@ UTC8_MS = 8 * 3_600_000
 DAY_MS = 86_400_000
 
 
+def zero_padded(n: Column, width: int) -> Column:
+    """A number with leading zeros up to ``width`` digits; longer ones are kept whole."""
+    text = n.cast("string")
+    return F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit("0"))
+
+
 def c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 

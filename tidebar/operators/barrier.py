@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalar import digest_id
-from .chunks import CHUNK, KEYS, over_chunks
+from .chunks import CHUNK, KEYS, over_chunks, running
 from .labels import path
 from .overlap import greedy_non_overlapping
 from .trades import outcome_columns
@@ -17,9 +17,7 @@ DEFAULTS = {"param_id": "base", "stop_pct": 1.5, "take_pct": 3.0, "max_hold": 20
 
 
 def param_array(params: Sequence[dict]) -> Column:
-    """Parameter sets as a literal array; a sweep holds at most 300 of them."""
-    if len(params) > 300:
-        raise ValueError("at most 300 parameter sets per sweep")
+    """Parameter sets of a sweep as a literal array."""
     full = [{**DEFAULTS, **p} for p in params]
     return F.array(
         *[
@@ -108,6 +106,31 @@ def marked_equity(trades: DataFrame, bars: DataFrame, notional: float = 1000.0)
     )
 
 
+def equity_table(trades: DataFrame, bars: DataFrame, initial: float = 10_000.0, notional: float = 1000.0, fee_bps: float = 4.0, size: int = CHUNK) -> DataFrame:
+    """Cash, open profit after fees, equity, peak and drawdown at the close of every bar of each series and parameter set.
+
+    A held trade is marked as if it were closed there, with both fees; on its exit bar its
+    profit moves to cash. ``trades`` may carry ``funding_pnl_quote``.
+    """
+    paid = F.coalesce("funding_pnl_quote", F.lit(0.0)) if "funding_pnl_quote" in trades.columns else F.lit(0.0)
+    held = trades.select("param_id", *KEYS, "side", "entry_price", "net_pnl_quote", paid.alias("_paid"), "exit_bar_index", F.explode(F.sequence("entry_bar_index", "exit_bar_index")).alias("bar_index"))
+    px = bars.select(*KEYS, "bar_index", "close")
+    done = F.col("bar_index") == F.col("exit_bar_index")
+    mark = outcome_columns(F.col("entry_price"), F.col("close"), F.col("side"), notional, fee_bps)["net_pnl_quote"]
+    marks = held.join(px, [*KEYS, "bar_index"]).groupBy("param_id", *KEYS, "bar_index").agg(
+        F.sum(F.when(done, 0.0).otherwise(mark + F.col("_paid"))).alias("unrealized_pnl"),
+        F.sum(F.when(done, F.col("net_pnl_quote") + F.col("_paid")).otherwise(0.0)).alias("realized_net_pnl"),
+    )
+    sets = trades.select("param_id", *KEYS).distinct()
+    line = px.join(sets, list(KEYS)).join(marks, ["param_id", *KEYS, "bar_index"], "left").fillna(0.0, ["unrealized_pnl", "realized_net_pnl"])
+    keys = ["param_id", *KEYS]
+    cash = running(line, {"_won": ("sum", F.col("realized_net_pnl"))}, keys=keys, size=size).withColumn("cash_equity", F.lit(initial) + F.col("_won"))
+    cash = cash.withColumn("equity_after", F.col("cash_equity") + F.col("unrealized_pnl"))
+    top = running(cash, {"_top": ("max", F.col("equity_after"))}, keys=keys, size=size).withColumn("peak_equity", F.greatest(F.lit(initial), F.col("_top")))
+    down = F.when(F.col("peak_equity") != 0, (F.col("equity_after") / F.col("peak_equity") - 1.0) * 100.0).otherwise(0.0)
+    return top.select(*keys, "bar_index", "cash_equity", "unrealized_pnl", "realized_net_pnl", "equity_after", "peak_equity", down.alias("drawdown_pct"))
+
+
 def funding(trades: DataFrame, rates: DataFrame, notional: float = 1000.0) -> DataFrame:
     """Funding profit of each trade: the rate of every bar after entry up to the exit, against a long position.
 

@@ -265,10 +265,9 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long.groupBy("s.column", "s.value").agg(F.count(F.lit(1)).alias("n")).toDF("column", "value", "n")
 
 
-def duplicate_ids(df: DataFrame, key: str, limit: int = 50) -> DataFrame:
-    return (
-        df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), key).limit(limit)
-    )
+def duplicate_ids(df: DataFrame, key: str) -> DataFrame:
+    """Every id that occurs more than once, with its count."""
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 def key_differences(sides: dict[str, DataFrame], key: str) -> DataFrame:

@@ -6,19 +6,30 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-# Name parts that mark outcomes, and columns that only index rows.
-FORBIDDEN_PARTS = ("fwd", "post_", "future", "mfe", "mae", "hit_tp", "hit_sl", "pnl", "exit", "label")
-FORBIDDEN_EXACT = ("profit", "win", "net_return_pct", "final_return_pct")
-INDEX_COLUMNS = ("event_id", "trade_id", "session_id", "symbol", "interval", "bar_index", "event_type", "side", "open_time_ms")
+# What each contract calls an outcome: beginnings, whole names, parts of a name.
+CONTRACTS = {
+    "dataset": {"starts": ("fwd_", "post_"), "names": ("mfe_10", "mae_10", "manual_trade_final_return_pct", "manual_trade_holding_bars"), "parts": ()},
+    "factor": {"starts": ("fwd_", "mfe", "mae", "post_", "future", "manual_trade_final", "exit", "pnl", "label"), "names": (), "parts": ()},
+    "context": {"starts": (), "names": (), "parts": ("fwd", "post", "future", "mfe", "mae", "hit_tp", "hit_sl", "pnl", "exit", "label")},
+}
+# Columns that only index rows.
+INDEX_COLUMNS = ("event_id", "trade_id", "session_id", "symbol", "interval", "bar_index", "event_type", "side", "open_time_ms", "event_time_bjt", "created_at")
 
 
-def forbidden(columns: Iterable[str]) -> list[str]:
-    return [c for c in columns if c.lower() in FORBIDDEN_EXACT or any(p in c.lower() for p in FORBIDDEN_PARTS)]
+def forbidden(columns: Iterable[str], contract: str = "factor") -> list[str]:
+    """The names that a contract doesn't allow as inputs; the dataset contract minds case, the others don't."""
+    rule = CONTRACTS[contract]
 
+    def bad(name: str) -> bool:
+        name = name if contract == "dataset" else name.strip().lower()
+        return name.startswith(rule["starts"]) or name in rule["names"] or any(p in name for p in rule["parts"])
 
-def require_safe(columns: Iterable[str]) -> None:
+    return [c for c in columns if bad(c) or (contract == "context" and not c.strip())]
+
+
+def require_safe(columns: Iterable[str], contract: str = "factor") -> None:
     """Raise before any job when a name looks like an outcome."""
-    bad = forbidden(columns)
+    bad = forbidden(columns, contract)
     if bad:
         raise ValueError(f"outcome columns are not allowed as inputs: {', '.join(bad)}")
 
@@ -27,23 +38,34 @@ def leakage_audit(columns: Sequence[str], registry: Mapping[str, bool]) -> dict:
     """Forbidden, disallowed and unregistered columns against a registry of name -> allowed as input."""
     used = [c for c in columns if c not in INDEX_COLUMNS]
     out = {
-        "forbidden": forbidden(used),
+        "forbidden": forbidden(columns),
         "disallowed": [c for c in used if registry.get(c) is False],
-        "unregistered": [c for c in used if c not in registry],
+        "unregistered": sorted(c for c in used if c not in registry),
     }
     return {**out, "status": "FAIL" if out["forbidden"] or out["disallowed"] else "PASS"}
 
 
+def leakage_table(df: DataFrame, registry: DataFrame) -> DataFrame:
+    """One row per column of ``df`` with its finding; ``registry`` has feature_name and model_input_allowed."""
+    bad = forbidden(df.columns)
+    known = df.sparkSession.createDataFrame([(c, c in bad, c in INDEX_COLUMNS) for c in df.columns], "column string, outcome boolean, indexes boolean")
+    allowed = registry.groupBy(F.col("feature_name").alias("column")).agg(F.min("model_input_allowed").alias("allowed"))
+    finding = (
+        F.when(F.col("outcome"), "forbidden").when(F.col("indexes"), "index").when(F.col("allowed").isNull(), "unregistered").when(~F.col("allowed"), "disallowed").otherwise("allowed")
+    )
+    return known.join(allowed, "column", "left").select("column", finding.alias("finding"))
+
+
 def split_columns(df: DataFrame, key: str = "event_id") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Feature, label and index tables of one wide table, each with the key."""
-    bad = set(forbidden(df.columns))
+    """Feature, label and index tables of one wide table, each with the key, by the dataset contract."""
+    bad = set(forbidden(df.columns, "dataset"))
     index = [c for c in df.columns if c in INDEX_COLUMNS]
     feats = [c for c in df.columns if c not in bad and c not in index]
     return df.select(key, *feats), df.select(key, *[c for c in df.columns if c in bad]), df.select(*index)
 
 
-def drop_outcomes(df: DataFrame) -> DataFrame:
-    return df.drop(*forbidden(df.columns))
+def drop_outcomes(df: DataFrame, contract: str = "factor") -> DataFrame:
+    return df.drop(*forbidden(df.columns, contract))
 
 
 # Annotation vocabularies.

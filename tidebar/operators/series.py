@@ -9,7 +9,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from ..functions.scalar import INTERVAL_MS, change, finite, flag, interval_ms, ln_pos, null, ratio
+from ..functions.scalar import INTERVAL_MS, change, finite, flag, interval_ms, ln_pos, null, ratio, zero_padded
 from .chunks import CHUNK, KEYS, over_chunks, rows, running
 from .quantiles import exact_quantiles
 
@@ -130,37 +130,36 @@ def annualized(returns: DataFrame, periods: int) -> DataFrame:
     )
 
 
-EWMA_BLOCK = 128
-EWMA_TERMS = 9
-
-
 def ewma_variance(returns: DataFrame, decay: float = 0.94, size: int = CHUNK) -> DataFrame:
     """Exponentially weighted variance of ``log_return``, seeded by the first square.
 
-    Blocks of 128 rows keep the weights in range; the carry into a block needs only
-    the block ends before it, whose weight falls below 1e-28 after nine blocks.
-    Rows without a return keep the last value.
+    A block is as long as the weights in it stay in range (1e-30), or one chunk for slow
+    decays; the carry into a block takes the block ends before it as far back as their
+    weight is above 1e-30, however many those are. Rows without a return keep the last value.
     """
+    if not 0.0 < decay < 1.0:
+        raise ValueError("decay must lie between 0 and 1")
+    fade = 30 * math.log(10) / -math.log(decay)
+    block = int(min(CHUNK, max(16, math.ceil(fade))))
+    terms = math.ceil(fade / block) + 1
     known = running(
         returns, {"_seen": ("count", F.col("log_return"))}, size=size
     )
     sq = F.col("log_return") * F.col("log_return")
     k = F.col("_seen") - 1
     base = (
-        known.withColumns({"_blk": F.when(k >= 0, F.floor(k / EWMA_BLOCK)), "_pos": F.when(k >= 0, k % EWMA_BLOCK)})
+        known.withColumns({"_blk": F.when(k >= 0, F.floor(k / block)), "_pos": F.when(k >= 0, k % block)})
         .withColumn("_w", F.when(F.col("log_return").isNotNull(), F.when(k == 0, sq).otherwise(sq * (1 - decay))))
     )
     ends = base.where(F.col("_w").isNotNull()).groupBy(*KEYS, "_blk").agg(
-        F.sum(F.col("_w") * F.pow(F.lit(decay), F.lit(EWMA_BLOCK - 1) - F.col("_pos"))).alias("_own")
+        F.sum(F.col("_w") * F.pow(F.lit(decay), F.lit(block - 1) - F.col("_pos"))).alias("_own")
     )
 
     def carry(d: DataFrame, w: WindowSpec) -> DataFrame:
-        total = F.lit(0.0)
-        for m in range(1, EWMA_TERMS + 1):
-            total = total + F.coalesce(F.lag("_own", m).over(w), F.lit(0.0)) * decay ** (EWMA_BLOCK * (m - 1))
-        return d.withColumn("_in", total)
+        ends = F.collect_list("_own").over(rows(w, -terms, -1))
+        return d.withColumn("_in", F.aggregate(ends, F.lit(0.0), lambda acc, x: acc * decay**block + x))
 
-    carried = over_chunks(ends, carry, back=EWMA_TERMS, index="_blk", size=size).drop("_own")
+    carried = over_chunks(ends, carry, back=terms, index="_blk", size=size).drop("_own")
     inside = Window.partitionBy(*KEYS, "_blk").orderBy("bar_index").rowsBetween(Window.unboundedPreceding, 0)
     scaled = F.sum(F.col("_w") * F.pow(F.lit(decay), -F.col("_pos"))).over(inside)
     joined = base.join(carried, [*KEYS, "_blk"], "left")
@@ -506,7 +505,7 @@ def episodes(obs: DataFrame, max_gap: int = 3, size: int = CHUNK) -> DataFrame:
     out = running(cut, {"_ep": ("sum", F.col("_new"))}, index="_pos", size=size)
     return out.withColumn(
         "episode_id", F.concat(
-            F.concat_ws("|", "symbol", "interval"), F.lit("|ep_"), F.lpad((F.col("_ep") + 1).cast("string"), 6, "0")
+            F.concat_ws("|", "symbol", "interval"), F.lit("|ep_"), zero_padded(F.col("_ep") + 1, 6)
         )
     ).drop("_new", "_ep", "_pos")
 

@@ -22,7 +22,7 @@ def entry_rows(spark, sf):
     def build():
         b = bars(spark, sf)
         out = features.entry_feature_rows(b, universe.entry_universe(b))
-        return out.withColumn("obs_no", F.substring("symbol", 2, 6).cast("long") * 10_000_000 + F.col("bar_index"))
+        return out.withColumn("obs_no", F.substr("symbol", F.lit(2)).cast("long") * 1_000_000_000 + F.col("bar_index"))
 
     return stored(spark, sf, "entry_rows", build)
 
@@ -33,7 +33,7 @@ def notes(spark, sf):
 
 FEAT_SQL = f"""
 {RET_SQL}, {UNIVERSE_SQL}, {ENTRY_SQL},
-ef AS (SELECT u.observation_id, u.symbol, u."interval", u.bar_index, u.decision_bar_index, cast(substr(u.symbol, 2, 6) AS BIGINT) * 10000000 + u.bar_index AS obs_no, {", ".join("f." + n for n in NAMES)}
+ef AS (SELECT u.observation_id, u.symbol, u."interval", u.bar_index, u.decision_bar_index, cast(substr(u.symbol, 2) AS BIGINT) * 1000000000 + u.bar_index AS obs_no, {", ".join("f." + n for n in NAMES)}
        FROM uni u JOIN entryfeat f ON u.symbol = f.symbol AND u."interval" = f."interval" AND u.decision_bar_index = f.bar_index),
 note AS (SELECT observation_id, {WORD} AS human_decision FROM ef WHERE bar_index % 5 <> 4),
 en AS (SELECT * FROM ef JOIN note USING (observation_id) WHERE human_decision = 'ENTRY'),

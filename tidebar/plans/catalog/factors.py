@@ -63,7 +63,7 @@ def _(spark, sf):
       SELECT factor, rep, b, rank() OVER (PARTITION BY factor, rep ORDER BY value) + (count(*) OVER (PARTITION BY factor, rep, value) - 1) / 2.0 AS rx,
              rank() OVER (PARTITION BY factor, rep ORDER BY {LABEL}) + (count(*) OVER (PARTITION BY factor, rep, {LABEL}) - 1) / 2.0 AS ry
       FROM draws JOIN pos USING (factor, p)) GROUP BY 1, 2) GROUP BY 1""",
-    f"""{SAMPLES_SQL}, lg AS ({long_sql(PICK, 'sample_no, ' + LABEL, name='factor')}),
+    f"""{SAMPLES_SQL}, lg AS ({long_sql(FACTORS, 'sample_no, ' + LABEL, name='factor')}),
     pos AS (SELECT factor, value, {LABEL}, row_number() OVER (PARTITION BY factor ORDER BY sample_no) - 1 AS p, count(*) OVER (PARTITION BY factor) AS n FROM lg WHERE value IS NOT NULL AND {LABEL} IS NOT NULL),
     shp AS (SELECT factor, n, least(n, greatest(cast(ceil(sqrt(n)) AS BIGINT), 10)) AS b FROM (SELECT DISTINCT factor, n FROM pos)),
     st AS (SELECT factor, n, b, rep, j, cast('0x' || substr(md5(factor || ':' || rep || ':' || j), 1, 15) AS BIGINT) % (n - b + 1) AS s
@@ -73,7 +73,7 @@ def _(spark, sf):
     "block_size",
 )
 def _(spark, sf):
-    return factors.block_bootstrap_ic(factor_long(spark, sf, PICK), "factor", "value", LABEL, "sample_no", 10, 20)
+    return factors.block_bootstrap_ic(factor_long(spark, sf, FACTORS), "factor", "value", LABEL, "sample_no", 10, 20)
 
 
 # -- splits over the event samples and the entry universe
@@ -234,11 +234,11 @@ def _(spark, sf):
     "factor_stability_by_fold",
     f"SELECT factor, period, count(*) AS sample_count, {cor('x', 'y')} AS pearson_ic, {cor('rx', 'ry')} AS spearman_rank_ic FROM {ranks('lf', 'factor, period')} GROUP BY 1, 2",
     f"""{SAMPLES_SQL}, src AS (SELECT * FROM samples), {folds_ctes('src', 'side', 'open_time_ms, sample_no', 3, 0, 0)},
-    tf AS (SELECT * FROM folds WHERE split = 'test' AND side = 'LONG'), lf AS ({long_sql(FACTORS, 'period, ' + LABEL, 'tf', 'factor')})""",
+    tf AS (SELECT * FROM folds WHERE split = 'test'), lf AS ({long_sql(FACTORS, 'period, ' + LABEL, 'tf', 'factor')})""",
     "pearson_ic spearman_rank_ic",
 )
 def _(spark, sf):
-    f = sample_folds(spark, sf).where("split = 'test' and side = 'LONG'")
+    f = sample_folds(spark, sf).where("split = 'test'")
     return factors.rank_ic(study.unpivot(f, ["period", LABEL], FACTORS, "factor", "value"), ["factor", "period"], "value", LABEL)
 
 
@@ -249,24 +249,25 @@ def sample_folds(spark, sf, purge=0):
     return splits.expanding_folds(samples(spark, sf), 3, 0.5, purge, 0, ["side"], WIDTH, "open_time_ms", "sample_no")
 
 
-def cond_ctes(src: str, names, probs=(0.2, 0.4, 0.6, 0.8)) -> str:
+def cond_ctes(src: str, names, probs=(0.2, 0.4, 0.6, 0.8), by: str = "") -> str:
+    g, group, part = (f"{by}, ", f"GROUP BY {by}", f"PARTITION BY {by} ") if by else ("", "", "")
     per = " UNION ALL ".join(
-        f"SELECT {i} AS f, '{n}' AS col, unnest(list_distinct([{', '.join(f'quantile_cont({n}, {p})' for p in probs)}])) AS v FROM {src} HAVING min({n}) < max({n})" for i, n in enumerate(names, 1)
+        f"SELECT {g}{i} AS f, '{n}' AS col, unnest(list_distinct([{', '.join(f'quantile_cont({n}, {p})' for p in probs)}])) AS v FROM {src} {group} HAVING min({n}) < max({n})" for i, n in enumerate(names, 1)
     )
     return f"""
 cv AS ({per}),
-cc AS (SELECT row_number() OVER (ORDER BY f, v, op) - 1 AS idx, *, printf('%s %s %.6f', col, op, v) AS txt FROM cv, (SELECT unnest(['<=', '>=']) AS op))"""
+cc AS (SELECT row_number() OVER ({part}ORDER BY f, v, op) - 1 AS idx, *, printf('%s %s %.6f', col, op, v) AS txt, concat_ws(' ', col, op, row_number() OVER (PARTITION BY {g}f, op ORDER BY v)) AS nm FROM cv, (SELECT unnest(['<=', '>=']) AS op))"""
 
 
 def truth(names, alias="s") -> str:
     return "CASE c.f " + " ".join(f"WHEN {i} THEN CASE WHEN c.op = '<=' THEN {alias}.{n} <= c.v ELSE {alias}.{n} >= c.v END" for i, n in enumerate(names, 1)) + " END"
 
 
-def rule_ctes(cap: int, depth: int = 3) -> str:
-    d3 = """UNION ALL SELECT 3, a.idx, b.idx, c.idx, a.txt || ' AND ' || b.txt || ' AND ' || c.txt FROM cc a JOIN cc b ON b.idx > a.idx AND b.f <> a.f JOIN cc c ON c.idx > b.idx AND c.f <> a.f AND c.f <> b.f""" if depth == 3 else ""
-    d2 = "UNION ALL SELECT 2, a.idx, b.idx, NULL, a.txt || ' AND ' || b.txt FROM cc a JOIN cc b ON b.idx > a.idx AND b.f <> a.f" if depth >= 2 else ""
+def rule_ctes(depth: int = 3) -> str:
+    d3 = """UNION ALL SELECT 3, a.idx, b.idx, c.idx, a.txt || ' AND ' || b.txt || ' AND ' || c.txt, a.nm || ' AND ' || b.nm || ' AND ' || c.nm FROM cc a JOIN cc b ON b.idx > a.idx AND b.f <> a.f JOIN cc c ON c.idx > b.idx AND c.f <> a.f AND c.f <> b.f""" if depth == 3 else ""
+    d2 = "UNION ALL SELECT 2, a.idx, b.idx, NULL, a.txt || ' AND ' || b.txt, a.nm || ' AND ' || b.nm FROM cc a JOIN cc b ON b.idx > a.idx AND b.f <> a.f" if depth >= 2 else ""
     return f"""
-rl AS (SELECT *, 'rule_' || substr(sha256(rule_text), 1, 12) AS rule_id FROM (SELECT 1 AS depth, idx AS i1, NULL AS i2, NULL AS i3, txt AS rule_text FROM cc {d2} {d3}) ORDER BY depth, i1, i2, i3 LIMIT {cap})"""
+rl AS (SELECT *, 'rule_' || sha256(rule_name) AS rule_id FROM (SELECT 1 AS depth, idx AS i1, NULL AS i2, NULL AS i3, txt AS rule_text, nm AS rule_name FROM cc {d2} {d3}))"""
 
 
 def hits(names, src: str, cols: str) -> str:
@@ -307,9 +308,9 @@ def rule_boot() -> str:
     "rule_search",
     """SELECT rule_id, rule_text, coalesce(na, 0) AS sample_count, coalesce(nb, 0) AS test_sample_count, ma AS mean_return, wina AS win_rate, pfa AS profit_factor, pa AS p_value, pb AS raw_p_value,
       mb AS test_mean_return, winb AS test_win_rate, train_score, test_score, q_value, fdr_pass, fdr_status, (train_score - test_score) / nullif(abs(train_score), 0) * 100 AS degradation_pct,
-      degradation_ratio, mb / nullif(ma, 0) AS stability_score, validation_status, median_return, ci_low, ci_high
+      degradation_ratio, mb / nullif(ma, 0) AS stability_score, validation_status, median_return, ci_low, ci_high, rank_no
     FROM tops LEFT JOIN (SELECT rule_id, median(fwd_ret_10_side_adj) AS median_return FROM top_rows GROUP BY 1) USING (rule_id) LEFT JOIN boot USING (rule_id)""",
-    f"""{SPLIT_SQL}, {cond_ctes('train', PICK)}, {rule_ctes(4000)}, {hits(PICK, 'used', 'split, event_id, ' + LABEL)},
+    f"""{SPLIT_SQL}, {cond_ctes('train', PICK)}, {rule_ctes()}, {hits(PICK, 'used', 'split, event_id, ' + LABEL)},
     ag AS (SELECT rule_id, {', '.join(f"count({LABEL}) FILTER (split = '{s}') AS n{a}, sum({LABEL}) FILTER (split = '{s}') AS s{a}, stddev_samp({LABEL}) FILTER (split = '{s}') AS sd{a}, count(*) FILTER (split = '{s}' AND {LABEL} > 0) AS w{a}, sum({LABEL}) FILTER (split = '{s}' AND {LABEL} > 0) AS up{a}, -sum({LABEL}) FILTER (split = '{s}' AND {LABEL} < 0) AS dn{a}" for s, a in (('train', 'a'), ('test', 'b')))} FROM hit WHERE {LABEL} IS NOT NULL GROUP BY 1),
     mx AS (SELECT rule_id, rule_text, nullif(na, 0) AS na, nullif(nb, 0) AS nb, {met_sql('a')}, {met_sql('b')} FROM rl LEFT JOIN (SELECT * REPLACE (nullif(na, 0) AS na, nullif(nb, 0) AS nb, coalesce(upa, 0) AS upa, coalesce(upb, 0) AS upb) FROM ag) USING (rule_id)),
     qv AS (SELECT rule_id, least(1.0, min(pb * k / r) OVER (ORDER BY r DESC)) AS q_value FROM (SELECT rule_id, pb, row_number() OVER (ORDER BY pb, rule_id) AS r, count(*) OVER () AS k FROM mx WHERE pb BETWEEN 0 AND 1)),
@@ -317,8 +318,8 @@ def rule_boot() -> str:
              (ma - mb) / nullif(abs(ma), 0) AS degradation_ratio FROM mx LEFT JOIN qv USING (rule_id)),
     vs AS (SELECT *, CASE WHEN coalesce(na, 0) < 30 OR coalesce(nb, 0) < 30 THEN 'rejected_low_sample' WHEN degradation_ratio IS NULL OR q_value IS NULL THEN 'unavailable' WHEN q_value > 0.1 THEN 'rejected_fdr'
              WHEN degradation_ratio > 0.5 THEN 'rejected_oos_degradation' ELSE 'validated_candidate' END AS validation_status FROM vr),
-    tops AS (SELECT * FROM vs ORDER BY validation_status = 'validated_candidate' DESC, fdr_pass DESC, test_score DESC NULLS LAST, degradation_ratio ASC NULLS LAST, coalesce(nb, 0) DESC, train_score DESC NULLS LAST, coalesce(na, 0) DESC, rule_id LIMIT 200),
-    top_rows AS (SELECT * FROM hit WHERE split = 'train' AND {LABEL} IS NOT NULL AND rule_id IN (SELECT rule_id FROM tops)), {rule_boot()}""",
+    tops AS (SELECT *, row_number() OVER (ORDER BY validation_status = 'validated_candidate' DESC, fdr_pass DESC, test_score DESC NULLS LAST, degradation_ratio ASC NULLS LAST, coalesce(nb, 0) DESC, train_score DESC NULLS LAST, coalesce(na, 0) DESC, rule_id) AS rank_no FROM vs),
+    top_rows AS (SELECT * FROM hit WHERE split = 'train' AND {LABEL} IS NOT NULL AND rule_id IN (SELECT rule_id FROM tops WHERE rank_no <= 200)), {rule_boot()}""",
     RULE_FLOATS,
     "fdr_pass",
 )
@@ -330,11 +331,11 @@ def _(spark, sf):
     "rule_mining_pairs",
     f"""SELECT rule_id, rule_text, n AS sample_count, n * 100.0 / (SELECT count(*) FROM samples) AS coverage_pct, lm AS label_mean, w * 100.0 / n AS win_rate_pct, u AS avg_mfe_10, d AS avg_mae_10, abs(u / nullif(d, 0)) AS risk_reward_proxy
     FROM (SELECT rule_id, count(*) AS n, avg({LABEL}) AS lm, count(*) FILTER ({LABEL} > 0) AS w, avg(mfe_10) AS u, avg(mae_10) AS d FROM hit GROUP BY 1) JOIN rl USING (rule_id) WHERE n >= 30""",
-    f"{SAMPLES_SQL}, {cond_ctes('samples', PICK)}, {rule_ctes(100000, 2)}, {hits(PICK, 'samples', LABEL + ', mfe_10, mae_10')}",
+    f"{SAMPLES_SQL}, {cond_ctes('samples', FACTORS)}, {rule_ctes(2)}, {hits(FACTORS, 'samples', LABEL + ', mfe_10, mae_10')}",
     "coverage_pct label_mean win_rate_pct avg_mfe_10 avg_mae_10 risk_reward_proxy",
 )
 def _(spark, sf):
-    return rules.mine_rules(samples(spark, sf), PICK, LABEL)
+    return rules.mine_rules(samples(spark, sf), FACTORS, LABEL)
 
 
 @query(
@@ -343,24 +344,28 @@ def _(spark, sf):
       CASE WHEN na < 30 OR nb < 30 THEN 'rejected_low_sample' WHEN (ma - mb) / nullif(abs(ma), 0) IS NULL THEN 'unavailable' WHEN (ma - mb) / abs(ma) > 0.5 THEN 'rejected_oos_degradation' ELSE 'exploratory_candidate' END AS validation_status
     FROM (SELECT period, rule_id, count(*) FILTER (split = 'train') AS na, count(*) FILTER (split = 'test') AS nb, avg(v) FILTER (split = 'train') AS ma, avg(v) FILTER (split = 'test') AS mb,
            avg(CASE WHEN v > 0 THEN 100.0 ELSE 0.0 END) FILTER (split = 'train') AS wa, avg(CASE WHEN v > 0 THEN 100.0 ELSE 0.0 END) FILTER (split = 'test') AS wb
-          FROM (SELECT rule_id, period, f.split, f.fwd_ret_10_side_adj AS v FROM mt JOIN folds f USING (sample_no) WHERE f.fwd_ret_10_side_adj IS NOT NULL) GROUP BY 1, 2)""",
-    f"{SAMPLES_SQL}, src AS (SELECT * FROM samples), {folds_ctes('src', 'side', 'open_time_ms, sample_no', 3, 10, 0)}, {cond_ctes('samples', PICK)}, {rule_ctes(100, 2)}, {hits(PICK, 'samples', LABEL)}",
+          FROM (SELECT a.period, CASE WHEN b.nm IS NULL THEN 'rule_' || sha256(a.nm) ELSE 'rule_' || sha256(a.nm || ' AND ' || b.nm) END AS rule_id, a.split, a.v FROM tr a
+            JOIN (SELECT period, sample_no, idx, f, nm FROM tr UNION ALL SELECT DISTINCT period, sample_no, NULL, NULL, NULL FROM tr) b
+            ON a.period = b.period AND a.sample_no = b.sample_no AND (b.idx IS NULL OR (b.idx > a.idx AND b.f <> a.f))) GROUP BY 1, 2)""",
+    f"""{SAMPLES_SQL}, src AS (SELECT * FROM samples), {folds_ctes('src', 'side', 'open_time_ms, sample_no', 3, 10, 0)}, ft AS (SELECT * FROM folds WHERE split = 'train'), {cond_ctes('ft', FACTORS, by='period')},
+    tr AS (SELECT s.period, s.sample_no, s.split, s.{LABEL} AS v, c.idx, c.f, c.nm FROM folds s JOIN cc c ON c.period = s.period WHERE s.{LABEL} IS NOT NULL AND coalesce({truth(FACTORS)}, false))""",
     "train_mean test_mean train_win_rate test_win_rate degradation_ratio",
 )
 def _(spark, sf):
-    conds = rules.thresholds(samples(spark, sf), PICK)
-    return rules.walk_forward(sample_folds(spark, sf, 10), conds, rules.candidates(conds, 2, 100), PICK, LABEL)
+    folds = sample_folds(spark, sf, 10)
+    conds = rules.thresholds(folds.where("split = 'train'"), FACTORS, by=["period"])
+    return rules.walk_forward(folds, conds, rules.candidates(conds, 2), FACTORS, LABEL)
 
 
 @query(
     "entry_rule_hypotheses",
     """SELECT col AS feature, op AS operator, v AS threshold, n AS sample_count, e AS entry_count, n - e AS reject_count, e / cast(n AS DOUBLE) AS entry_rate, base AS baseline_entry_rate, e / cast(n AS DOUBLE) - base AS entry_rate_lift
     FROM (SELECT idx, count(*) AS n, count(*) FILTER (human_decision = 'ENTRY') AS e FROM tr JOIN jd USING (sample_no) GROUP BY 1) JOIN cc USING (idx), (SELECT avg(CASE WHEN human_decision = 'ENTRY' THEN 1.0 ELSE 0.0 END) AS base FROM jd) WHERE n >= 5""",
-    f"{DECIDED_SQL}, jd AS (SELECT * FROM decided WHERE human_decision IN ('ENTRY', 'REJECT')), {cond_ctes('jd', PICK, (0.25, 0.5, 0.75))}, {rule_ctes(4000, 1)}, {hits(PICK, 'jd', LABEL)}",
+    f"{DECIDED_SQL}, jd AS (SELECT * FROM decided WHERE human_decision IN ('ENTRY', 'REJECT')), {cond_ctes('jd', FACTORS, (0.25, 0.5, 0.75))}, {rule_ctes(1)}, {hits(FACTORS, 'jd', LABEL)}",
     "threshold entry_rate baseline_entry_rate entry_rate_lift",
 )
 def _(spark, sf):
-    return rules.decision_hypotheses(decided(spark, sf), PICK)
+    return rules.decision_hypotheses(decided(spark, sf), FACTORS)
 
 
 @query(

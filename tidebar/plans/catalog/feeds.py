@@ -125,7 +125,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     feats, outs, _ = guards.split_columns(samples(spark, sf))
-    guards.require_safe(feats.columns[1:])
+    guards.require_safe(feats.columns[1:], "dataset")
     return feats.select("event_id", "pre_ret_10").join(outs.select("event_id", "fwd_ret_10_side_adj", "mfe_10"), "event_id")
 
 
@@ -138,6 +138,26 @@ def _(spark, sf):
     return tables.where_all(samples(spark, sf), side="LONG", event_type=["OPEN"], symbol=None).select("event_id")
 
 
+REGISTRY = tuple((c, c != "break_prev_low_20") for c in FACTORS)
+
+
+@query(
+    "sample_leakage_report",
+    f"""SELECT c.column_name AS "column", CASE WHEN lower(c.column_name) LIKE 'fwd\\_%' ESCAPE '\\' OR regexp_matches(lower(c.column_name), '^(mfe|mae|post_|future|manual_trade_final|exit|pnl|label)') THEN 'forbidden'
+      WHEN c.column_name IN ({", ".join(f"'{n}'" for n in guards.INDEX_COLUMNS)}) THEN 'index' WHEN r.allowed IS NULL THEN 'unregistered' WHEN NOT r.allowed THEN 'disallowed' ELSE 'allowed' END AS finding
+    FROM (SELECT DISTINCT unnest(json_keys(to_json(s))) AS column_name FROM samples s) c LEFT JOIN (VALUES {", ".join(f"('{c}', {str(ok).lower()})" for c, ok in REGISTRY)}) r(name, allowed) ON r.name = c.column_name""",
+    SAMPLES_SQL,
+)
+def _(spark, sf):
+    registry = spark.createDataFrame(list(REGISTRY), "feature_name string, model_input_allowed boolean")
+    return guards.leakage_table(samples(spark, sf), registry)
+
+
+@query("sample_duplicate_trades", "SELECT trade_id, count(*) AS n FROM samples GROUP BY 1 HAVING count(*) > 1", SAMPLES_SQL)
+def _(spark, sf):
+    return cleaning.duplicate_ids(samples(spark, sf), "trade_id")
+
+
 @query("dataset_manifest")
 def _(spark, sf):
     s = samples(spark, sf)

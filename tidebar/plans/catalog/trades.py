@@ -242,6 +242,26 @@ def _(spark, sf):
     return barrier.marked_equity(single(spark, sf), bars(spark, sf))
 
 
+@query(
+    "simulated_equity_table",
+    """SELECT param_id, symbol, "interval", bar_index, cash_equity, unrealized_pnl, realized_net_pnl, cash_equity + unrealized_pnl AS equity_after, greatest(10000, top) AS peak_equity,
+      ((cash_equity + unrealized_pnl) / greatest(10000, top) - 1) * 100 AS drawdown_pct
+    FROM (SELECT *, max(cash_equity + unrealized_pnl) OVER (PARTITION BY param_id, symbol, "interval" ORDER BY bar_index) AS top
+      FROM (SELECT *, 10000 + sum(realized_net_pnl) OVER (PARTITION BY param_id, symbol, "interval" ORDER BY bar_index) AS cash_equity
+        FROM (SELECT p.param_id, b.symbol, b."interval", b.bar_index, coalesce(u, 0) AS unrealized_pnl, coalesce(r, 0) AS realized_net_pnl
+          FROM bars b JOIN (SELECT DISTINCT param_id, symbol, "interval" FROM single) p USING (symbol, "interval")
+          LEFT JOIN (SELECT t.param_id, t.symbol, t."interval", b.bar_index,
+              sum(CASE WHEN b.bar_index = exit_bar_index THEN 0 ELSE (close - entry_price) * 1000 / entry_price * CASE WHEN side = 'LONG' THEN 1 ELSE -1 END - 0.4 - 1000 / entry_price * close * 0.0004 END) AS u,
+              sum(CASE WHEN b.bar_index = exit_bar_index THEN net_pnl_quote ELSE 0 END) AS r
+            FROM single t JOIN bars b ON b.symbol = t.symbol AND b."interval" = t."interval" AND b.bar_index BETWEEN t.entry_bar_index AND t.exit_bar_index GROUP BY ALL) m
+          ON m.param_id = p.param_id AND m.symbol = b.symbol AND m."interval" = b."interval" AND m.bar_index = b.bar_index)))""",
+    SINGLE_SQL,
+    "cash_equity unrealized_pnl realized_net_pnl equity_after peak_equity drawdown_pct",
+)
+def _(spark, sf):
+    return barrier.equity_table(single(spark, sf), bars(spark, sf), size=256)
+
+
 @query(
     "funding_accrual",
     """SELECT trade_id, coalesce((SELECT sum(-1000 * (b.bar_index % 3) / 10000.0 * CASE WHEN t.side = 'LONG' THEN 1 ELSE -1 END) FROM bars b
@@ -254,13 +274,14 @@ def _(spark, sf):
     return barrier.funding(exits(spark, sf), rates).select("trade_id", "funding_pnl_quote")
 
 
-PARTS = "CASE WHEN signal_bar_index < 400 THEN 'train' WHEN signal_bar_index < 600 THEN 'validation' ELSE 'test' END"
+# by the share of each series that lies before the signal
+PARTS = "CASE WHEN signal_bar_index < series_bars * 0.6 THEN 'train' WHEN signal_bar_index < series_bars * 0.8 THEN 'validation' ELSE 'test' END"
 
 
 @query(
     "parameter_sweep",
     f"""WITH m AS (SELECT param_id, {", ".join(f"count(*) FILTER (part = '{p}') AS {p}_trades, coalesce(sum(net_pnl_quote) FILTER (part = '{p}'), 0) AS {p}_net_pnl" for p in ("train", "validation", "test"))}
-      FROM (SELECT *, {PARTS} AS part FROM single) GROUP BY 1)
+      FROM (SELECT *, {PARTS} AS part FROM single JOIN (SELECT symbol, "interval", max(bar_index) + 1 AS series_bars FROM bars GROUP BY 1, 2) USING (symbol, "interval")) GROUP BY 1)
     SELECT *, CASE WHEN param_id = (SELECT param_id FROM m WHERE train_trades >= 5 AND validation_trades >= 5 ORDER BY validation_net_pnl DESC, train_net_pnl DESC, param_id DESC LIMIT 1) THEN 1 ELSE 0 END AS selected,
       CASE WHEN train_net_pnl > 0 AND test_net_pnl <= 0 THEN 'overfit_risk' ELSE '' END AS warning FROM m""",
     SINGLE_SQL,
@@ -268,7 +289,8 @@ PARTS = "CASE WHEN signal_bar_index < 400 THEN 'train' WHEN signal_bar_index < 6
     "selected",
 )
 def _(spark, sf):
-    return barrier.sweep(single(spark, sf), F.expr(PARTS))
+    length = bars(spark, sf).groupBy(*KEYS).agg((F.max("bar_index") + 1).alias("series_bars"))
+    return barrier.sweep(single(spark, sf).join(length, list(KEYS)), F.expr(PARTS))
 
 
 @query(

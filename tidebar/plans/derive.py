@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.scalar import INTERVAL_MS, utc8_text
+from ..functions.scalar import INTERVAL_MS, utc8_text, zero_padded
 from ..operators.chunks import CHUNK, dense_index
 from ..session import stored
 
@@ -26,7 +26,7 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     day = F.datediff(F.to_date("l_shipdate"), F.lit("1995-01-01").cast("date"))
     return li.select(
-        F.concat(F.lit("S"), F.lpad(F.floor(F.col("l_suppkey") / 4).cast("string"), 6, "0")).alias("symbol"),
+        F.concat(F.lit("S"), zero_padded(F.floor(F.col("l_suppkey") / 4), 6)).alias("symbol"),
         F.lit(INTERVAL).alias("interval"),
         (F.lit(BASE_MS) + F.floor(day / 3) * STEP).alias("open_time_ms"),
         F.struct(
@@ -62,7 +62,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BARS_SQL = f"""
 ticks AS (
-  SELECT 'S' || lpad(cast(l_suppkey // 4 AS VARCHAR), 6, '0') AS symbol, '{INTERVAL}' AS "interval",
+  SELECT 'S' || lpad(cast(l_suppkey // 4 AS VARCHAR), greatest(6, length(cast(l_suppkey // 4 AS VARCHAR)))::INTEGER, '0') AS symbol, '{INTERVAL}' AS "interval",
          {BASE_MS} + (date_diff('day', DATE '1995-01-01', cast(l_shipdate AS DATE)) // 3) * {STEP} AS open_time_ms,
          date_diff('day', DATE '1995-01-01', cast(l_shipdate AS DATE)) AS d,
          l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,

@@ -27,7 +27,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
             "fwd_ret_1_side_adj", "fwd_ret_5_side_adj", LABEL, "mfe_10", "mae_10",
         )
         # an integer key lets ties be cut without text comparison
-        key = F.substring("symbol", 2, 6).cast("long") * 10_000_000 + F.col("bar_index")
+        key = F.substr("symbol", F.lit(2)).cast("long") * 1_000_000_000 + F.col("bar_index")
         return out.join(f, [*KEYS, "bar_index"]).withColumn("sample_no", key)
 
     return stored(spark, sf_dir, "samples", build)
@@ -38,7 +38,7 @@ SAMPLES_SQL = f"""
 samples AS (
   SELECT l.event_id, l.trade_id, l.session_id, l.event_type, l.side, l.label_tags_json, l.symbol, l."interval", l.bar_index, l.open_time_ms, l.fwd_ret_1_side_adj, l.fwd_ret_5_side_adj,
          l.fwd_ret_10_side_adj, l.mfe_10, l.mae_10, {", ".join("f." + c for c in (FACT + " " + FACT_TEXT).split())},
-         cast(substr(l.symbol, 2, 6) AS BIGINT) * 10000000 + l.bar_index AS sample_no
+         cast(substr(l.symbol, 2) AS BIGINT) * 1000000000 + l.bar_index AS sample_no
   FROM evlab l JOIN factors f USING (symbol, "interval", bar_index)),
 tagged AS (
   SELECT *, unnest(CASE WHEN label_tags_json = '' THEN ['UNTAGGED'] WHEN label_tags_json LIKE '[%' THEN string_split(replace(replace(replace(label_tags_json, '[', ''), ']', ''), '"', ''), ',')
