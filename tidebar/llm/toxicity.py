@@ -2,7 +2,7 @@
 
 A text is the bag of its character 3- to 5-grams inside words, with the blanks around a
 word as boundary marks, so an unseen misspelling shares most of its vectors with the word.
-Gram vectors live in a fixed number of hashed rows. Training (gradient descent with Adam on
+Gram vectors live in a fixed number of hashed rows. Training (stochastic gradient steps on
 embeddings, softmax weights and bias together) runs on the driver over a bounded sample of
 labelled rows whose bags are built by the tasks. After it, a gram's embedding and the softmax collapse to
 one number, so scoring is a table look-up and a mean per text.
@@ -25,9 +25,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 BUCKETS = 1 << 15
 GRAMS = (3, 4, 5)
 DIM = 8
-# bound of the training sample: rows of each class at most, and bytes of a sampled text's bag by BUCKETS
-SAMPLE_ROWS = 3_000
-EPOCHS = 12
+# bound of the training sample: labelled rows of class 0 and of class 1 at most; a row's bag has at most BUCKETS entries
+SAMPLE_ROWS = (9_000, 3_000)
+EPOCHS = 8
+BATCH = 32
+# a text's share of each gram is about a thousandth, so embeddings take long steps
+RATE_E, RATE_W = 300.0, 0.05
 FOLDS = 5
 # code points handled at once; longer texts go in steps
 STEP = 1 << 19
@@ -93,7 +96,7 @@ def _steps(at: np.ndarray, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
 
 
 def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, text) rows to (label, buckets, counts)."""
+    """(label, text) rows to (label, buckets, counts), both as packed integers."""
     for batch in batches:
         labels = batch.column(0)
         for first, at, codes in _blocks(batch.column(1).to_pylist()):
@@ -103,9 +106,9 @@ def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 k, c = np.unique(np.concatenate([keys, doc * BUCKETS + bucket]), return_inverse=True)
                 counts = np.bincount(c, weights=np.concatenate([counts, np.ones(len(bucket), np.int64)]), minlength=len(k)).astype(np.int64)
                 keys = k
-            cut = np.searchsorted(keys, np.arange(n + 1) * BUCKETS).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(v.astype(np.int32))) for v in (keys % BUCKETS, counts)]
-            yield pa.RecordBatch.from_arrays([labels[first : first + n], *lists], names=["label", "buckets", "counts"])
+            at = np.searchsorted(keys, np.arange(n + 1) * BUCKETS)
+            packed = [pa.array([v[at[i] : at[i + 1]].tobytes() for i in range(n)], pa.binary()) for v in ((keys % BUCKETS).astype("<u2"), counts.astype("<i4"))]
+            yield pa.RecordBatch.from_arrays([labels[first : first + n], *packed], names=["label", "buckets", "counts"])
 
 
 @dataclass
@@ -127,59 +130,50 @@ class Model:
 
 
 def fit(rows: list, seed: int = 5) -> Model:
-    """rows: (label, buckets, counts), a bounded sample in a fixed order."""
+    """rows: (label, buckets, counts) as ``bags`` packs them, a bounded sample in a fixed order."""
     y = np.array([r[0] for r in rows], np.int64)
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(BUCKETS), -60.0)
     rng = np.random.default_rng(seed)
-    index = [np.asarray(r[1], np.int64) for r in rows]
-    value = [np.asarray(r[2], np.float64) / max(1, sum(r[2])) for r in rows]
-    p = {"e": rng.normal(0, 0.1, (BUCKETS, DIM)), "w": rng.normal(0, 1.0, (DIM, 2)), "b": np.zeros(2)}
-    m = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
-    step, rate = 0, {"e": 0.1, "w": 0.1, "b": 0.05}
+    index = [np.frombuffer(r[1], "<u2").astype(np.int32) for r in rows]
+    value = [(c / max(1, c.sum())).astype(np.float32) for c in (np.frombuffer(r[2], "<i4") for r in rows)]
+    e, w, b = rng.normal(0, 0.01, (BUCKETS, DIM)), rng.normal(0, 1.0, (DIM, 2)), np.zeros(2)
     for epoch in range(EPOCHS):
+        fade = 1 - epoch / EPOCHS
         order = rng.permutation(len(rows))
-        for lo in range(0, len(rows), 128):
-            part = order[lo : lo + 128]
+        for lo in range(0, len(rows), BATCH):
+            part = order[lo : lo + BATCH]
             idx = np.concatenate([index[i] for i in part])
             val = np.concatenate([value[i] for i in part])
             doc = np.repeat(np.arange(len(part)), [len(index[i]) for i in part])
-            used, slot = np.unique(idx, return_inverse=True)
-            # the batch's bags over the rows it uses, as a dense matrix: 128 by a few thousand
-            x = np.zeros((len(part), len(used)))
-            x[doc, slot] = val
-            emb = p["e"][used]
-            hidden = x @ emb
-            logit = hidden @ p["w"] + p["b"]
+            emb = e[idx]
+            hidden = np.stack([np.bincount(doc, weights=val * emb[:, k], minlength=len(part)) for k in range(DIM)], 1)
+            logit = hidden @ w + b
             prob = np.exp(logit - logit.max(1, keepdims=True))
             prob /= prob.sum(1, keepdims=True)
             prob[np.arange(len(part)), y[part]] -= 1
-            prob /= len(part)
-            grad = {"w": hidden.T @ prob + 1e-5 * p["w"], "b": prob.sum(0), "e": x.T @ (prob @ p["w"].T)}
-            step += 1
-            fix = np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-            decay = 0.5 * (1 + np.cos(np.pi * epoch / EPOCHS))
-            for k, g in grad.items():
-                at = used if k == "e" else slice(None)
-                m[k][0][at] = 0.9 * m[k][0][at] + 0.1 * g
-                m[k][1][at] = 0.999 * m[k][1][at] + 0.001 * g * g
-                p[k][at] -= decay * rate[k] * fix * m[k][0][at] / (np.sqrt(m[k][1][at]) + 1e-9)
-    w = p["w"][:, 1] - p["w"][:, 0]
-    return Model(p["e"] @ w, float(p["b"][1] - p["b"][0]))
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
+            back, used_w, used_b = prob @ w.T, hidden.T @ prob / len(part), prob.mean(0)
+            used, slot = np.unique(idx, return_inverse=True)
+            # plain steps: a gram that many texts share moves far, one of a single text hardly does
+            e[used] -= fade * RATE_E * np.stack([np.bincount(slot, weights=val * back[doc, k], minlength=len(used)) for k in range(DIM)], 1)
+            w -= fade * RATE_W * used_w
+            b -= fade * RATE_W * used_b
+    gap = w[:, 1] - w[:, 0]
+    return Model(e @ gap, float(b[1] - b[0]))
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: tuple[int, int] = SAMPLE_ROWS) -> Model:
     """Fit on at most ``sample_rows`` labelled rows of each class that are not held out, chosen by hashed id."""
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.min(label_col).alias("lo"), F.max(label_col).alias("hi")).where("lo = hi")
     known = known.where(~held_out(id_col)).select(F.col(id_col).alias("k"), F.col("lo").cast("int").alias("label"), F.xxhash64(id_col).alias("o"))
     chosen = None
     for c in (0, 1):
-        part = known.where(F.col("label") == c).orderBy("o", "k").limit(sample_rows)
+        part = known.where(F.col("label") == c).orderBy("o", "k").limit(sample_rows[c])
         chosen = part if chosen is None else chosen.unionByName(part)
     own = docs.select(F.col(id_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    picked = own.join(F.broadcast(chosen), "k").groupBy("k", "label", "o").agg(F.min("text").alias("text"))  # at most 2 * sample_rows rows
-    rows = picked.select("label", "text").mapInArrow(bags, "label int, buckets array<int>, counts array<int>").collect()  # bounded by the sample
-    return fit(sorted((int(r[0]), list(r[1]), list(r[2])) for r in rows))
+    picked = own.join(F.broadcast(chosen), "k").groupBy("k", "label", "o").agg(F.min("text").alias("text"))  # at most sum(sample_rows) rows
+    rows = picked.select("label", "text").mapInArrow(bags, "label int, buckets binary, counts binary").collect()  # bounded by the sample
+    return fit(sorted((int(r[0]), bytes(r[1]), bytes(r[2])) for r in rows))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
