@@ -5,11 +5,12 @@ windows are 2**(c + 1) words long and start every 2**c words, so each occurrence
 in one of them. A window that holds such a template has a Jaccard similarity to it of about a
 quarter or more; with one row a band, ``bands_for`` gives the number of bands that makes a
 common band as likely as asked (40 bands: 0.99999). A band of a window can only be common if
-the window holds a shingle of some template, so other windows need no signature. Retrieved
+the window holds a shingle of a template of its class, so other windows need no signature. Retrieved
 pairs are then compared shingle by shingle, and the share of the template's shingles in
 the window is the containment.
 
-Templates are a stated query set, read in blocks of bounded bytes.
+Templates are a stated query set, read in blocks of bounded bytes, each sent to the tasks and
+held against all rows; only verified windows leave a task.
 
 Edge cases: a null text counts as empty; texts and templates of fewer words than a shingle
 give one shingle of all of them; empty ones match nothing; repeated rows give one result an id
@@ -82,29 +83,37 @@ def _template_rows(texts: list) -> list[tuple[int, np.ndarray]]:
     return out
 
 
-def _windows(bitmap: np.ndarray, classes: list[int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, rows = batch.column(0), []
-            for first, bounds, h in block_words(batch.column(1).to_pylist(), PUNCTUATED):
-                g, gb = text_grams(h, bounds, WORDS)
-                at = np.flatnonzero(bitmap[(g >> np.uint64(64 - _BITS)).astype(np.int64)])
+class Templates:
+    """The templates of one block: their shingles and signatures by length class."""
+
+    def __init__(self, rows: list[tuple[str | None, str]]):
+        made = [(name, c, u) for (name, _), (c, u) in zip(rows, _template_rows([t for _, t in rows]), strict=True) if len(u)]
+        self.classes = {}
+        for c in sorted({c for _, c, _ in made}):
+            mine = [(n, u) for n, k, u in made if k == c]
+            known = np.unique(np.concatenate([u for _, u in mine]))
+            seen = np.zeros(1 << _BITS, bool)
+            seen[(known >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+            self.classes[c] = ([n for n, _ in mine], [u for _, u in mine], np.stack([signature(u) for _, u in mine]), known, seen)
+
+    def matches(self, texts: list, containment: float) -> Iterator[tuple[int, str | None, float, int]]:
+        """(text, license, containment, first word of the window) of each window that holds a template."""
+        for first, bounds, h in block_words(texts, PUNCTUATED):
+            g, gb = text_grams(h, bounds, WORDS)
+            for c, (names, own, sigs, known, seen) in self.classes.items():
+                at = np.flatnonzero(seen[(g >> np.uint64(64 - _BITS)).astype(np.int64)])
+                at = at[known[np.minimum(np.searchsorted(known, g[at]), len(known) - 1)] == g[at]]
                 doc = np.searchsorted(gb, at, "right") - 1
-                for c in classes:
-                    # a shingle lies in the window that begins at or before its step and in the one before that
-                    step = (at - gb[doc]) >> c
-                    seen = np.unique(np.concatenate([doc << 32 | step, doc << 32 | np.maximum(step - 1, 0)]))
-                    for w in seen.tolist():
-                        d, start = w >> 32, (w & 0xFFFFFFFF) << c
-                        lo = gb[d] + start
-                        hi = min(lo + (2 << c) - WORDS + 1, gb[d + 1])
-                        u = np.unique(g[lo : max(hi, lo + 1)])
-                        rows.append((first + d, c, start, signature(u).view(np.int64), u.view(np.int64)))
-            for lo in range(0, len(rows), 2000):
-                doc, c, start, sig, u = (list(x) for x in zip(*rows[lo : lo + 2000], strict=True))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(c, pa.int32()), pa.array(start, pa.int64()), pa.array(sig, pa.list_(pa.int64())), pa.array(u, pa.list_(pa.int64()))], names=["doc_id", "class", "start", "sig", "grams"])
-
-    return run
+                # a shingle lies in the window that begins at or before its step and in the one before that
+                step = (at - gb[doc]) >> c
+                for w in np.unique(np.concatenate([doc << 32 | step, doc << 32 | np.maximum(step - 1, 0)])).tolist():
+                    d, start = w >> 32, (w & 0xFFFFFFFF) << c
+                    lo = gb[d] + start
+                    u = np.unique(g[lo : max(min(lo + (2 << c) - WORDS + 1, gb[d + 1]), lo + 1)])
+                    for t in np.flatnonzero((sigs == signature(u)).any(1)):  # a common band
+                        share = len(np.intersect1d(own[t], u, assume_unique=True)) / len(own[t])
+                        if share >= containment:
+                            yield first + d, names[t], share, start
 
 
 def default_templates(spark: SparkSession) -> DataFrame:
@@ -119,17 +128,17 @@ def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col
     count, out = total // BLOCK_BYTES + 1, None
     for b in range(count):
         part = own if count == 1 else own.where(F.pmod(F.xxhash64("license", "text"), F.lit(count)) == b)
-        texts = sorted(map(tuple, part.distinct().collect()), key=lambda r: (r[0] is not None, r[0] or "", r[1]))
-        made = [(n, i, c, u) for i, ((n, _), (c, u)) in enumerate(zip(texts, _template_rows([t for _, t in texts]), strict=True)) if len(u)]
-        bitmap = np.zeros(1 << _BITS, bool)
-        for *_, u in made:
-            bitmap[(u >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-        known = spark.createDataFrame([(n, i, c, signature(u).view(np.int64).tolist(), u.view(np.int64).tolist()) for n, i, c, u in made], "license string, t int, class int, sig array<long>, own array<long>")
-        windows = docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(_windows(bitmap, sorted({c for _, _, c, _ in made})), f"doc_id {docs.schema[id_col].dataType.simpleString()}, class int, start long, sig array<long>, grams array<long>")
-        bands = known.select("t", "class", F.posexplode("sig").alias("band", "value"))
-        met = windows.select("doc_id", "class", "start", "grams", F.posexplode("sig").alias("band", "value")).join(bands, ["class", "band", "value"])
-        pairs = met.groupBy("doc_id", "class", "start", "t").agg(F.first("grams").alias("grams"))
-        held = pairs.join(known.select("t", "license", "own"), "t").select("doc_id", "license", "start", (F.size(F.array_intersect("grams", "own")) / F.size("own")).alias("share"))
-        found = held.where(F.col("share") >= containment).groupBy("doc_id", "license").agg(F.max("share").alias("containment"), F.min("start").alias("first_word"), F.countDistinct("start").alias("n_windows"))
+        rows = sorted(map(tuple, part.distinct().collect()), key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+        shared = spark.sparkContext.broadcast(Templates(rows))  # bounded by BLOCK_BYTES
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = list(shared.value.matches(batch.column(1).to_pylist(), containment))
+                if found:
+                    text, name, share, start = (list(x) for x in zip(*found, strict=True))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array(name, pa.string()), pa.array(share), pa.array(start, pa.int64())], names=["doc_id", "license", "share", "start"])
+
+        held = docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, license string, share double, start long")
+        found = held.groupBy("doc_id", "license").agg(F.max("share").alias("containment"), F.min("start").alias("first_word"), F.countDistinct("start").alias("n_windows"))
         out = found if out is None else out.unionByName(found)
     return out
