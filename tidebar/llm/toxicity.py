@@ -26,7 +26,7 @@ BUCKETS = 1 << 15
 GRAMS = (3, 4, 5)
 DIM = 8
 # bound of the training sample: labelled rows of class 0 and of class 1 at most; a row's bag has at most BUCKETS entries
-SAMPLE_ROWS = (9_000, 3_000)
+SAMPLE_ROWS = (3_000, 1_500)
 EPOCHS = 8
 BATCH = 32
 # a text's share of each gram is about a thousandth, so embeddings take long steps
@@ -107,7 +107,7 @@ def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts = np.bincount(c, weights=np.concatenate([counts, np.ones(len(bucket), np.int64)]), minlength=len(k)).astype(np.int64)
                 keys = k
             at = np.searchsorted(keys, np.arange(n + 1) * BUCKETS)
-            packed = [pa.array([v[at[i] : at[i + 1]].tobytes() for i in range(n)], pa.binary()) for v in ((keys % BUCKETS).astype("<u2"), counts.astype("<i4"))]
+            packed = [pa.array([v[at[i] : at[i + 1]].tobytes() for i in range(n)], pa.binary()) for v in ((keys % BUCKETS).astype("<u2"), np.minimum(counts, 65_535).astype("<u2"))]
             yield pa.RecordBatch.from_arrays([labels[first : first + n], *packed], names=["label", "buckets", "counts"])
 
 
@@ -135,15 +135,15 @@ def fit(rows: list, seed: int = 5) -> Model:
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(BUCKETS), -60.0)
     rng = np.random.default_rng(seed)
-    index = [np.frombuffer(r[1], "<u2").astype(np.int32) for r in rows]
-    value = [(c / max(1, c.sum())).astype(np.float32) for c in (np.frombuffer(r[2], "<i4") for r in rows)]
+    index = [np.frombuffer(r[1], "<u2") for r in rows]
+    value = [(c / max(1, c.sum())).astype(np.float32) for c in (np.frombuffer(r[2], "<u2") for r in rows)]
     e, w, b = rng.normal(0, 0.01, (BUCKETS, DIM)), rng.normal(0, 1.0, (DIM, 2)), np.zeros(2)
     for epoch in range(EPOCHS):
         fade = 1 - epoch / EPOCHS
         order = rng.permutation(len(rows))
         for lo in range(0, len(rows), BATCH):
             part = order[lo : lo + BATCH]
-            idx = np.concatenate([index[i] for i in part])
+            idx = np.concatenate([index[i] for i in part]).astype(np.int64)
             val = np.concatenate([value[i] for i in part])
             doc = np.repeat(np.arange(len(part)), [len(index[i]) for i in part])
             emb = e[idx]
@@ -172,8 +172,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         chosen = part if chosen is None else chosen.unionByName(part)
     own = docs.select(F.col(id_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     picked = own.join(F.broadcast(chosen), "k").groupBy("k", "label", "o").agg(F.min("text").alias("text"))  # at most sum(sample_rows) rows
-    rows = picked.select("label", "text").mapInArrow(bags, "label int, buckets binary, counts binary").collect()  # bounded by the sample
-    return fit(sorted((int(r[0]), bytes(r[1]), bytes(r[2])) for r in rows))
+    rows = picked.select("label", "text").mapInArrow(bags, "label int, buckets binary, counts binary").toLocalIterator()  # bounded by the sample
+    sample = sorted((int(r[0]), bytes(r[1]), bytes(r[2])) for r in rows)
+    model = fit(sample)
+    shares = dict(map(tuple, known.groupBy("label").count().collect()))  # two rows
+    if len(shares) == 2 and len({r[0] for r in sample}) == 2:
+        # the sample holds the classes in other shares than the labels do
+        toxic = sum(r[0] for r in sample)
+        model.bias += float(np.log(shares[1] / shares[0]) - np.log(toxic / (len(sample) - toxic)))
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
