@@ -136,6 +136,9 @@ def redact(text: Column) -> Column:
         shown = lambda p, i: F.when((i % 2 == 1) & _valid(kind, p), tag).otherwise(p)
         return let(_pieces(t, kind), lambda p: F.when(F.size(p) < 3, t).otherwise(F.array_join(F.transform(p, shown), "")))
 
+    def step(kind: str):
+        return lambda t: drop(t, kind)
+
     for kind in ("email", "iban", "card", "ip", "phone"):
-        text = let(text, lambda t, kind=kind: drop(t, kind))
+        text = let(text, step(kind))
     return text
