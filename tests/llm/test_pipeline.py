@@ -41,5 +41,7 @@ def test_run_and_edges(spark, documents):
         assert got.columns == frame.columns
         if name == "ngram_join":
             assert sorted(str(r.doc_id) for r in got.collect()) == ["1", "2", "4", "None"]
+        elif name == "toxicity":  # what a small model makes of these words is open; texts without words stay
+            assert got.where("text is null or text = ''").count() == 3
         else:
             assert got.count() == len(rows)
