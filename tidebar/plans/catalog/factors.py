@@ -318,7 +318,7 @@ def rule_boot() -> str:
              (ma - mb) / nullif(abs(ma), 0) AS degradation_ratio FROM mx LEFT JOIN qv USING (rule_id)),
     vs AS (SELECT *, CASE WHEN coalesce(na, 0) < 30 OR coalesce(nb, 0) < 30 THEN 'rejected_low_sample' WHEN degradation_ratio IS NULL OR q_value IS NULL THEN 'unavailable' WHEN q_value > 0.1 THEN 'rejected_fdr'
              WHEN degradation_ratio > 0.5 THEN 'rejected_oos_degradation' ELSE 'validated_candidate' END AS validation_status FROM vr),
-    tops AS (SELECT *, row_number() OVER (ORDER BY validation_status = 'validated_candidate' DESC, fdr_pass DESC, test_score DESC NULLS LAST, degradation_ratio ASC NULLS LAST, coalesce(nb, 0) DESC, train_score DESC NULLS LAST, coalesce(na, 0) DESC, rule_id) AS rank_no FROM vs),
+    tops AS (SELECT *, row_number() OVER (ORDER BY validation_status = 'validated_candidate' DESC, fdr_pass DESC, round(test_score, 9) DESC NULLS LAST, round(degradation_ratio, 9) ASC NULLS LAST, coalesce(nb, 0) DESC, round(train_score, 9) DESC NULLS LAST, coalesce(na, 0) DESC, rule_id) AS rank_no FROM vs),
     top_rows AS (SELECT * FROM hit WHERE split = 'train' AND {LABEL} IS NOT NULL AND rule_id IN (SELECT rule_id FROM tops WHERE rank_no <= 200)), {rule_boot()}""",
     RULE_FLOATS,
     "fdr_pass",
