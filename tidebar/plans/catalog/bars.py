@@ -133,13 +133,14 @@ def _(spark, sf):
               'dv_' || substr(sha256(row_count || '|' || x1 || '|' || x2 || '|' || s), 1, 24) AS data_version
     FROM (SELECT symbol, "interval", count(*) AS row_count, bit_xor(a) AS x1, bit_xor(b) AS x2, cast(sum(a % 1000003) AS BIGINT) AS s
           FROM (SELECT symbol, "interval", cast('0x' || substr(h, 1, 15) AS BIGINT) AS a, cast('0x' || substr(h, 17, 15) AS BIGINT) AS b
-                FROM (SELECT symbol, "interval", md5(bar_index || '|' || open_time_ms || '|' || cast(volume AS BIGINT)) AS h FROM bars))
+                FROM (SELECT symbol, "interval", md5(concat_ws('|', bar_index, open_time_ms, cast(round(open * 100) AS BIGINT), cast(round(high * 100) AS BIGINT), cast(round(low * 100) AS BIGINT), cast(round(close * 100) AS BIGINT), cast(volume AS BIGINT), trades)) AS h FROM bars))
           GROUP BY 1, 2)""",
     BARS_SQL,
 )
 def _(spark, sf):
-    b = bars(spark, sf).withColumn("volume", F.col("volume").cast("long"))
-    return cleaning.content_digest(b, KEYS, ["bar_index", "open_time_ms", "volume"]).select(*KEYS, "row_count", "data_version")
+    # prices are whole cents
+    b = bars(spark, sf).withColumns({c: F.round(F.col(c) * 100).cast("long") for c in ("open", "high", "low", "close")} | {"volume": F.col("volume").cast("long")})
+    return cleaning.content_digest(b, KEYS, ["bar_index", "open_time_ms", "open", "high", "low", "close", "volume", "trades"]).select(*KEYS, "row_count", "data_version")
 
 
 @query(

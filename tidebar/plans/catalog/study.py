@@ -234,36 +234,36 @@ def _(spark, sf):
     "bootstrap_mean_interval",
     f"""SELECT * FROM (SELECT side, avg({LABEL}) AS estimate, count({LABEL}) AS sample_count, CASE WHEN count({LABEL}) < 30 THEN 'small sample; interval is unstable' ELSE '' END AS warning
        FROM samples WHERE {LABEL} IS NOT NULL GROUP BY 1) JOIN boot USING (side)""",
-    f"{SAMPLES_SQL}, {boot_ctes('samples', 'side', LABEL, 'event_id', 200)}",
+    f"{SAMPLES_SQL}, {boot_ctes('samples', 'side', LABEL, 'event_id', 1000)}",
     "estimate ci_low ci_high",
 )
 def _(spark, sf):
-    return resample.bootstrap_mean(samples(spark, sf), ["side"], LABEL, "event_id", 200)
+    return resample.bootstrap_mean(samples(spark, sf), ["side"], LABEL, "event_id", 1000)
 
 
 @query(
     "bootstrap_win_rate_interval",
     """SELECT * FROM (SELECT side, avg(win) AS estimate, count(win) AS sample_count, CASE WHEN count(win) < 30 THEN 'small sample; interval is unstable' ELSE '' END AS warning
        FROM wins WHERE win IS NOT NULL GROUP BY 1) JOIN boot USING (side)""",
-    f"{SAMPLES_SQL}, wins AS (SELECT *, CASE WHEN {LABEL} > 0 THEN 100.0 WHEN {LABEL} IS NOT NULL THEN 0.0 END AS win FROM samples), {boot_ctes('wins', 'side', 'win', 'event_id', 200)}",
+    f"{SAMPLES_SQL}, wins AS (SELECT *, CASE WHEN {LABEL} > 0 THEN 100.0 WHEN {LABEL} IS NOT NULL THEN 0.0 END AS win FROM samples), {boot_ctes('wins', 'side', 'win', 'event_id', 1000)}",
     "estimate ci_low ci_high",
 )
 def _(spark, sf):
-    return resample.bootstrap_win_rate(samples(spark, sf), ["side"], LABEL, "event_id", 200)
+    return resample.bootstrap_win_rate(samples(spark, sf), ["side"], LABEL, "event_id", 1000)
 
 
 @query(
     "sign_flip_permutation",
-    f"""SELECT side, avg({LABEL}) AS mean_effect, count({LABEL}) AS sample_count, (max(ex) + 1) / 101.0 AS p_value FROM samples JOIN (
+    f"""SELECT side, avg({LABEL}) AS mean_effect, count({LABEL}) AS sample_count, (max(ex) + 1) / 1001.0 AS p_value FROM samples JOIN (
        SELECT side, count(*) FILTER (abs(s) >= abs(obs) - 1e-12) AS ex FROM (
          SELECT side, b * 32 + k AS r, sum(CASE WHEN cast('0x' || substr(h, cast(k + 1 AS INTEGER), 1) AS BIGINT) < 8 THEN v ELSE -v END) AS s FROM
-           (SELECT side, {LABEL} AS v, b, k, md5(event_id || ':flip:' || b) AS h FROM samples, (SELECT unnest(range(0, 4)) AS b), (SELECT unnest(range(0, 32)) AS k) WHERE {LABEL} IS NOT NULL)
-         GROUP BY 1, 2) JOIN (SELECT side, sum({LABEL}) AS obs FROM samples GROUP BY 1) USING (side) WHERE r < 100 GROUP BY 1) USING (side) WHERE {LABEL} IS NOT NULL GROUP BY 1""",
+           (SELECT side, {LABEL} AS v, b, k, md5(event_id || ':flip:' || b) AS h FROM samples, (SELECT unnest(range(0, 32)) AS b), (SELECT unnest(range(0, 32)) AS k) WHERE {LABEL} IS NOT NULL)
+         GROUP BY 1, 2) JOIN (SELECT side, sum({LABEL}) AS obs FROM samples GROUP BY 1) USING (side) WHERE r < 1000 GROUP BY 1) USING (side) WHERE {LABEL} IS NOT NULL GROUP BY 1""",
     SAMPLES_SQL,
     "mean_effect p_value",
 )
 def _(spark, sf):
-    return resample.sign_flip_test(samples(spark, sf), ["side"], LABEL, "event_id", 100)
+    return resample.sign_flip_test(samples(spark, sf), ["side"], LABEL, "event_id", 1000)
 
 
 def sub_ctes(src: str, groups: str, value: str, row: str, size: int, draws: int) -> str:
