@@ -7,8 +7,8 @@ embeddings, softmax weights and bias together) runs on the driver over a bounded
 labelled rows whose bags are built by the tasks. After it, a gram's embedding and the softmax collapse to
 one number, so scoring is a table look-up and a mean per text.
 
-Edge cases: a null text counts as empty; an empty text has no grams and scores by the bias
-alone; repeated rows each give a row; labels that are null or repeated with different
+Edge cases: a null text counts as empty; an empty text has no grams and scores as the usual
+text of class 0; repeated rows each give a row; labels that are null or repeated with different
 values for an id are left out of training; without both classes to learn from, all texts
 score 0. An empty table gives an empty result; columns other than those named are ignored.
 """
@@ -32,6 +32,8 @@ BATCH = 32
 # a text's share of each gram is about a thousandth, so embeddings take long steps
 RATE_E, RATE_W = 300.0, 0.05
 FOLDS = 5
+# every average takes in so many grams of the usual weight of class 0, so that a few grams alone decide little
+USUAL_GRAMS = 50
 # code points handled at once; longer texts go in steps
 STEP = 1 << 19
 _MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
@@ -115,9 +117,11 @@ def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Model:
     weights: np.ndarray
     bias: float
+    usual: float = 0.0
 
     def score(self, total: np.ndarray, count: np.ndarray) -> np.ndarray:
-        return 1.0 / (1.0 + np.exp(-np.clip(total / np.maximum(count, 1) + self.bias, -60, 60)))
+        mean = (total + USUAL_GRAMS * self.usual) / (count + USUAL_GRAMS)
+        return 1.0 / (1.0 + np.exp(-np.clip(mean + self.bias, -60, 60)))
 
     def of_block(self, at: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """The score of each text of a block."""
@@ -158,8 +162,9 @@ def fit(rows: list, seed: int = 5) -> Model:
             e[used] -= fade * RATE_E * np.stack([np.bincount(slot, weights=val * back[doc, k], minlength=len(used)) for k in range(DIM)], 1)
             w -= fade * RATE_W * used_w
             b -= fade * RATE_W * used_b
-    gap = w[:, 1] - w[:, 0]
-    return Model(e @ gap, float(b[1] - b[0]))
+    weights = e @ (w[:, 1] - w[:, 0])
+    usual = np.mean([weights[i] @ v for i, v, k in zip(index, value, y, strict=True) if k == 0])
+    return Model(weights, float(b[1] - b[0]), float(usual))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: tuple[int, int] = SAMPLE_ROWS) -> Model:
@@ -173,20 +178,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     own = docs.select(F.col(id_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     picked = own.join(F.broadcast(chosen), "k").groupBy("k", "label", "o").agg(F.min("text").alias("text"))  # at most sum(sample_rows) rows
     rows = picked.select("label", "text").mapInArrow(bags, "label int, buckets binary, counts binary").toLocalIterator()  # bounded by the sample
-    sample = sorted((int(r[0]), bytes(r[1]), bytes(r[2])) for r in rows)
-    model = fit(sample)
-    shares = dict(map(tuple, known.groupBy("label").count().collect()))  # two rows
-    if len(shares) == 2 and len({r[0] for r in sample}) == 2:
-        # the sample holds the classes in other shares than the labels do
-        toxic = sum(r[0] for r in sample)
-        model.bias += float(np.log(shares[1] / shares[0]) - np.log(toxic / (len(sample) - toxic)))
-    return model
+    return fit(sorted((int(r[0]), bytes(r[1]), bytes(r[2])) for r in rows))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of each row, over its whole text."""
     kind = docs.schema[id_col].dataType
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float64), model.bias))
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.usual))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
@@ -206,7 +204,7 @@ def flagged(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def drop_flagged(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns, that score below the threshold; no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float64), model.bias))
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.usual))
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
