@@ -18,6 +18,8 @@ from tidebar.llm.common import fresh_folder, saved, table
 
 # ids to drop go to all tasks only below this many
 GONE_ROWS = 500_000
+# near copies share four fifths of their runs of five words; op8_ keeps to its own contract
+ALIKE = ngram_join.Likeness(words=5, num=80, den=100)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,7 @@ def keep_one_of_alike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """One document of each group of linked documents: the least id; documents without words link
     with nothing and stay, and so do rows without an id.
     """
-    gone = saved(ngram_join.join_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct())
+    gone = saved(ngram_join.join_components(docs, like=ALIKE).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct())
     if gone.count() <= GONE_ROWS:
         gone = F.broadcast(gone)
     kept = docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")

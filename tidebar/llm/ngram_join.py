@@ -1,6 +1,7 @@
 """N-gram Jaccard join by PartEnum signatures, and the components of its links.
 
-Two sets of shingles link when ``100 * |A & B| >= 90 * |A | B|``. Sizes are cut into bands;
+Two sets of shingles link when ``den * |A & B| >= num * |A | B|``; words a shingle, num and
+den are parameters, 3, 90 and 100 unless others are given. Sizes are cut into bands;
 a band's instance serves pairs whose larger set lies in it, so a set takes part in its own
 band's instance and, if its partners can be that large, in the next one's. In an instance
 the two sets differ in at most ``k`` elements. The domain of shingle hashes is cut into
@@ -22,6 +23,7 @@ result; columns other than the id and text are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,28 +43,48 @@ SAMPLE, HEAVY_ROWS, HEAVY_TOP, SALTS = 64, 64, 10_000, 64
 STAR_ROUNDS = 4
 
 
-def band_edges(largest: int) -> np.ndarray:
-    """First size of each band up to the one that holds ``largest`` and the one after it."""
+@dataclass(frozen=True)
+class Likeness:
+    """Words a shingle, and the least Jaccard similarity of a link as a fraction."""
+
+    words: int = WORDS
+    num: int = MIN_NUM
+    den: int = MIN_DEN
+
+    def __post_init__(self) -> None:
+        if self.words < 1 or not 0 < self.num <= self.den:
+            raise ValueError(f"no likeness: {self}")
+
+
+DEFAULT = Likeness()
+
+
+def band_edges(largest: int, like: Likeness = DEFAULT) -> np.ndarray:
+    """First size of each band up to the one that holds ``largest`` and the one after it; a linked set is at most one band up."""
+
+    def after(edge: int) -> int:
+        return max(int(edge / BAND), edge * like.den // like.num) + 1
+
     edges = [1]
     while edges[-1] <= largest:
-        edges.append(int(edges[-1] / BAND) + 1)
-    edges.append(int(edges[-1] / BAND) + 1)
+        edges.append(after(edges[-1]))
+    edges.append(after(edges[-1]))
     return np.array(edges, np.int64)
 
 
-def differences(size: int) -> int:
+def differences(size: int, like: Likeness = DEFAULT) -> int:
     """Most elements in which two linked sets of at most ``size`` can differ."""
-    return 2 * size * (MIN_DEN - MIN_NUM) // (MIN_DEN + MIN_NUM)
+    return 2 * size * (like.den - like.num) // (like.den + like.num)
 
 
-def signatures(elements: np.ndarray, edges: np.ndarray) -> np.ndarray:
+def signatures(elements: np.ndarray, edges: np.ndarray, like: Likeness = DEFAULT) -> np.ndarray:
     """All signatures of a set of mixed 64-bit elements."""
     n = len(elements)
     own = int(np.searchsorted(edges, n, "right")) - 1
-    instances = [own] + [own + 1] * int(n * MIN_DEN // MIN_NUM >= edges[own + 1])
+    instances = [own] + [own + 1] * int(n * like.den // like.num >= edges[own + 1])
     out = []
     for j in instances:
-        k = differences(int(edges[j + 1]) - 1)
+        k = differences(int(edges[j + 1]) - 1, like)
         if not k:  # only equal sets link
             continue
         parts = 3 * (k // 2 + 1)
@@ -79,9 +101,9 @@ def _set_id(u: np.ndarray) -> int:
     return int(mix(np.array([int(np.bitwise_xor.reduce(u)) ^ int(mix(u).sum(dtype=np.uint64))], np.uint64)).view(np.int64)[0])
 
 
-def _sets(texts: list) -> Iterator[np.ndarray]:
+def _sets(texts: list, words: int) -> Iterator[np.ndarray]:
     for _, bounds, h in block_words(texts):
-        g, gb = text_grams(h, bounds, WORDS)
+        g, gb = text_grams(h, bounds, words)
         for i in range(len(gb) - 1):
             yield np.unique(g[gb[i] : gb[i + 1]])
 
@@ -89,15 +111,15 @@ def _sets(texts: list) -> Iterator[np.ndarray]:
 _SIGNED = pa.schema([("key", pa.int64()), ("tkey", pa.int64()), ("sid", pa.int64()), ("n", pa.int64()), ("sigs", pa.list_(pa.int64()))])
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signed(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
-    edges = band_edges(1 << 20)
+    edges = band_edges(1 << 20, like)
     for batch in batches:
         keys, tkeys, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
         sids, ns, sigs, first, held = [], [], [], 0, 0
-        for i, u in enumerate(_sets(texts)):
+        for i, u in enumerate(_sets(texts, like.words)):
             if len(u) and u.size > edges[-3]:
-                edges = band_edges(u.size * 2)
+                edges = band_edges(u.size * 2, like)
             sid = _set_id(u) if len(u) else None
             new = sid is not None and sid not in seen
             if new:
@@ -106,7 +128,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.add(sid)
             sids.append(sid)
             ns.append(len(u))
-            sigs.append(signatures(u, edges).view(np.int64) if new else np.zeros(0, np.int64))
+            sigs.append(signatures(u, edges, like).view(np.int64) if new else np.zeros(0, np.int64))
             held += len(sigs[-1])
             if held > 1_000_000 or i == len(texts) - 1:
                 lengths = np.cumsum([0, *map(len, sigs)], dtype=np.int32)
@@ -116,9 +138,9 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sids, ns, sigs, first, held = [], [], [], i + 1, 0
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _grams(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i, u in enumerate(_sets(batch.column(1).to_pylist())):
+        for i, u in enumerate(_sets(batch.column(1).to_pylist(), words)):
             yield pa.RecordBatch.from_arrays([batch.column(0)[i : i + 1], pa.array([u.view(np.int64)], pa.list_(pa.int64()))], names=["sid", "grams"])
 
 
@@ -161,13 +183,13 @@ def _groups(base: DataFrame) -> DataFrame:
     return saved(members.join(one, "sig"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
     """The pairs (a, b) that link, by exact set sizes."""
     size = sets.select("sid", F.size("grams").alias("n"))
-    fit = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").where(F.least("na", "nb") * MIN_DEN >= F.greatest("na", "nb") * MIN_NUM)
+    fit = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").where(F.least("na", "nb") * like.den >= F.greatest("na", "nb") * like.num)
     both = fit.join(sets.toDF("b", "gb"), "b").join(sets.toDF("a", "ga"), "a")
     shared = both.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("i"))
-    return shared.where(F.col("i") * MIN_DEN >= (F.col("na") + F.col("nb") - F.col("i")) * MIN_NUM).select("a", "b")
+    return shared.where(F.col("i") * like.den >= (F.col("na") + F.col("nb") - F.col("i")) * like.num).select("a", "b")
 
 
 def _labelled(groups: DataFrame, links: DataFrame) -> DataFrame:
@@ -178,7 +200,7 @@ def _labelled(groups: DataFrame, links: DataFrame) -> DataFrame:
     return saved(out.join(mixed, "sig"))
 
 
-def _linked(groups: DataFrame, sets: DataFrame) -> DataFrame:
+def _linked(groups: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
     """Links enough to span each component of the similarity graph."""
     links = tried = None
     state = groups.withColumn("comp", F.col("sid"))
@@ -187,7 +209,7 @@ def _linked(groups: DataFrame, sets: DataFrame) -> DataFrame:
         heads = state.groupBy("sig").agg(F.min(F.struct(F.xxhash64("comp", F.lit(r)).alias("o"), F.xxhash64("sid", F.lit(r)).alias("p"), "sid", "comp")).alias("h"))
         met = state.join(heads, "sig").where("comp != h.comp").select(F.least("sid", "h.sid").alias("a"), F.greatest("sid", "h.sid").alias("b")).distinct()
         met = saved(met if tried is None else met.join(tried, ["a", "b"], "left_anti"))
-        found = saved(_verified(met, sets))
+        found = saved(_verified(met, sets, like))
         tried = met if tried is None else tried.unionByName(met)
         links = found if links is None else links.unionByName(found)
         state = _labelled(groups, links)
@@ -197,14 +219,14 @@ def _linked(groups: DataFrame, sets: DataFrame) -> DataFrame:
     x = state.select("sig", F.col("sid").alias("a"), F.col("comp").alias("ca"))
     y = state.select("sig", F.col("sid").alias("b"), F.col("comp").alias("cb"))
     rest = x.join(y, "sig").where("a < b and ca != cb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    return links.unionByName(_verified(saved(rest), sets))
+    return links.unionByName(_verified(saved(rest), sets, like))
 
 
-def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", like: Likeness = DEFAULT) -> DataFrame:
     """One row per document: its set's size and the least id reachable by links."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     plain = docs.select(F.col(id_col).cast("long").alias("key"), F.xxhash64(text).alias("tkey"), text.alias("text"))
-    base = saved(plain.mapInArrow(_signed, "key long, tkey long, sid long, n long, sigs array<long>"))
+    base = saved(plain.mapInArrow(lambda batches: _signed(batches, like), "key long, tkey long, sid long, n long, sigs array<long>"))
     groups = _groups(base)
     # the row that stands for a set: its least id, then its least text hash
     own = base.where("sid is not null").groupBy("sid").agg(F.min("key").alias("least"), F.count("*").alias("copies"), F.min(F.struct(F.coalesce("key", F.lit(-(1 << 63)).cast("long")).alias("k"), "tkey")).alias("row"))
@@ -213,8 +235,8 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     picked = plain.withColumn("k", F.coalesce("key", F.lit(-(1 << 63)).cast("long"))).join(wanted, ["k", "tkey"]).select("sid", "text")
-    sets = saved(picked.mapInArrow(_grams, "sid long, grams array<long>").dropDuplicates(["sid"]))
-    labels = components(_linked(groups, sets))
+    sets = saved(picked.mapInArrow(lambda batches: _grams(batches, like.words), "sid long, grams array<long>").dropDuplicates(["sid"]))
+    labels = components(_linked(groups, sets, like))
     named = labels.join(own, labels.node == own.sid).select("sid", "label", "least")
     roots = named.groupBy("label").agg(F.min("least").alias("root"))
     # only sets with copies or links say more than the row itself
