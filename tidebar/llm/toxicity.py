@@ -25,8 +25,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 BUCKETS = 1 << 15
 GRAMS = (3, 4, 5)
 DIM = 8
-# bound of the training sample: labelled rows of class 0 and of class 1 at most; a row's bag has at most BUCKETS entries
-SAMPLE_ROWS = (3_000, 1_500)
+# bound of the training sample, which holds the classes in the shares of the labels; a row's bag has at most BUCKETS entries
+SAMPLE_ROWS = 13_500
 EPOCHS = 8
 BATCH = 32
 # a text's share of each gram is about a thousandth, so embeddings take long steps
@@ -167,16 +167,22 @@ def fit(rows: list, seed: int = 5) -> Model:
     return Model(weights, float(b[1] - b[0]), float(usual))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: tuple[int, int] = SAMPLE_ROWS) -> Model:
-    """Fit on at most ``sample_rows`` labelled rows of each class that are not held out, chosen by hashed id."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
+    """Fit on at most ``sample_rows`` labelled rows that are not held out, chosen by hashed id.
+
+    Each class keeps its share of the labels, and one row at least, so the model doesn't depend
+    on whether the labels fit the bound.
+    """
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.min(label_col).alias("lo"), F.max(label_col).alias("hi")).where("lo = hi")
     known = known.where(~held_out(id_col)).select(F.col(id_col).alias("k"), F.col("lo").cast("int").alias("label"), F.xxhash64(id_col).alias("o"))
+    counts = dict(map(tuple, known.groupBy("label").count().collect()))  # two rows
+    kept = min(1.0, sample_rows / max(1, sum(counts.values())))
     chosen = None
     for c in (0, 1):
-        part = known.where(F.col("label") == c).orderBy("o", "k").limit(sample_rows[c])
+        part = known.where(F.col("label") == c).orderBy("o", "k").limit(max(1, round(kept * counts.get(c, 0))))
         chosen = part if chosen is None else chosen.unionByName(part)
     own = docs.select(F.col(id_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    picked = own.join(F.broadcast(chosen), "k").groupBy("k", "label", "o").agg(F.min("text").alias("text"))  # at most sum(sample_rows) rows
+    picked = own.join(F.broadcast(chosen), "k").groupBy("k", "label", "o").agg(F.min("text").alias("text"))  # at most sample_rows + 2 rows
     rows = picked.select("label", "text").mapInArrow(bags, "label int, buckets binary, counts binary").toLocalIterator()  # bounded by the sample
     return fit(sorted((int(r[0]), bytes(r[1]), bytes(r[2])) for r in rows))
 
