@@ -4,10 +4,12 @@ A page is read once into text leaves with their root-to-leaf tag paths. Per path
 length and punctuation of its leaves are summed and divided by the number of leaves, which
 gives two ratios; both are smoothed over alike paths (one path is a prefix of the other or
 they differ in the last tag), fused into one value and compared with a threshold that the
-page's own spread sets. Paths above it are content; the content root is the
-deepest element that holds most of their text, and all its blocks are taken but those
-that marks of navigation, adverts, notices, forms or comments hold. Leaves inside links
-count against a path, so lists of links don't become content.
+page's own spread sets. Blocks with a leaf above it are content wherever they stand below the
+lowest element that holds nearly all such text, and with them the textual blocks next to
+them that aren't mostly links. Blocks under navigation, adverts, forms or comments are left out, but
+a mark on an element that holds most of the page's high-ratio text doesn't count, unless an
+article or main element stands free of marks; weak marks only take a block's neighbours from it.
+Leaves inside links count against a path, so lists of links don't become content.
 
 Edge cases: null or empty html gives an empty text; a page that is cut off in the middle of
 a tag, a reference or a script keeps what came before; unknown tags are inline; text
@@ -38,38 +40,48 @@ SCOPE = frozenset("table td th article section main body html".split())
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted sidebar side menu nav navigation navbar breadcrumb breadcrumbs footer header masthead comment comments reply replies respond disqus discussion cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe subscription signup login related recommended recommendations share sharing social widget toolbar pagination pager skip search complementary contentinfo".split()
 )
+# marks that articles' own blocks bear too: what passes the threshold under them is content
+WEAK = frozenset("banner discussion header login masthead menu modal notice notices overlay promo promotion recommendations recommended related replies reply respond search share sharing side signup skip social subscribe subscription toolbar widget".split())
+# blocks that join the content next to them, and blocks that can't hold all of it
+TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd td th pre blockquote figcaption caption summary address".split())
+INNER = TEXTUAL | frozenset("ul ol dl dir table thead tbody tfoot tr figure hgroup".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
 ATTRS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 WORDS = re.compile(r"[A-Za-z]+")
 BLANKS = re.compile(r"\s+")
 PUNCTUATION = re.compile(r"[.,;:!?¿¡…。，、；：！？]")
-SHARE = 0.5
+SHARE, NEARLY = 0.5, 0.95
+NONE, WEAKLY, STRONGLY, HIDES = range(4)
 
 
 class Leaf:
-    __slots__ = ("block", "boiler", "linked", "path", "text")
+    __slots__ = ("block", "linked", "marks", "path", "text")
 
-    def __init__(self, text: str, path: tuple[int, ...], block: int, boiler: bool, linked: bool):
-        self.text, self.path, self.block, self.boiler, self.linked = text, path, block, boiler, linked
+    def __init__(self, text: str, path: tuple[int, ...], block: int, marks: tuple[tuple[int, int], ...], linked: bool):
+        self.text, self.path, self.block, self.marks, self.linked = text, path, block, marks, linked
 
+    def mark(self, overruled: set[int]) -> int:
+        return max((m for e, m in self.marks if e not in overruled), default=NONE)
 
-def _marked(tag: str, attrs: str) -> bool:
+
+def _marked(tag: str, attrs: str) -> int:
+    if attrs and tag not in ("html", "body", "article", "main") and HIDDEN.search(attrs):
+        return HIDES
     if tag in BOILER:
-        return True
+        return STRONGLY
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
-    if HIDDEN.search(attrs):
-        return True
-    return any(w.lower() in MARKS for m in ATTRS.finditer(attrs) for w in WORDS.findall(m[2] or m[3] or m[4] or ""))
+        return NONE
+    words = {w.lower() for m in ATTRS.finditer(attrs) for w in WORDS.findall(m[2] or m[3] or m[4] or "")} & MARKS
+    return (STRONGLY if words - WEAK else WEAKLY) if words else NONE
 
 
 def leaves(page: str) -> tuple[list[Leaf], list[tuple[str, int]]]:
-    """Text leaves in page order, and (tag, parent) of each element; element 0 stands above the root."""
+    """Text leaves in page order with the marked elements above them, and (tag, parent) of each element; element 0 stands above the root."""
     found: list[Leaf] = []
     elements: list[tuple[str, int]] = [("", -1)]
-    # (tag, element, boiler, linked, skipped)
-    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+    # (tag, element, marks, linked, skipped)
+    stack: list[tuple[str, int, tuple[tuple[int, int], ...], bool, bool]] = [("", 0, (), False, False)]
     block, at, end = 0, 0, len(page)
 
     def text(upto: int) -> None:
@@ -120,7 +132,8 @@ def leaves(page: str) -> tuple[list[Leaf], list[tuple[str, int]]]:
             continue
         top = stack[-1]
         elements.append((tag, top[1]))
-        stack.append((tag, len(elements) - 1, top[2] or _marked(tag, m[3]), top[3] or tag == "a", top[4] or tag in SKIPPED))
+        mark = _marked(tag, m[3])
+        stack.append((tag, len(elements) - 1, (*top[2], (len(elements) - 1, mark)) if mark else top[2], top[3] or tag == "a", top[4] or tag in SKIPPED))
     return found, elements
 
 
@@ -161,43 +174,80 @@ def _ratios(found: list[Leaf], elements: list[tuple[str, int]]) -> dict[tuple[st
     return {p: (text[p] / top_text) * (0.5 + 0.5 * marks[p] / top_marks) for p in text}
 
 
-def extract(page: str | None) -> str:
-    found, elements = leaves(page or "")
-    if not found:
-        return ""
-    open_leaves = [x for x in found if not x.boiler]
-    ratios = _ratios(open_leaves, elements)
-    if not ratios:
-        return ""
-    values = list(ratios.values())
+def _passing(found: list[Leaf], elements: list[tuple[str, int]]) -> tuple[list[bool], dict[int, int], int]:
+    """Whether each leaf's path passes the threshold; the text of those that do, by element and in all."""
+    ratios = _ratios(found, elements)
+    values = list(ratios.values()) or [0.0]
     mean = sum(values) / len(values)
     spread = (sum((v - mean) ** 2 for v in values) / len(values)) ** 0.5
     threshold = min(max(mean, spread), max(values))
-    weight: dict[int, int] = defaultdict(int)
-    total = 0
-    for x in open_leaves:
-        if not x.linked and ratios.get(tuple(elements[e][0] for e in x.path[1:]), 0.0) >= threshold:
-            n = len(x.text.strip())
+    passes, weight, total = [], defaultdict(int), 0
+    for x in found:
+        n = len(x.text.strip())
+        passes.append(bool(n) and not x.linked and ratios.get(tuple(elements[e][0] for e in x.path[1:]), 0.0) >= threshold)
+        if passes[-1]:
             total += n
             for e in x.path:
                 weight[e] += n
-    # an article or main element that holds the content bounds it; else the deepest block that holds most of it
-    held = [e for e, w in weight.items() if w > SHARE * total and elements[e][0] in ("article", "main")]
-    if not held:
-        held = [e for e, w in weight.items() if w > SHARE * total and (elements[e][0] in BLOCK and elements[e][0] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "td") or e == 0)]
-    root = max(held) if held else 0  # a child is numbered after its parent
-    blocks: list[str] = []
-    last, parts = None, []
-    for x in open_leaves:
-        if root not in x.path:
+    return passes, weight, total
+
+
+def _overruled(found: list[Leaf], elements: list[tuple[str, int]]) -> set[int]:
+    """Marked elements that hold most of the page's high-ratio text."""
+    if any(not x.marks and x.text.strip() and any(elements[e][0] in ("article", "main") for e in x.path) for x in found):
+        return set()
+    _, weight, total = _passing(found, elements)
+    return {e for x in found for e, _ in x.marks if weight[e] > SHARE * total}
+
+
+def _bounds(weight: dict[int, int], total: int, elements: list[tuple[str, int]]) -> set[int]:
+    """The lowest element that holds nearly all passing text; an article or main element, or several side by side, go first."""
+    named = [e for e in weight if elements[e][0] in ("article", "main")]
+    most = [e for e in named if weight[e] >= NEARLY * total]
+    if most:
+        return {max(most)}  # a child is numbered after its parent
+    outer = []
+    for e in named:
+        up = elements[e][1]
+        while up > 0 and elements[up][0] not in ("article", "main"):
+            up = elements[up][1]
+        if up <= 0:
+            outer.append(e)
+    if outer and sum(weight[e] for e in outer) > SHARE * total:
+        return set(outer)
+    return {max((e for e, w in weight.items() if w >= NEARLY * total and elements[e][0] in BLOCK - INNER), default=0)}
+
+
+def extract(page: str | None) -> str:
+    found, elements = leaves(page or "")
+    found = [x for x in found if not any(m == HIDES for _, m in x.marks)]
+    overruled = _overruled(found, elements) if any(x.marks for x in found) else set()
+    found = [x for x in found if x.mark(overruled) < STRONGLY]
+    passes, weight, total = _passing(found, elements)
+    bounds = _bounds(weight, total, elements)
+    stated = all(elements[e][0] in ("article", "main") for e in bounds)
+    # (text, passes, may join) of each block within the bounds
+    blocks: list[tuple[str, bool, bool]] = []
+    k = 0
+    while k < len(found):
+        first = k
+        while k < len(found) and found[k].block == found[first].block:
+            k += 1
+        part = [i for i in range(first, k) if not bounds.isdisjoint(found[i].path)]
+        text = BLANKS.sub(" ", "".join(found[i].text for i in part)).strip()
+        if not text:
             continue
-        if x.block != last and parts:
-            blocks.append("".join(parts))
-            parts = []
-        last = x.block
-        parts.append(x.text)
-    blocks.append("".join(parts))
-    return "\n".join(b for b in (BLANKS.sub(" ", b).strip() for b in blocks) if b)
+        own = [i for i in part if found[i].text.strip()]
+        linked = sum(len(found[i].text.strip()) for i in own if found[i].linked)
+        textual = any(elements[e][0] in TEXTUAL for i in own for e in found[i].path)
+        # outside an article or main element, plain divs must pass themselves
+        joins = (2 * linked <= len(text) if textual else not linked and stated) and all(found[i].mark(overruled) == NONE for i in own)
+        blocks.append((text, any(passes[i] for i in own), joins))
+    keep = [b[1] for b in blocks]
+    for order in (range(1, len(blocks)), range(len(blocks) - 2, -1, -1)):
+        for i in order:
+            keep[i] = keep[i] or (blocks[i][2] and keep[i - order.step])
+    return "\n".join(b[0] for b, k in zip(blocks, keep, strict=True) if k)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
