@@ -21,17 +21,33 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban")
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
+# fixed values: countries by the length of their account codes
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban(size: int) -> str:
+    """A code of one length after its first four characters, in groups of four or without blanks."""
+    fours, rest = divmod(size - 4, 4)
+    return rf"(?:\x20?[A-Z0-9]{{4}}){{{fours}}}" + (rf"\x20?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+# a code of its country's length first, so that it doesn't take in the word behind it; else any length
+_IBANS = "|".join(rf"(?:{names.replace(' ', '|')})[0-9]{{2}}{_iban(n)}(?![A-Za-z0-9])" for n, names in IBAN_LENGTHS.items())
 # \G: a match may also begin where the last one ended, inside a run of the class
 PATTERNS = {
     "email": rf"(?={_LOCAL})(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?=[0-9])(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBANS}|[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{2,7}}(?:\x20?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9]))",
 }
 # a text without this cannot hold the kind
 NEEDS = {"email": "@", "phone": "+"}
-# fixed values: score before context, and words that raise it when they stand close before a span
+# fixed values: score before context, and words that raise it when they stand close to a span
 PRIOR = {"email": 0.8, "ip": 0.5, "card": 0.7, "phone": 0.5, "iban": 0.8}
 CONTEXT = {
     "email": r"(?i)\b(?:e-?mail|mail|contact|write|correo|courriel)\b",
@@ -88,17 +104,26 @@ def kind_spans(text: Column, kind: str) -> Column:
     """array<struct<kind, start, end, score>> of one kind in order; code points, end exclusive."""
     empty = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,score:double>>")
 
-    def spans(pieces: Column, at: Column) -> Column:
+    def last(s: Column) -> Column:
+        return F.substr(s, F.greatest(F.length(s) - CONTEXT_CHARS + 1, F.lit(1)))
+
+    def first(s: Column) -> Column:
+        return F.substr(s, F.lit(1), F.lit(CONTEXT_CHARS))
+
+    def spans(pieces: Column, at: Column, ends: Column, begins: Column) -> Column:
         def one(i: Column) -> Column:
-            near = F.get(pieces, i - 1)
-            score = F.lit(PRIOR[kind]) + F.when(F.rlike(F.substr(near, F.greatest(F.length(near) - CONTEXT_CHARS + 1, F.lit(1))), F.lit(CONTEXT[kind])), CONTEXT_BONUS).otherwise(0.0)
+            # pieces enough to hold the context: of two neighbours one at least isn't empty
+            low = F.greatest(i - 2 * CONTEXT_CHARS, F.lit(0))
+            before = last(F.array_join(F.slice(ends, low + 1, i - low), ""))
+            after = first(F.array_join(F.slice(begins, i + 2, F.lit(2 * CONTEXT_CHARS)), ""))
+            score = F.lit(PRIOR[kind]) + F.when(F.rlike(before, F.lit(CONTEXT[kind])) | F.rlike(after, F.lit(CONTEXT[kind])), CONTEXT_BONUS).otherwise(0.0)
             start = F.get(at, i)
             return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(F.get(pieces, i))).alias("end"), score.alias("score"))
 
         odd = F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2))
         return F.transform(F.filter(odd, lambda i: _valid(kind, F.get(pieces, i))), one)
 
-    return let(_pieces(text, kind), lambda p: F.when(F.size(p) < 3, empty).otherwise(let(prefix_sums(F.transform(p, F.length)), lambda at: spans(p, at))))
+    return let(_pieces(text, kind), lambda p: F.when(F.size(p) < 3, empty).otherwise(let(prefix_sums(F.transform(p, F.length)), lambda at: let(F.transform(p, last), lambda ends: let(F.transform(p, first), lambda begins: spans(p, at, ends, begins))))))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
