@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidebar.llm import decontam, fingerprints, html_text, license_scan, ngram_join, packing, pii, quality, token_files, toxicity, warc, whitening
+from tidebar.llm import decontam, fingerprints, html_text, license_scan, ngram_join, packing, pii, prefix_trie, quality, token_files, toxicity, warc, whitening
 from tidebar.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,11 +59,15 @@ def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
-OPERATORS = (op1_fingerprints, op2_license_scan, op3_toxicity, op4_warc, op5_html_text, op6_token_counts, op7_pii, op8_ngram_join, op9_packing, op10_decontamination, op11_quality, op13_whitening)
+OPERATORS = (op1_fingerprints, op2_license_scan, op3_toxicity, op4_warc, op5_html_text, op6_token_counts, op7_pii, op8_ngram_join, op9_packing, op10_decontamination, op11_quality, op12_prefix_trie, op13_whitening)
 
 
 def queries() -> dict[str, Query]:
