@@ -15,7 +15,7 @@ def test_stages_against_brute_force(spark):
     assert kept.columns == docs.columns and kept.count() > 0.8 * docs.count()
     alike = stages["ngram_join"](spark, docs, SF)
     rows = {r.doc_id: r.text for r in docs.collect()}
-    assert {r.doc_id for r in alike.collect()} == {min(g) for g in brute_groups(rows)}
+    assert {r.doc_id for r in alike.collect()} == {min(g) for g in brute_groups(rows, corpus_pipeline.ALIKE)}
     clean = stages["decontamination"](spark, docs, SF)
     items = [" ".join(r.text.lower().split()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     holds = {i for i, t in rows.items() if any(x in " ".join(t.lower().split()) for x in items)}
