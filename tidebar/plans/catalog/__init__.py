@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("bars", "series", "features", "labels", "study", "factors", "trades", "diagnostics", "entry", "feeds")
+FAMILIES = ("bars", "series", "features", "labels", "study", "factors", "trades", "diagnostics", "entry", "feeds", "streams")
 
 
 def load() -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +65,11 @@ def stored(spark: SparkSession, source: str, name: str, build: Callable[[], Data
     return spark.read.parquet(path)
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new folder's address below the shared checkpoint folder."""
+    return f"{checkpoint_root(spark)}/tidebar-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write an intermediate result once to the shared checkpoint folder and read it from there."""
     spark = df.sparkSession
