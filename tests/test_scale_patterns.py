@@ -83,10 +83,30 @@ def test_overlap_and_greedy_against_brute_force(spark):
         if s > last:
             kept.append(i)
             last = e
-    out = overlap.greedy_non_overlapping(df, ["k"], "s", "e", "id", 10, size=16)
+    out = overlap.greedy_non_overlapping(df, ["k"], "s", "e", "id", size=16)
     assert sorted(r.id for r in out.collect()) == sorted(kept)
 
 
+def test_greedy_choice_with_intervals_beyond_chunks_and_many_keys(spark):
+    import random
+
+    rng = random.Random(9)
+    rows = []
+    for k, (n, span, longest) in enumerate(((1, 5, 3), (60, 900, 200), (300, 2000, 3), (80, 50, 400), (200, 4000, 40))):
+        for i in range(n):
+            s = rng.randint(-span, span)
+            rows.append((f"k{k}", k * 1000 + i, s, s + rng.randint(0, longest)))
+    kept, last = [], {}
+    for k, i, s, e in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        if s > last.get(k, -(10**9)):
+            kept.append(i)
+            last[k] = e
+    df = spark.createDataFrame(rows, "k string, id long, s long, e long")
+    for size in (8, 512):
+        out = overlap.greedy_non_overlapping(df, ["k"], "s", "e", "id", size=size)
+        assert sorted(r.id for r in out.collect()) == sorted(kept)
+
+
 def test_nearest_is_exact(spark):
     rng = np.random.default_rng(5)
     pts = [("g", f"p{i:03d}", float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(90, 2)))]

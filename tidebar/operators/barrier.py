@@ -85,11 +85,10 @@ def barrier_exits(
     return out.withColumns(outcome_columns(F.col("entry_price"), F.col("exit_price"), F.col("side"), notional, fee_bps))
 
 
-def one_at_a_time(trades: DataFrame, max_hold: int, cooldown: int = 0, size: int = CHUNK) -> DataFrame:
+def one_at_a_time(trades: DataFrame, cooldown: int = 0, size: int = CHUNK) -> DataFrame:
     """Keep the trades a single position would take: a signal inside a kept trade, or its cooldown, is dropped."""
     spaced = trades.withColumn("_until", F.greatest(F.col("blocked_until"), F.col("signal_bar_index") + cooldown))
-    longest = max(max_hold + 1, cooldown) + 1
-    return greedy_non_overlapping(spaced, [*KEYS, "param_id"], "signal_bar_index", "_until", "trade_id", longest, size).drop("_until")
+    return greedy_non_overlapping(spaced, [*KEYS, "param_id"], "signal_bar_index", "_until", "trade_id", size).drop("_until")
 
 
 def marked_equity(trades: DataFrame, bars: DataFrame, notional: float = 1000.0) -> DataFrame:

@@ -247,37 +247,6 @@ def session_summary(returns: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame
     return returns.groupBy(*keys).agg(*aggs).select(*keys, F.explode(rows).alias("_r")).select(*keys, "_r.*")
 
 
-def return_matrix(df: DataFrame, time: str, name: str, value: str, names: Sequence[str]) -> DataFrame:
-    """One row per time, one column per listed series."""
-    return df.groupBy(time).pivot(name, list(names)).agg(F.avg(value))
-
-
-def correlation_matrix(matrix: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Pairwise-complete correlations of a return matrix as rows; the pairs are of columns, not rows."""
-    cols = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    wide = matrix.agg(*[safe_corr(a, b).alias(f"_{i}") for i, (a, b) in enumerate(cols)])
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{i}").alias("corr")) for i, (a, b) in enumerate(cols)])
-    return wide.select(F.explode(pairs).alias("_p")).select("_p.*")
-
-
-def pca_first_factor(matrix: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Explained share and loadings of the first principal component of standardised returns.
-
-    The covariance is one distributed aggregate; only its matrix, one entry per pair of
-    listed series, is decomposed. The sign makes the largest loading positive.
-    """
-    from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-
-    data = VectorAssembler(inputCols=list(names), outputCol="_v").transform(matrix.dropna(subset=list(names)))
-    scaled = StandardScaler(inputCol="_v", outputCol="_z", withMean=True, withStd=True).fit(data).transform(data)
-    model = PCA(k=len(names), inputCol="_z", outputCol="_p").fit(scaled)
-    first = model.pc.toArray()[:, 0]
-    first = first * (1.0 if first[int(np.argmax(np.abs(first)))] > 0 else -1.0)
-    share = float(model.explainedVariance[0])
-    rows = [(n, float(x), share) for n, x in zip(names, first, strict=True)]
-    return matrix.sparkSession.createDataFrame(rows, "series string, beta_to_first_pc double, explained_variance_ratio double")
-
-
 def metric_rows(tables: dict[str, tuple[DataFrame, Sequence[str]]], keys: Sequence[str] = KEYS) -> DataFrame:
     """Long report: section, metric and value of several per-series tables."""
     out = None

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import bisect
 import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from ..functions.scalar import INTERVAL_MS, change, finite, flag, interval_ms, ln_pos, null, ratio, zero_padded
 from .chunks import CHUNK, KEYS, over_chunks, rows, running
+from .prefix_median import expanding_median
 from .quantiles import exact_quantiles
 
 
@@ -385,25 +384,10 @@ def with_close_time(bars: DataFrame, size: int = CHUNK) -> DataFrame:
     return gaps.join(spacing, [*KEYS], "left").withColumn("close_time_ms", F.col("open_time_ms") + step).drop("_gap", "_spacing")
 
 
-def _expanding_median(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Median of all values so far, kept in a sorted list."""
-    seen: list[float] = []
-    out = []
-    pdf = pdf.sort_values("bar_index")
-    for v in pdf["_vol"].to_numpy():
-        if not math.isnan(v):
-            bisect.insort(seen, v)
-        n = len(seen)
-        out.append(None if n == 0 else (seen[(n - 1) // 2] + seen[n // 2]) / 2.0)
-    return pdf.assign(_base=out)[["symbol", "interval", "bar_index", "_base"]]
-
-
 def htf_state(htf: DataFrame, size: int = CHUNK) -> DataFrame:
     """State of every completed higher-timeframe bar: move, volatility, trend, distance to range ends.
 
-    The volatility baseline is the median of the whole visible history. One series
-    cannot hold more bars than its calendar span has steps, which bounds the group
-    that the running median walks; only three columns reach Python.
+    The volatility baseline is the median of the whole visible history, found chunk by chunk.
     """
 
     def build(d: DataFrame, w: WindowSpec) -> DataFrame:
@@ -421,9 +405,7 @@ def htf_state(htf: DataFrame, size: int = CHUNK) -> DataFrame:
         )
 
     cut = over_chunks(htf, build, back=21, size=size)
-    base = cut.select(*KEYS, "bar_index", "_vol").groupBy(*KEYS).applyInPandas(
-        _expanding_median, "symbol string, interval string, bar_index long, _base double"
-    )
+    base = expanding_median(cut, "_vol", "_base")
     enough = F.col("bar_index") >= 19
     move, vol, usual = F.col("pre_simple_ret_20"), F.col("realized_vol_20"), F.col("_base")
     limit = F.greatest(F.lit(0.002), F.coalesce(vol, F.lit(0.0)))

@@ -164,9 +164,9 @@ def purged_walk_forward(
     return purge_episodes(out, on) if episodes else out
 
 
-def non_overlapping(df: DataFrame, horizon: int, keys: Sequence[str] = KEYS, size: int = CHUNK) -> DataFrame:
+def non_overlapping(df: DataFrame, keys: Sequence[str] = KEYS, size: int = CHUNK) -> DataFrame:
     """Greedy thinning so that kept label windows never touch."""
-    return greedy_non_overlapping(df, keys, "label_start_bar", "label_end_bar", "observation_id", horizon, size)
+    return greedy_non_overlapping(df, keys, "label_start_bar", "label_end_bar", "observation_id", size)
 
 
 def integrity(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

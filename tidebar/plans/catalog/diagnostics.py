@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ...operators import diagnostics as D, series
+from ...operators import comovement, diagnostics as D, series
 from ...operators.chunks import KEYS
 from ..derive import bars
 from ..registry import query
@@ -163,28 +163,37 @@ def _(spark, sf):
     return D.session_summary(rets(spark, sf))
 
 
-BASKETS = [f"B{i}" for i in range(8)]
-BASKET_SQL = f"bk AS (SELECT open_time_ms, 'B' || (cast(substr(symbol, 2, 6) AS BIGINT) % 8) AS basket, log_return AS v FROM rets), mx AS (SELECT open_time_ms, {', '.join(f'avg(CASE WHEN basket = {chr(39)}{b}{chr(39)} THEN v END) AS {b}' for b in BASKETS)} FROM bk GROUP BY 1)"
-
-
-def matrix(spark, sf):
-    r = rets(spark, sf).withColumn("basket", F.concat(F.lit("B"), (F.substring("symbol", 2, 6).cast("long") % 8).cast("string")))
-    return D.return_matrix(r, "open_time_ms", "basket", "log_return", BASKETS)
+RETURNS_SQL = "mv AS (SELECT symbol, open_time_ms, log_return AS v FROM rets WHERE log_return IS NOT NULL), ms AS (SELECT DISTINCT symbol FROM mv)"
 
 
 @query(
     "correlation_matrix",
-    " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS corr FROM mx" for i, a in enumerate(BASKETS) for b in BASKETS[i:]),
-    f"{RET_SQL}, {BASKET_SQL}",
+    """SELECT p.a, p.b, count(x.v) AS n, CASE WHEN count(x.v) >= 2 THEN corr(x.v, y.v) END AS corr FROM (SELECT l.symbol AS a, r.symbol AS b FROM ms l, ms r WHERE l.symbol <= r.symbol) p
+       LEFT JOIN (mv x JOIN mv y USING (open_time_ms)) ON x.symbol = p.a AND y.symbol = p.b GROUP BY 1, 2""",
+    f"{RET_SQL}, {RETURNS_SQL}",
     "corr",
 )
 def _(spark, sf):
-    return D.correlation_matrix(matrix(spark, sf), BASKETS)
+    return comovement.pairwise_correlations(rets(spark, sf), "open_time_ms", "symbol", "log_return")
 
 
-@query("pca_first_factor")
+# the correlations are squared over and over, so that only their leading direction is left
+@query(
+    "pca_first_factor",
+    "SELECT symbol AS series, v * sign(max_by(v, abs(v)) OVER ()) AS beta_to_first_pc, share AS explained_variance_ratio FROM pv",
+    f"""RECURSIVE {RET_SQL}, {RETURNS_SQL},
+    mf AS (SELECT open_time_ms FROM mv GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM ms)),
+    mz AS (SELECT symbol, open_time_ms, v FROM mv JOIN mf USING (open_time_ms) QUALIFY min(v) OVER (PARTITION BY symbol) < max(v) OVER (PARTITION BY symbol)),
+    mc AS (SELECT x.symbol AS i, y.symbol AS j, corr(x.v, y.v) AS v FROM mz x JOIN mz y USING (open_time_ms) GROUP BY 1, 2 HAVING (SELECT count(DISTINCT symbol) FROM mz) >= 2),
+    mp AS (SELECT 0 AS k, i, j, v FROM mc UNION ALL SELECT k + 1, i, j, v / sum(CASE WHEN i = j THEN v END) OVER () FROM (SELECT x.k, x.i, y.j, sum(x.v * y.v) AS v FROM mp x JOIN mp y ON x.j = y.i WHERE x.k < 18 GROUP BY 1, 2, 3)),
+    pl AS (SELECT i AS symbol, v / sqrt(sum(v * v) OVER ()) AS v FROM mp WHERE k = 18 AND j = (SELECT i FROM mp WHERE k = 18 AND i = j ORDER BY v DESC, i LIMIT 1)),
+    pv AS (SELECT symbol, v, (SELECT sum(a.v * mc.v * b.v) FROM mc JOIN pl a ON a.symbol = mc.i JOIN pl b ON b.symbol = mc.j) / count(*) OVER () AS share FROM pl)""",
+    "beta_to_first_pc explained_variance_ratio",
+)
 def _(spark, sf):
-    return D.pca_first_factor(matrix(spark, sf), BASKETS)
+    full = comovement.complete_times(rets(spark, sf), "open_time_ms", "symbol", "log_return")
+    first = comovement.first_component(*comovement.correlation_blocks(full, "open_time_ms", "symbol", "log_return"))
+    return first.select("series", F.col("loading").alias("beta_to_first_pc"), F.col("share").alias("explained_variance_ratio"))
 
 
 @query(

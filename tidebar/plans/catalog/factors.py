@@ -227,7 +227,7 @@ def _(spark, sf):
         SELECT * FROM sq WHERE sq.symbol = c.symbol AND sq."interval" = c."interval" AND sq.label_start_bar > c.label_end_bar ORDER BY k LIMIT 1) n)""",
 )
 def _(spark, sf):
-    return splits.non_overlapping(obs(spark, sf), 10, size=128).select("observation_id")
+    return splits.non_overlapping(obs(spark, sf), size=128).select("observation_id")
 
 
 @query(

@@ -207,7 +207,7 @@ SINGLE_SQL = f"RECURSIVE {SIG_SQL.strip()}, {GREEDY}"
 
 
 def single(spark, sf):
-    return barrier.one_at_a_time(exits(spark, sf), 10, 2, size=256)
+    return barrier.one_at_a_time(exits(spark, sf), 2, size=256)
 
 
 @query("single_position_trades", "SELECT trade_id, param_id, exit_reason, net_pnl_quote FROM single", SINGLE_SQL, "net_pnl_quote")

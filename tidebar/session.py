@@ -70,6 +70,12 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/tidebar-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate result to the shared folder and read it back; unlike a checkpoint, the plan then knows its size."""
+    df.write.parquet(path := fresh(df.sparkSession, name))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write an intermediate result once to the shared checkpoint folder and read it from there."""
     spark = df.sparkSession
