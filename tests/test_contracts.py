@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidebar.operators import behavior, cleaning, guards, rules, trades
+from tidebar.operators import cleaning, guards, rules, trades
 from tidebar.streaming import jobs
 
 
@@ -25,11 +25,17 @@ def test_cleaning_rejects_and_keeps_last(spark):
 def test_guards_stop_outcome_columns():
     with pytest.raises(ValueError):
         guards.require_safe(["pre_ret_10", "fwd_ret_5"])
-    assert guards.leakage_audit(["pre_ret_10", "mfe_10"], {"pre_ret_10": True})["status"] == "FAIL"
     with pytest.raises(ValueError):
         rules.rule_column([{"column": "nope", "op": "<=", "value": 1}], ["a"], missing="error")
 
 
+def test_leakage_table_tells_every_column(spark):
+    df = spark.createDataFrame([(1, 2, 3, 4, 5)], "event_id int, pre_ret_10 int, mfe_10 int, other int, off int")
+    registry = spark.createDataFrame([("pre_ret_10", True), ("off", True), ("off", False)], "feature_name string, model_input_allowed boolean")
+    got = dict(map(tuple, guards.leakage_table(df, registry).collect()))
+    assert got == {"event_id": "index", "pre_ret_10": "allowed", "mfe_10": "forbidden", "other": "unregistered", "off": "disallowed"}
+
+
 def test_contracts_differ():
     names = ["fwd_x", "post_x", "mfe_10", "mfe_20", "label_tags_json", "last_exit_reason", "Exit_bar", "pre_ret_10"]
     assert guards.forbidden(names, "dataset") == ["fwd_x", "post_x", "mfe_10"]
@@ -83,10 +89,6 @@ def test_false_discovery_rates(spark):
     assert got["d"] == pytest.approx(0.2) and got["e"] is None
 
 
-def test_profile_completeness():
-    assert behavior.completeness({}) == 0.0
-
-
 def test_stream_bars_equal_batch_bars(spark, tmp_path):
     rows = [("AAA", i * 20, 100.0 + i % 5, 1.0, i) for i in range(60)]
     df = spark.createDataFrame(rows, "symbol string, s long, price double, size double, seq long").select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -34,17 +34,6 @@ def require_safe(columns: Iterable[str], contract: str = "factor") -> None:
         raise ValueError(f"outcome columns are not allowed as inputs: {', '.join(bad)}")
 
 
-def leakage_audit(columns: Sequence[str], registry: Mapping[str, bool]) -> dict:
-    """Forbidden, disallowed and unregistered columns against a registry of name -> allowed as input."""
-    used = [c for c in columns if c not in INDEX_COLUMNS]
-    out = {
-        "forbidden": forbidden(columns),
-        "disallowed": [c for c in used if registry.get(c) is False],
-        "unregistered": sorted(c for c in used if c not in registry),
-    }
-    return {**out, "status": "FAIL" if out["forbidden"] or out["disallowed"] else "PASS"}
-
-
 def leakage_table(df: DataFrame, registry: DataFrame) -> DataFrame:
     """One row per column of ``df`` with its finding; ``registry`` has feature_name and model_input_allowed."""
     bad = forbidden(df.columns)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ...operators import behavior as B, features, matching as M, similarity as S, splits, universe
+from ...operators import behavior as B, features, matching as M, scorecard, similarity as S, splits, universe
 from ...operators.chunks import KEYS
 from ...session import stored
 from ..derive import EVENTS_SQL, bars
@@ -460,11 +460,64 @@ def _(spark, sf):
     return stab(spark, sf)
 
 
-@query("strategy_consistency")
+# -- sessions under profile rows: the long profile, one for both sides, and none
+
+EXPECTED = {c: (d["op"], d["value"]) for c, d in CONDS.items()}
+PROFILES = [
+    (name, "own", sides, PROFILE["required_entry_tags"], PROFILE["forbidden_tags"], {"intervals": PROFILE["allowed_intervals"]}, {"stop_loss_pct": 1.5, "max_holding_bars": 20.0}, "fixed", True, EXPECTED)
+    for name, sides in (("long", ["LONG"]), ("both", ["LONG", "SHORT"]))
+]
+NEAR_SQL = " + ".join(f"pow(u.{m} - c.{m}, 2)" for m in MF)
+SCORE_SQL = f"""{TAGS_SQL}, {STAB_SQL.split(SAMPLES_SQL)[1].strip().lstrip(",")},
+zz AS (SELECT event_id, session_id, event_type || '_' || side AS act, {", ".join(f"{m} / CASE WHEN stddev_pop({m}) OVER (PARTITION BY session_id) > 0 THEN stddev_pop({m}) OVER (PARTITION BY session_id) ELSE 1 END AS {m}" for m in MF)} FROM opens WHERE {" AND ".join(f"{m} IS NOT NULL" for m in MF)}),
+ag AS (SELECT session_id, avg(a) * 100 AS agreement_pct FROM (SELECT session_id, event_id, avg(CASE WHEN ua = ca THEN 1.0 ELSE 0.0 END) AS a FROM (
+  SELECT u.session_id, u.event_id, u.act AS ua, c.act AS ca, row_number() OVER (PARTITION BY u.event_id ORDER BY sqrt({NEAR_SQL}), c.event_id) AS rn FROM zz u JOIN zz c ON u.session_id = c.session_id AND u.event_id <> c.event_id) WHERE rn <= 5 GROUP BY 1, 2) GROUP BY 1),
+ht AS (SELECT session_id, avg(CASE WHEN pre_ret_10 <= 0 THEN 100.0 WHEN pre_ret_10 IS NOT NULL THEN 0.0 END) AS h1, avg(CASE WHEN lower_wick_ratio >= 0.3 THEN 100.0 WHEN lower_wick_ratio IS NOT NULL THEN 0.0 END) AS h2,
+  avg(CASE WHEN coalesce(pre_ret_10 <= 0, false) AND coalesce(lower_wick_ratio >= 0.3, false) THEN 100.0 ELSE 0.0 END) AS both_hit FROM opens GROUP BY 1),
+td AS (SELECT session_id, CASE WHEN count(DISTINCT tag) > 1 THEN 1 ELSE 0 END AS tag_drift FROM (SELECT th.session_id, part, label_tag AS tag, row_number() OVER (PARTITION BY th.session_id, part ORDER BY count(*) DESC, label_tag) AS rn
+  FROM th JOIN tg USING (event_id) WHERE th.session_id IN (SELECT session_id FROM tw) GROUP BY 1, 2, 3) WHERE rn = 1 GROUP BY 1),
+sf AS (SELECT ts.*, cast(right(session_id, 1) AS BIGINT) % 3 AS pk, o.*, c.closed_trades, agreement_pct, (h1 + h2) / 2 AS match_pct, both_hit AS match_all_pct, coalesce(tag_drift, 0) AS tag_drift_warning,
+    CASE WHEN coalesce({spread_sql("pre_ret_20")} OR {spread_sql("lower_wick_ratio")}, false) THEN 1 ELSE 0 END AS feature_drift_warning,
+    CASE WHEN coalesce(greatest({", ".join(f"long_pct_{p}" for p in PARTS3)}) - least({", ".join(f"long_pct_{p}" for p in PARTS3)}) > 40, false) THEN 1 ELSE 0 END AS direction_drift_warning
+  FROM ts JOIN (SELECT session_id AS sid, avg(CASE WHEN side = 'LONG' THEN 100.0 ELSE 0.0 END) AS long_pct, avg(CASE WHEN bar_index % 3 = 0 THEN 100.0 ELSE 0.0 END) AS missing_note_pct FROM opens GROUP BY 1) o ON o.sid = ts.session_id
+  LEFT JOIN (SELECT session_id, count(*) AS closed_trades FROM samples WHERE event_type = 'CLOSE' GROUP BY 1) c USING (session_id) LEFT JOIN ag USING (session_id) LEFT JOIN ht USING (session_id) LEFT JOIN td USING (session_id) LEFT JOIN tw USING (session_id)),
+sg AS (SELECT *, pk < 2 AS declared, coalesce(closed_trades, 0) < greatest(1, floor(sample_count * 0.3)) AS bias, pk = 1 AND long_pct IN (0, 100) AS oneside,
+    CASE pk WHEN 0 THEN long_pct WHEN 1 THEN 100.0 ELSE greatest(long_pct, 100 - long_pct) END AS direction_consistency_pct, cast(right(session_id, 1) AS BIGINT) % 2 = 0 AS has_exit FROM sf),
+sp AS (SELECT *, round(15.0 * 6 / 6, 2) AS complete_pts, round(label_score_pct * 0.15, 2) AS tag_pts, round(CASE WHEN oneside THEN 6.0 ELSE direction_consistency_pct / 10 END, 2) AS side_pts, round(coalesce(agreement_pct / 10, match_all_pct / 10, 5.0), 2) AS setup_pts,
+    CASE WHEN closed_trades >= 50 THEN 10.0 WHEN closed_trades >= 30 THEN 8.0 WHEN closed_trades >= 10 THEN 5.0 WHEN closed_trades >= 5 THEN 2.0 ELSE 0.0 END AS enough_pts, CASE WHEN has_exit THEN 10.0 WHEN closed_trades > 0 THEN 4.0 ELSE 0.0 END AS exit_pts,
+    10 - 2.5 * (direction_drift_warning + tag_drift_warning + feature_drift_warning + bias::INTEGER) AS stable_pts FROM sg),
+st AS (SELECT *, CASE WHEN declared THEN round(complete_pts + tag_pts + side_pts + setup_pts + enough_pts + exit_pts + stable_pts + 15.0 + 5.0, 2) END AS raw_score,
+    least(CASE WHEN closed_trades < 10 THEN 40.0 WHEN closed_trades < 30 THEN 60.0 ELSE 100.0 END, CASE WHEN tagged_count = 0 THEN 55.0 ELSE 100.0 END, CASE WHEN has_exit THEN 100.0 ELSE 80.0 END) AS cap,
+    list_filter([CASE WHEN closed_trades < 10 THEN 'closed_trades < 10: cap 40' END, CASE WHEN closed_trades BETWEEN 10 AND 29 THEN 'closed_trades < 30: cap 60' END, CASE WHEN tagged_count = 0 THEN 'no labels: cap 55' END, CASE WHEN NOT has_exit THEN 'no exit metadata: cap 80' END], lambda x: x IS NOT NULL) AS caps,
+    list_filter([CASE WHEN sample_count < 30 THEN 'sample_count below min_sample_count' END, CASE WHEN pk = 0 AND direction_consistency_pct < 70 THEN 'direction_consistency_pct below hard floor for declared allowed_sides' END, CASE WHEN untagged_pct > 60 THEN 'untagged_pct too high' END,
+      CASE WHEN declared AND missing_note_pct > 40 THEN 'missing_note_pct above profile limit' END, CASE WHEN bias THEN 'possible_selection_bias_warning is true' END, CASE WHEN declared AND forbidden_tag_hit_count > 0 THEN 'forbidden_tag_hit_count > 0' END], lambda x: x IS NOT NULL) AS gates FROM sp),
+su AS (SELECT *, CASE WHEN declared THEN round(least(raw_score, cap), 2) END AS total_score FROM st)"""
+
+
+@query(
+    "strategy_consistency",
+    """SELECT session_id, CASE WHEN declared THEN 'CUSTOM' ELSE 'UNDECLARED' END AS profile_status, sample_count, closed_trades, direction_consistency_pct, untagged_pct, missing_note_pct, CASE WHEN declared THEN match_pct END AS match_pct, CASE WHEN declared THEN match_all_pct END AS match_all_pct,
+      agreement_pct, tag_drift_warning, CASE WHEN declared THEN tag_pts END AS tag_points, CASE WHEN declared THEN stable_pts END AS stability_points, raw_score, total_score, CASE WHEN declared THEN array_to_string(caps, '; ') END AS caps_applied, array_to_string(gates, '; ') AS gate_failures,
+      CASE WHEN array_to_string(gates, ';') LIKE '%direction_consistency_pct%' THEN 'not_suitable_for_rule_mining' WHEN NOT declared THEN 'descriptive_only' WHEN total_score >= 80 AND len(gates) = 0 THEN 'suitable_for_analysis' WHEN total_score >= 60 THEN 'needs_manual_review' ELSE 'not_suitable_for_rule_mining' END AS recommendation,
+      CASE WHEN NOT declared THEN 'behavior statistics and sample structure only' WHEN total_score >= 80 THEN 'behavior appears repeatable; continue with out-of-sample audit' WHEN total_score >= 60 THEN 'partially defined behavior; manual review is required' ELSE 'insufficient evidence of a repeatable audited strategy' END AS interpretation FROM su""",
+    SCORE_SQL,
+    "direction_consistency_pct untagged_pct missing_note_pct match_pct match_all_pct agreement_pct tag_points stability_points raw_score total_score",
+    "tag_drift_warning",
+)
 def _(spark, sf):
     s = samples(spark, sf)
-    closed = s.where("event_type = 'CLOSE'").groupBy("session_id").agg(F.count(F.lit(1)).alias("closed_trades"))
-    out = B.consistency(
-        tag_table(spark, sf), B.direction(opens(spark, sf), ["session_id"], PROFILE["allowed_sides"]), stab(spark, sf), B.condition_hits(opens(spark, sf), CONDS, ["session_id"]), closed, PROFILE, ["session_id"]
-    )
-    return out.select("session_id", "sample_count", "closed_trades", "raw_score", "total_score", "gate_failures", "recommendation", "interpretation")
+    digit, on = F.substring("session_id", -1, 1).cast("long"), ["session_id"]
+    declared = F.when(digit % 3 == 0, "long").when(digit % 3 == 1, "both")
+    events = s.withColumns({"profile_id": declared, "note": F.when(F.col("bar_index") % 3 == 0, "").otherwise("n")})
+    trades = s.where("event_type = 'CLOSE'").select(*on, F.lit("CLOSED").alias("status"), F.lit(4.0).alias("fee_bps"), F.lit(1.0).alias("slippage_bps"), F.when(digit % 2 == 0, "rule").alias("exit_reason"))
+    profiles = spark.createDataFrame(PROFILES, scorecard.PROFILE_SCHEMA)
+    acts = opens(spark, sf).withColumn("act", F.concat_ws("_", "event_type", "side"))
+    near = M.neighbour_agreement(acts, on, "event_id", "act", MF, 5, cell=32).select(*on, F.col("similar_context_agreement_pct").alias("agreement_pct"))
+    found = scorecard.event_evidence(events, profiles, list(CONDS), on).join(scorecard.trade_evidence(trades, on), on, "left").join(near, on, "left")
+    drift = stab(spark, sf).select(*on, "direction_drift_warning", "feature_drift_warning")
+    found = found.join(drift, on, "left").join(scorecard.tag_drift(opens(spark, sf), on, "open_time_ms", "sample_no", 14_400_000 * 16_384), on, "left")
+    points = lambda c: F.element_at("component_scores", F.lit(c))
+    return scorecard.scores(found, profiles, on).select(
+        *on, "profile_status", "sample_count", "closed_trades", "direction_consistency_pct", "untagged_pct", "missing_note_pct", "match_pct", "match_all_pct", "agreement_pct", "tag_drift_warning", points("entry_tag_consistency").alias("tag_points"),
+        points("result_stability").alias("stability_points"), "raw_score", "total_score", F.array_join("caps_applied", "; ").alias("caps_applied"), F.array_join("gate_failures", "; ").alias("gate_failures"), "recommendation", "interpretation",
+    )
