@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from ...functions.scalar import ERF_A, ERF_T, utc8_month
-from ...operators import factors, labels, rules, series, splits, study, universe
+from ...operators import factors, labels, rulebook, rules, series, splits, study, universe
 from ...operators.chunks import KEYS
+from ...session import fresh
 from ..derive import bars
 from ..registry import query
 from ..samples import FACTORS, LABEL, SAMPLES_SQL, samples
@@ -393,3 +394,46 @@ def _(spark, sf):
     g = samples(spark, sf).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.avg(LABEL).alias("lift"))
     v = splits.rule_verdict(F.col("n"), F.col("n"), F.lit(0.0001), F.col("lift"), F.lit(0.0), 0.1, 30, 1.0)
     return g.select(v.alias("validation_status")).groupBy("validation_status").agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- stored rules: a book written as CSV with JSON conditions and read back
+
+BOOK_SQL = f"{SAMPLES_SQL}, book AS (SELECT cast(substr(symbol, 2) AS BIGINT) AS rule_index, round(avg(pre_ret_10), 4) AS fall, round(avg(lower_wick_ratio), 4) AS wick FROM samples GROUP BY symbol)"
+
+
+def condition(column, op, value):
+    return F.struct(F.lit(column).alias("column") if isinstance(column, str) else column.alias("column"), F.lit(op).alias("op"), value.cast("double").alias("value"))
+
+
+def stored_book(spark, sf, *conditions):
+    """A rule per symbol from its own averages, through a file as another tool would leave it."""
+    own = samples(spark, sf).groupBy(F.substr("symbol", F.lit(2)).cast("long").alias("rule_index")).agg(F.round(F.avg("pre_ret_10"), 4).alias("fall"), F.round(F.avg("lower_wick_ratio"), 4).alias("wick"))
+    text = F.to_json(F.array_compact(F.array(*conditions))).alias("conditions_json")
+    own.select("rule_index", text).write.option("header", True).option("escape", '"').csv(path := fresh(spark, "rules"))
+    return spark.read.option("header", True).option("escape", '"').schema("rule_index long, conditions_json string").csv(path)
+
+
+@query(
+    "stored_rule_signals",
+    "SELECT event_id, rule_index FROM samples JOIN book ON pre_ret_10 <= fall AND lower_wick_ratio >= wick AND range_atr_ratio > 0.5",
+    BOOK_SQL,
+)
+def _(spark, sf):
+    book = stored_book(spark, sf, condition("pre_ret_10", "<=", F.col("fall")), condition("lower_wick_ratio", ">=", F.col("wick")), condition("range_atr_ratio", ">", F.lit(0.5)))
+    return rulebook.rule_signals(samples(spark, sf), book, "event_id")
+
+
+@query(
+    "stored_rule_parameters",
+    """SELECT rule_index, CASE WHEN problem IS NULL THEN cast(lookback AS DOUBLE) END AS drop_lookback, CASE WHEN problem IS NULL THEN abs(fall) END AS min_drop_pct, CASE WHEN problem IS NULL THEN 20.0 END AS volume_lookback, CASE WHEN problem IS NULL THEN 2.0 END AS volume_spike_multiple,
+       CASE WHEN problem IS NULL THEN wick END AS lower_shadow_min_ratio, problem FROM (SELECT *, 5 + rule_index % 3 * 5 AS lookback, CASE WHEN NOT fall < 0 OR fall IS NULL THEN 'no parameter for pre_ret_' || (5 + rule_index % 3 * 5) WHEN rule_index % 5 = 4 THEN 'no parameter for range_pct' END AS problem FROM book)""",
+    BOOK_SQL,
+    "drop_lookback min_drop_pct volume_lookback volume_spike_multiple lower_shadow_min_ratio",
+)
+def _(spark, sf):
+    i = F.col("rule_index")
+    fall = condition(F.concat(F.lit("pre_ret_"), (5 + i % 3 * 5).cast("string")), "<=", F.col("fall"))
+    book = stored_book(spark, sf, fall, condition("lower_shadow_ratio", ">=", F.col("wick")), F.when(i % 5 == 4, condition("range_pct", ">", F.lit(0.01))))
+    made = rulebook.entry_parameters(book)
+    names = ("drop_lookback", "min_drop_pct", "volume_lookback", "volume_spike_multiple", "lower_shadow_min_ratio")
+    return made.select("rule_index", *[F.try_element_at("parameters", F.lit(n)).alias(n) for n in names], "problem")
