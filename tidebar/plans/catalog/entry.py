@@ -267,6 +267,20 @@ def _(spark, sf):
     return M.matched_controls(pool(spark, sf), list(KEYS), MF, 3, cell=64).select("sample_id", "control_sample_id", "context_distance", "rank")
 
 
+@query(
+    "matched_control_observations",
+    """SELECT DISTINCT 'obs_' || substr(sha256('ctl|' || symbol || '|' || "interval" || '|' || bar_index || '|MATCHED_CONTROL'), 1, 20) AS sample_id, symbol, "interval", bar_index,
+       'NO_ACTION' AS user_action, CAST(NULL AS VARCHAR) AS side, 1 AS is_matched_control FROM mt JOIN pool p ON p.sample_id = mt.control_sample_id""",
+    POOL_SQL,
+    ints="is_matched_control",
+)
+def _(spark, sf):
+    chosen = matches(spark, sf).select(F.col("control_sample_id").alias("sample_id")).distinct()
+    places = pool(spark, sf).join(chosen, "sample_id").select(*KEYS, "bar_index")
+    c = bars(spark, sf).join(places, [*KEYS, "bar_index"], "left_semi").withColumns({"session_id": F.lit("ctl"), "source_type": F.lit("MATCHED_CONTROL"), "user_action": F.lit("NO_ACTION")})
+    return universe.observation_rows(c).select("sample_id", *KEYS, "bar_index", "user_action", "side", "is_matched_control")
+
+
 EFFECT_SQL = f"""
 {POOL_SQL},
 oc AS (SELECT p.sample_id, lead(b.close, 10) OVER (PARTITION BY b.symbol, b."interval" ORDER BY b.bar_index) / b.close - 1 AS v FROM bars b LEFT JOIN pool p ON p.symbol = b.symbol AND p.bar_index = b.bar_index),
@@ -289,16 +303,16 @@ def _(spark, sf):
 
 @query(
     "matched_baseline_summary",
-    """SELECT matched_count, user_mean, control_mean, positive_effect_pct, sparse_count, mean_effect, ci_low, ci_high, (SELECT (count(*) FILTER (abs(s) >= abs((SELECT sum(effect) FROM eff)) - 1e-12) + 1) / 101.0 FROM flips) AS p_value,
+    """SELECT matched_count, user_mean, control_mean, positive_effect_pct, sparse_count, mean_effect, ci_low, ci_high, (SELECT (count(*) FILTER (abs(s) >= abs((SELECT sum(effect) FROM eff)) - 1e-12) + 1) / 1001.0 FROM flips) AS p_value,
       array_to_string(list_filter([CASE WHEN matched_count < 30 THEN 'low_sample' END, CASE WHEN sparse_count > 0 THEN 'sparse_controls' END], lambda x: x IS NOT NULL), ',') AS warnings
     FROM (SELECT count(effect) AS matched_count, avg(user_outcome) AS user_mean, avg(control_mean) AS control_mean, avg(CASE WHEN effect > 0 THEN 100.0 ELSE 0.0 END) AS positive_effect_pct, count(*) FILTER (control_count < 3) AS sparse_count, avg(effect) AS mean_effect FROM eff), boot""",
-    f"""{EFFECT_SQL}, {boot_ctes('eff', 'one', 'effect', 'sample_id', 100)},
+    f"""{EFFECT_SQL}, {boot_ctes('eff', 'one', 'effect', 'sample_id', 1000)},
     flips AS (SELECT b * 32 + k AS r, sum(CASE WHEN cast('0x' || substr(h, cast(k + 1 AS INTEGER), 1) AS BIGINT) < 8 THEN effect ELSE -effect END) AS s
-      FROM (SELECT effect, b, k, md5(sample_id || ':flip:' || b) AS h FROM eff, (SELECT unnest(range(0, 4)) AS b), (SELECT unnest(range(0, 32)) AS k)) WHERE b * 32 + k < 100 GROUP BY 1)""",
+      FROM (SELECT effect, b, k, md5(sample_id || ':flip:' || b) AS h FROM eff, (SELECT unnest(range(0, 32)) AS b), (SELECT unnest(range(0, 32)) AS k)) WHERE b * 32 + k < 1000 GROUP BY 1)""",
     "user_mean control_mean positive_effect_pct mean_effect ci_low ci_high p_value",
 )
 def _(spark, sf):
-    return M.matched_summary(effects(spark, sf), 3, 100)
+    return M.matched_summary(effects(spark, sf), 3, 1000)
 
 
 @query(

@@ -13,7 +13,6 @@ from .features import UNIVERSE_SQL
 from .series import RET_SQL
 from .study import DECIDED_SQL, decided, long_sql
 
-PICK = ("pre_ret_10", "volume_zscore_20", "lower_wick_ratio", "down_run_length")
 
 
 def erfc_sql(x: str) -> str:
@@ -68,13 +67,13 @@ def _(spark, sf):
     pos AS (SELECT factor, value, {LABEL}, row_number() OVER (PARTITION BY factor ORDER BY sample_no) - 1 AS p, count(*) OVER (PARTITION BY factor) AS n FROM lg WHERE value IS NOT NULL AND {LABEL} IS NOT NULL),
     shp AS (SELECT factor, n, least(n, greatest(cast(ceil(sqrt(n)) AS BIGINT), 10)) AS b FROM (SELECT DISTINCT factor, n FROM pos)),
     st AS (SELECT factor, n, b, rep, j, cast('0x' || substr(md5(factor || ':' || rep || ':' || j), 1, 15) AS BIGINT) % (n - b + 1) AS s
-           FROM shp, (SELECT unnest(range(0, 20)) AS rep), LATERAL (SELECT unnest(range(0, cast(ceil(n / cast(b AS DOUBLE)) AS BIGINT))) AS j)),
+           FROM shp, (SELECT unnest(range(0, 200)) AS rep), LATERAL (SELECT unnest(range(0, cast(ceil(n / cast(b AS DOUBLE)) AS BIGINT))) AS j)),
     draws AS (SELECT factor, rep, b, s + o AS p FROM st, LATERAL (SELECT unnest(range(0, b)) AS o) WHERE j * b + o < n)""",
     "ic_bootstrap_ci_low ic_bootstrap_ci_high",
     "block_size",
 )
 def _(spark, sf):
-    return factors.block_bootstrap_ic(factor_long(spark, sf, FACTORS), "factor", "value", LABEL, "sample_no", 10, 20)
+    return factors.block_bootstrap_ic(factor_long(spark, sf, FACTORS), "factor", "value", LABEL, "sample_no", 10, 200)
 
 
 # -- splits over the event samples and the entry universe
@@ -302,7 +301,7 @@ RULE_FLOATS = (
 def rule_boot() -> str:
     from .study import boot_ctes
 
-    return boot_ctes("top_rows", "rule_id", LABEL, "event_id", 40)
+    return boot_ctes("top_rows", "rule_id", LABEL, "event_id", 200)
 
 
 @query(
@@ -311,7 +310,7 @@ def rule_boot() -> str:
       mb AS test_mean_return, winb AS test_win_rate, train_score, test_score, q_value, fdr_pass, fdr_status, (train_score - test_score) / nullif(abs(train_score), 0) * 100 AS degradation_pct,
       degradation_ratio, mb / nullif(ma, 0) AS stability_score, validation_status, median_return, ci_low, ci_high, rank_no
     FROM tops LEFT JOIN (SELECT rule_id, median(fwd_ret_10_side_adj) AS median_return FROM top_rows GROUP BY 1) USING (rule_id) LEFT JOIN boot USING (rule_id)""",
-    f"""{SPLIT_SQL}, {cond_ctes('train', PICK)}, {rule_ctes()}, {hits(PICK, 'used', 'split, event_id, ' + LABEL)},
+    f"""{SPLIT_SQL}, {cond_ctes('train', FACTORS)}, {rule_ctes()}, {hits(FACTORS, 'used', 'split, event_id, ' + LABEL)},
     ag AS (SELECT rule_id, {', '.join(f"count({LABEL}) FILTER (split = '{s}') AS n{a}, sum({LABEL}) FILTER (split = '{s}') AS s{a}, stddev_samp({LABEL}) FILTER (split = '{s}') AS sd{a}, count(*) FILTER (split = '{s}' AND {LABEL} > 0) AS w{a}, sum({LABEL}) FILTER (split = '{s}' AND {LABEL} > 0) AS up{a}, -sum({LABEL}) FILTER (split = '{s}' AND {LABEL} < 0) AS dn{a}" for s, a in (('train', 'a'), ('test', 'b')))} FROM hit WHERE {LABEL} IS NOT NULL GROUP BY 1),
     mx AS (SELECT rule_id, rule_text, nullif(na, 0) AS na, nullif(nb, 0) AS nb, {met_sql('a')}, {met_sql('b')} FROM rl LEFT JOIN (SELECT * REPLACE (nullif(na, 0) AS na, nullif(nb, 0) AS nb, coalesce(upa, 0) AS upa, coalesce(upb, 0) AS upb) FROM ag) USING (rule_id)),
     qv AS (SELECT rule_id, least(1.0, min(pb * k / r) OVER (ORDER BY r DESC)) AS q_value FROM (SELECT rule_id, pb, row_number() OVER (ORDER BY pb, rule_id) AS r, count(*) OVER () AS k FROM mx WHERE pb BETWEEN 0 AND 1)),
@@ -325,7 +324,7 @@ def rule_boot() -> str:
     "fdr_pass",
 )
 def _(spark, sf):
-    return rules.search_rules(split_samples(spark, sf), PICK, LABEL, "event_id", 3, 200, draws=40)
+    return rules.search_rules(split_samples(spark, sf), FACTORS, LABEL, "event_id", 3, 200, draws=200)
 
 
 @query(

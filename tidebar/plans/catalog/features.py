@@ -376,7 +376,7 @@ def _(spark, sf):
     return features.event_windows(bars(spark, sf), trade_events(spark, sf))
 
 
-SLOTS = [-3, -2, -1, 0, 1, 2, 3]
+SLOTS = list(range(-20, 21))
 
 
 @query(
@@ -384,7 +384,7 @@ SLOTS = [-3, -2, -1, 0, 1, 2, 3]
     f"""SELECT event_id, {", ".join(f'max(close) FILTER ("offset" = {o}) AS {"pre_%d" % -o if o < 0 else "event_0" if o == 0 else "post_%d" % o}' for o in SLOTS)}
     FROM win GROUP BY 1""",
     WIN_SQL,
-    "pre_3 pre_2 pre_1 event_0 post_1 post_2 post_3",
+    " ".join("pre_%d" % -o if o < 0 else "event_0" if o == 0 else "post_%d" % o for o in SLOTS),
 )
 def _(spark, sf):
     return features.wide_windows(features.event_windows(bars(spark, sf), trade_events(spark, sf)), "close", SLOTS)

@@ -219,20 +219,6 @@ def _(spark, sf):
     return universe.attach_to_experiment(observations(spark, sf).where("is_candidate = 1"), "exp_1", "CANDIDATE", "f1", "l1", "h1")
 
 
-@query(
-    "matched_control_observations",
-    """SELECT 'obs_' || substr(sha256('ctl|' || symbol || '|' || "interval" || '|' || bar_index || '|MATCHED_CONTROL'), 1, 20) AS sample_id, symbol, "interval", bar_index,
-       'NO_ACTION' AS user_action, CAST(NULL AS VARCHAR) AS side, 1 AS is_matched_control FROM bars WHERE bar_index % 23 = 4""",
-    BARS_SQL,
-    ints="is_matched_control",
-)
-def _(spark, sf):
-    c = bars(spark, sf).where("bar_index % 23 = 4").withColumns(
-        {"session_id": F.lit("ctl"), "source_type": F.lit("MATCHED_CONTROL"), "user_action": F.lit("NO_ACTION")}
-    )
-    return universe.observation_rows(c).select("sample_id", *KEYS, "bar_index", "user_action", "side", "is_matched_control")
-
-
 ENTRY_RULE_SQL = f"""
 er AS (
   SELECT *, coalesce(bar_index >= 20 AND high > low AND prev < lag(close, 20) OVER ({W}) AND close / lag(close, 5) OVER ({W}) - 1 <= -0.02

@@ -54,11 +54,11 @@ def grouping_sql() -> str:
 @query(
     "event_study_grouping_sets",
     f"SELECT * FROM (SELECT group_by, group_key, {stat_sql('value')} FROM g GROUP BY 1, 2) LEFT JOIN boot USING (group_by, group_key)",
-    f"{SAMPLES_SQL}, g AS ({grouping_sql()}), {boot_ctes('g', 'group_by, group_key', 'value', 'rowkey', 40)}",
+    f"{SAMPLES_SQL}, g AS ({grouping_sql()}), {boot_ctes('g', 'group_by, group_key', 'value', 'rowkey', 200)}",
     STAT_FLOATS + " ci_low ci_high",
 )
 def _(spark, sf):
-    return study.event_study(samples(spark, sf), LABEL, draws=40)
+    return study.event_study(samples(spark, sf), LABEL, draws=200)
 
 
 @query("tag_counts", "SELECT label_tag, event_type, count(*) AS n FROM tagged GROUP BY 1, 2", SAMPLES_SQL)
@@ -222,12 +222,12 @@ FB_FLOATS = "bin_left bin_right mean_label win_rate q25 median_label q75 ci_low
     es AS (SELECT factor, CASE bins {' '.join(f"WHEN {k} THEN list_sort(list_distinct([{', '.join(f'quantile_cont(value, {i / k})' for i in range(k + 1))}]))" for k in (2, 3, 4, 5))} END AS e
            FROM lg JOIN nb USING (factor) GROUP BY factor, bins),
     binned AS (SELECT lg.*, 1 + len(list_filter(e[2:len(e) - 1], lambda x: x < value)) AS bin_id, e FROM lg JOIN es USING (factor) WHERE len(e) > 1),
-    {boot_ctes('binned', 'factor, bin_id', LABEL, 'event_id', 40)}""",
+    {boot_ctes('binned', 'factor, bin_id', LABEL, 'event_id', 200)}""",
     FB_FLOATS,
     "bin_id",
 )
 def _(spark, sf):
-    return study.factor_bins(samples(spark, sf), FACTORS, LABEL, "event_id", draws=40)
+    return study.factor_bins(samples(spark, sf), FACTORS, LABEL, "event_id", draws=200)
 
 
 @query(
@@ -278,9 +278,9 @@ base AS (SELECT {groups}, max(k) AS sample_size, max(n) AS available_label_count
 BASE_FLOATS = "baseline_mean baseline_mean_std baseline_median baseline_win_rate baseline_q05 baseline_q95"
 
 
-@query("random_event_baseline", "SELECT * FROM base", f"{SAMPLES_SQL}, {sub_ctes('samples', 'side', LABEL, 'event_id', 100, 40)}", BASE_FLOATS)
+@query("random_event_baseline", "SELECT * FROM base", f"{SAMPLES_SQL}, {sub_ctes('samples', 'side', LABEL, 'event_id', 100, 200)}", BASE_FLOATS)
 def _(spark, sf):
-    return resample.subsample_baseline(samples(spark, sf), ["side"], LABEL, "event_id", 100, 40)
+    return resample.subsample_baseline(samples(spark, sf), ["side"], LABEL, "event_id", 100, 200)
 
 
 @query(
@@ -288,12 +288,12 @@ def _(spark, sf):
     """SELECT *, event_mean - baseline_mean AS mean_minus_baseline, CASE WHEN event_mean < baseline_q05 THEN 'below_q05' WHEN event_mean > baseline_q95 THEN 'above_q95' ELSE 'inside' END AS position
     FROM (SELECT side, count(v) AS event_sample_count, avg(v) AS event_mean, avg(CASE WHEN v > 0 THEN 100.0 WHEN v IS NOT NULL THEN 0.0 END) AS event_win_rate, median(v) AS event_median
           FROM (SELECT side, fwd_ret_10_side_adj AS v FROM samples WHERE event_type = 'OPEN') GROUP BY 1) JOIN base USING (side)""",
-    f"{SAMPLES_SQL}, {sub_ctes('samples', 'side', LABEL, 'event_id', 100, 40)}",
+    f"{SAMPLES_SQL}, {sub_ctes('samples', 'side', LABEL, 'event_id', 100, 200)}",
     BASE_FLOATS + " event_mean event_win_rate event_median mean_minus_baseline",
 )
 def _(spark, sf):
     s = samples(spark, sf)
-    base = resample.subsample_baseline(s, ["side"], LABEL, "event_id", 100, 40)
+    base = resample.subsample_baseline(s, ["side"], LABEL, "event_id", 100, 200)
     return resample.against_baseline(s.where("event_type = 'OPEN'"), base, ["side"], LABEL)
 
 
@@ -301,7 +301,7 @@ def _(spark, sf):
     "random_bar_baseline",
     "SELECT * FROM base",
     f"""{SAMPLES_SQL}, bf AS (SELECT symbol, symbol || '-' || bar_index AS rowkey, CASE WHEN bar_index >= 50 THEN lead(close, 10) OVER (PARTITION BY symbol ORDER BY bar_index) / close - 1 END AS fwd FROM bars),
-    {sub_ctes('bf', 'symbol', 'fwd', 'rowkey', 50, 10)}""",
+    {sub_ctes('bf', 'symbol', 'fwd', 'rowkey', 50, 200)}""",
     BASE_FLOATS,
 )
 def _(spark, sf):
@@ -310,4 +310,4 @@ def _(spark, sf):
 
     f = over_chunks(bars(spark, sf), lambda d, w: d.withColumn("fwd", F.lead("close", 10).over(w) / F.col("close") - 1), ahead=10)
     f = f.where("bar_index >= 50").withColumn("rowkey", F.concat_ws("-", "symbol", F.col("bar_index").cast("string")))
-    return resample.subsample_baseline(f, ["symbol"], "fwd", "rowkey", 50, 10)
+    return resample.subsample_baseline(f, ["symbol"], "fwd", "rowkey", 50, 200)
