@@ -1,11 +1,12 @@
-"""Stateful streams over whole tables, held against the twins of their batch operators."""
+"""Stateful streams and upserts over whole tables, held against the twins of their batch operators."""
 
 from pyspark.sql import functions as F
 
 from ...operators.chunks import KEYS
 from ...session import fresh
+from ...sources.versioned import VersionedTable
 from ...streaming import stateful
-from ..derive import EVENTS_SQL, bars
+from ..derive import BARS_SQL, EVENTS_SQL, RAW_SQL, bars, raw_feed
 from ..registry import query
 from .feeds import LOG_SQL, log
 from .labels import DEEP_SQL, actions
@@ -50,3 +51,21 @@ def _(spark, sf):
         "annotation_key", "operation", "changed_at", "revision_no", F.get_json_object("previous_payload", "$.human_decision").alias("previous_decision"),
         F.get_json_object("new_payload", "$.human_decision").alias("new_decision"),
     )
+
+
+MONTH = 30 * 86_400_000
+
+
+@query(
+    "upserted_feed",
+    "SELECT symbol, \"interval\", open_time_ms, ingest_seq, volume FROM (SELECT *, row_number() OVER (PARTITION BY symbol, \"interval\", open_time_ms ORDER BY ingest_seq DESC) AS rn FROM raw) WHERE rn = 1",
+    f"{BARS_SQL}, {RAW_SQL}",
+    "volume",
+)
+def _(spark, sf):
+    raw = raw_feed(spark, sf).select(*KEYS, F.col("open_time_ms").cast("long").alias("open_time_ms"), "ingest_seq", F.col("volume").cast("double").alias("volume"))
+    table = VersionedTable(spark, fresh(spark, "feed"), (*KEYS, "open_time_ms"), "ingest_seq", F.floor(F.col("open_time_ms") / MONTH))
+    # later batches bring new bars and other versions of bars that are stored
+    for number, rest in enumerate((2, 0, 1)):
+        table.upsert(raw.where(F.col("ingest_seq") % 3 == rest), number)
+    return table.read()
