@@ -46,11 +46,6 @@ def decode_history(history: DataFrame) -> DataFrame:
     return history.withColumn("_n", F.from_json("new_payload", shape)).select("*", "_n.human_decision", "_n.confidence").drop("_n")
 
 
-def fold_actions(log: DataFrame) -> DataFrame:
-    """Trade marks left after undo and redo: the last operation on a mark decides."""
-    return latest_by_key(log, ["event_id"], F.struct("changed_at", "change_no")).where(F.col("operation") != "UNDO")
-
-
 def latest_session(sessions: DataFrame) -> DataFrame:
     row = F.struct(*sessions.columns)
     return sessions.agg(F.max_by(row, F.struct(F.coalesce("saved_at", "opened_at"), "session_id")).alias("_s")).select("_s.*")

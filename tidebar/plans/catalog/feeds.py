@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ...operators import cleaning, feed, guards
+from ...operators import actionlog, cleaning, feed, guards
 from ...operators.chunks import KEYS
 from ...sources import tables
 from ..derive import BARS_SQL, bars
@@ -162,3 +162,31 @@ def _(spark, sf):
 def _(spark, sf):
     s = samples(spark, sf)
     return tables.dataset_manifest(s, cleaning.content_digest(s.withColumn("_t", F.lit(1)), ["_t"], ["event_id", "side", "bar_index"]))
+
+
+# -- a log of trade actions: eight bars make a trade, each bar leaves one action on it
+
+ACTIONS = list(actionlog.MOVES)
+# where each action leads from states 0, 1 and 2
+LEADS = [''.join("-" if t is None else str(actionlog.STATES.index(t)) for t in to) for to in actionlog.MOVES.values()]
+STEP_SQL = f"substr([{', '.join(repr(x) for x in LEADS)}][x.a + 1], s.st + 1, 1)"
+
+
+@query(
+    "folded_trade_actions",
+    """SELECT trade_id, ['NONE', 'OPEN', 'CLOSED'][r.st + 1] AS status, CASE WHEN r.en >= 0 THEN 'e' || r.en END AS entry_event_id, CASE WHEN r.ex >= 0 THEN 'e' || r.ex END AS exit_event_id, r.ok AS applied, r.bad AS refused FROM folded""",
+    f"""{BARS_SQL},
+    acts AS (SELECT symbol || '-' || (bar_index // 8) AS trade_id, list({{'st': 0::BIGINT, 'en': -1::BIGINT, 'ex': -1::BIGINT, 'ok': 0::BIGINT, 'bad': 0::BIGINT, 'a': ((bar_index * 7 + bar_index // 3) % 8)::BIGINT, 'b': bar_index::BIGINT}} ORDER BY bar_index) AS xs FROM bars GROUP BY 1),
+    folded AS (SELECT trade_id, list_reduce(list_prepend({{'st': 0::BIGINT, 'en': -1::BIGINT, 'ex': -1::BIGINT, 'ok': 0::BIGINT, 'bad': 0::BIGINT, 'a': 0::BIGINT, 'b': 0::BIGINT}}, xs), lambda s, x: {{
+      'st': CASE WHEN {STEP_SQL} = '-' THEN s.st ELSE cast(nullif({STEP_SQL}, '-') AS BIGINT) END,
+      'en': CASE WHEN {STEP_SQL} = '-' THEN s.en WHEN {STEP_SQL} = '0' THEN -1 WHEN {STEP_SQL} = '1' AND s.st = 0 THEN x.b ELSE s.en END,
+      'ex': CASE WHEN {STEP_SQL} = '-' THEN s.ex WHEN {STEP_SQL} = '2' THEN x.b ELSE -1 END,
+      'ok': s.ok + CASE WHEN {STEP_SQL} = '-' THEN 0 ELSE 1 END, 'bad': s.bad + CASE WHEN {STEP_SQL} = '-' THEN 1 ELSE 0 END, 'a': x.a, 'b': x.b}}) AS r FROM acts)""",
+)
+def _(spark, sf):
+    i = F.col("bar_index")
+    made = bars(spark, sf).select(
+        F.concat_ws("-", "symbol", F.floor(i / 8).cast("string")).alias("trade_id"), F.col("open_time_ms").alias("changed_at"), i.alias("change_no"),
+        F.get(F.array(*map(F.lit, ACTIONS)), ((i * 7 + F.floor(i / 3)) % 8).cast("int")).alias("operation"), F.concat(F.lit("e"), i.cast("string")).alias("event_id"),
+    )
+    return actionlog.folded_trades(made)
