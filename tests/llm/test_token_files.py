@@ -37,3 +37,23 @@ def test_edges(documents, tmp_path):
     assert T.count_tokens(documents([]), str(tmp_path / "none")).collect() == []
     out = T.count_tokens(documents([(None, "x y"), (None, "x y")]), str(tmp_path / "twice")).collect()
     assert [(r.doc_id, r.n_tokens) for r in out] == [(None, 2)] * 2
+
+
+def test_long_runs(monkeypatch):
+    import random
+    import re
+    import time
+
+    enc = T.encoder()
+    rng = random.Random(2)
+    # cut by hand or not, the ids are the same
+    monkeypatch.setattr(T, "LONG_BLANK", re.compile(T.LONG_BLANK.pattern.replace("20000", "2")))
+    for _ in range(300):
+        text = "".join(rng.choice((" ", "  ", "\n", "\t", " ", "　", "\x1c", "a", "word", "1", "'s", ".", "é")) for _ in range(rng.randrange(30)))
+        assert T.encode(enc, text) == enc.encode_ordinary(text)
+    monkeypatch.undo()
+    t0 = time.time()
+    for text in (" " * 2_000_000, "a" + " \n" * 1_000_000 + "b", "x" * 2_000_000, "word " * 200_000):
+        ids = T.encode(enc, text)
+        assert enc.decode(ids) == text
+    assert time.time() - t0 < 60

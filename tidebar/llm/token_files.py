@@ -9,11 +9,13 @@ gives each separator its document's number and start.
 Edge cases: an empty document is a separator alone and counts 0; ids after the last
 separator of a file are a document that isn't ended; an empty file gives no rows. Null
 texts are written as empty; repeated rows are each written; an empty table writes no file.
+Texts are encoded whole; runs of blanks or of one letter may be millions of characters long.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # fixed values of that vocabulary: how it splits text, and the id that it leaves free
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END = 50256
+# runs of white space, as the pattern's \s means it, from this length on
+LONG_BLANK = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{20000,}")
 DTYPE = "<u2"
 BLOCK_IDS = 1 << 20
 FILE_IDS = 1 << 24
@@ -45,6 +49,21 @@ def encoder(vocabulary: str = VOCABULARY):
     return _ENCODERS[vocabulary]
 
 
+def encode(enc, text: str) -> list[int]:
+    """All of a text's ids. Very long runs of blanks are cut out by hand, as the split pattern's search doesn't survive them.
+
+    The pattern takes a run up to its last blank as one piece (all of it at the end of the text), so
+    such a piece goes to the merges alone, and texts before and after it are split as ever.
+    """
+    out, at = [], 0
+    for run in LONG_BLANK.finditer(text):
+        to = run.end() if run.end() == len(text) else run.end() - 1
+        out += enc.encode_ordinary(text[at : run.start()])
+        out += enc._encode_single_piece(text[run.start() : to])
+        at = to
+    return out + enc.encode_ordinary(text[at:])
+
+
 def _writer(folder: str, vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, enc = TaskContext.get(), encoder(vocabulary)
@@ -58,7 +77,7 @@ def _writer(folder: str, vocabulary: str):
                 if sink is None:
                     path, size, ordinal = f"{root}/part-{task.partitionId():06d}-{task.taskAttemptId()}-{number:04d}.bin", 0, 0
                     sink, number = fs.open_output_stream(path, compression=None), number + 1
-                tokens = np.array(enc.encode_ordinary(text or ""), DTYPE)
+                tokens = np.array(encode(enc, text or ""), DTYPE)
                 sink.write(tokens.tobytes() + end)
                 size, ordinal = size + len(tokens) + 1, ordinal + 1
                 if size >= FILE_IDS or i == len(texts) - 1:
