@@ -20,14 +20,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BUCKETS = 1 << 15
+BUCKETS = 1 << 18
 GRAMS = (3, 4, 5)
 DIM = 8
-# bound of the training sample, which holds the classes in the shares of the labels; a row's bag has at most BUCKETS entries
-SAMPLE_ROWS = 13_500
-EPOCHS = 8
+# bounds of the training sample, which holds the classes in the shares of the labels: rows and code points;
+# a code point has three grams at most, a gram of a bag about 10 bytes on the driver
+SAMPLE_ROWS, SAMPLE_CHARS = 13_500, 48_000_000
+# most steps, steps between looks at the rows that aren't fitted, and steps without a better loss that end the training
+STEPS, CHECK, PATIENCE = 5_000, 100, 1_000
 BATCH = 32
 # a text's share of each gram is about a thousandth, so embeddings take long steps
 RATE_E, RATE_W = 300.0, 0.05
@@ -109,7 +111,7 @@ def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts = np.bincount(c, weights=np.concatenate([counts, np.ones(len(bucket), np.int64)]), minlength=len(k)).astype(np.int64)
                 keys = k
             at = np.searchsorted(keys, np.arange(n + 1) * BUCKETS)
-            packed = [pa.array([v[at[i] : at[i + 1]].tobytes() for i in range(n)], pa.binary()) for v in ((keys % BUCKETS).astype("<u2"), np.minimum(counts, 65_535).astype("<u2"))]
+            packed = [pa.array([v[at[i] : at[i + 1]].tobytes() for i in range(n)], pa.binary()) for v in ((keys % BUCKETS).astype("<u4"), np.minimum(counts, 65_535).astype("<u2"))]
             yield pa.RecordBatch.from_arrays([labels[first : first + n], *packed], names=["label", "buckets", "counts"])
 
 
@@ -133,43 +135,82 @@ class Model:
         return self.score(total, count)
 
 
+def _cut(logit: np.ndarray, y: np.ndarray) -> float:
+    """The cut of the best F1; the middle one where many are as good within a hundredth."""
+    order = np.argsort(-logit, kind="stable")
+    z, hit = logit[order], np.cumsum(y[order])
+    f1 = 2 * hit / (np.arange(1, len(z) + 1) + max(1, y.sum()))
+    ends = np.append(z[:-1] > z[1:], True)  # equal values lie on one side
+    good = np.flatnonzero(ends & (f1 >= f1[ends].max() - 0.01))
+    at = good[len(good) // 2]
+    return float((z[at] + z[at + 1]) / 2) if at + 1 < len(z) else float(z[at])
+
+
 def fit(rows: list, seed: int = 5) -> Model:
-    """rows: (label, buckets, counts) as ``bags`` packs them, a bounded sample in a fixed order."""
+    """rows: (label, buckets, counts) as ``bags`` packs them, a bounded sample in a fixed order.
+
+    Every fifth row is kept out of the steps: the loss on these rows, looked at every ``CHECK``
+    steps, picks the weights and ends the training, and the bias is moved to their best cut.
+    The number of steps doesn't follow the number of rows. Without both classes on either
+    side (very few labels) all rows are fitted and looked at.
+    """
     y = np.array([r[0] for r in rows], np.int64)
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(BUCKETS), -60.0)
     rng = np.random.default_rng(seed)
-    index = [np.frombuffer(r[1], "<u2") for r in rows]
-    value = [(c / max(1, c.sum())).astype(np.float32) for c in (np.frombuffer(r[2], "<u2") for r in rows)]
-    e, w, b = rng.normal(0, 0.01, (BUCKETS, DIM)), rng.normal(0, 1.0, (DIM, 2)), np.zeros(2)
-    for epoch in range(EPOCHS):
-        fade = 1 - epoch / EPOCHS
-        order = rng.permutation(len(rows))
-        for lo in range(0, len(rows), BATCH):
-            part = order[lo : lo + BATCH]
-            idx = np.concatenate([index[i] for i in part]).astype(np.int64)
-            val = np.concatenate([value[i] for i in part])
-            doc = np.repeat(np.arange(len(part)), [len(index[i]) for i in part])
-            emb = e[idx]
-            hidden = np.stack([np.bincount(doc, weights=val * emb[:, k], minlength=len(part)) for k in range(DIM)], 1)
-            logit = hidden @ w + b
-            prob = np.exp(logit - logit.max(1, keepdims=True))
-            prob /= prob.sum(1, keepdims=True)
-            prob[np.arange(len(part)), y[part]] -= 1
-            back, used_w, used_b = prob @ w.T, hidden.T @ prob / len(part), prob.mean(0)
-            used, slot = np.unique(idx, return_inverse=True)
-            # plain steps: a gram that many texts share moves far, one of a single text hardly does
-            e[used] -= fade * RATE_E * np.stack([np.bincount(slot, weights=val * back[doc, k], minlength=len(used)) for k in range(DIM)], 1)
-            w -= fade * RATE_W * used_w
-            b -= fade * RATE_W * used_b
-    weights = e @ (w[:, 1] - w[:, 0])
-    usual = np.mean([weights[i] @ v for i, v, k in zip(index, value, y, strict=True) if k == 0])
-    return Model(weights, float(b[1] - b[0]), float(usual))
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
+    index = [np.frombuffer(r[1], "<u4") for r in rows]
+    counts = [np.frombuffer(r[2], "<u2") for r in rows]
+    size = np.array([c.sum(dtype=np.float64) for c in counts])
+    value = [(c / max(1.0, n)).astype(np.float32) for c, n in zip(counts, size, strict=True)]
+    fitted = np.arange(len(rows)) % FOLDS > 0
+    if len(set(y[fitted].tolist())) < 2 or len(set(y[~fitted].tolist())) < 2:
+        used, seen = np.arange(len(rows)), np.arange(len(rows))
+    else:
+        used, seen = np.flatnonzero(fitted), np.flatnonzero(~fitted)
+    seen_idx, seen_val = np.concatenate([index[i] for i in seen]), np.concatenate([value[i] for i in seen])
+    seen_doc = np.repeat(np.arange(len(seen)), [len(index[i]) for i in seen])
+    e, w, b = rng.normal(0, 0.01, (DIM, BUCKETS)), rng.normal(0, 1.0, (DIM, 2)), np.zeros(2)
+    least, best, since, order = np.inf, None, 0, np.zeros(0, np.int64)
+    for step in range(STEPS):
+        if len(order) < BATCH:
+            order = np.concatenate([order, rng.permutation(used)])
+        part, order = order[:BATCH], order[BATCH:]
+        fade = 1 - step / STEPS
+        idx, val = np.concatenate([index[i] for i in part]), np.concatenate([value[i] for i in part])
+        doc = np.repeat(np.arange(len(part)), [len(index[i]) for i in part])
+        hidden = np.stack([np.bincount(doc, weights=val * v[idx], minlength=len(part)) for v in e], 1)
+        logit = hidden @ w + b
+        prob = np.exp(logit - logit.max(1, keepdims=True))
+        prob /= prob.sum(1, keepdims=True)
+        prob[np.arange(len(part)), y[part]] -= 1
+        back, by_w, by_b = prob @ w.T, hidden.T @ prob / len(part), prob.mean(0)
+        # plain steps: a gram that many texts share moves far, one of a single text hardly does
+        for k in range(DIM):
+            np.subtract.at(e[k], idx, fade * RATE_E * val * back[doc, k])
+        w -= fade * RATE_W * by_w
+        b -= fade * RATE_W * by_b
+        if (step + 1) % CHECK == 0:
+            weights, bias = (w[:, 1] - w[:, 0]) @ e, float(b[1] - b[0])
+            z = np.bincount(seen_doc, weights=seen_val * weights[seen_idx], minlength=len(seen)) + bias
+            loss = np.logaddexp(0, np.where(y[seen] == 1, -z, z)).mean()
+            since += 1
+            if loss < least:
+                least, best, since = loss, (weights, bias), 0
+            if since * CHECK >= PATIENCE:
+                break
+    weights, bias = best
+    usual = float(np.mean([weights[index[i]] @ value[i] for i in used if y[i] == 0]))
+    model = Model(weights, bias, usual)
+    total = np.bincount(seen_doc, weights=seen_val * weights[seen_idx], minlength=len(seen)) * size[seen]
+    model.bias -= _cut((total + USUAL_GRAMS * usual) / (size[seen] + USUAL_GRAMS) + bias, y[seen])
+    return model
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Model:
     """Fit on at most ``sample_rows`` labelled rows that are not held out, chosen by hashed id.
 
+    Each class ends at its share of ``sample_chars`` code points of text, after one row at least.
+
     Each class keeps its share of the labels, and one row at least, so the model doesn't depend
     on whether the labels fit the bound.
     """
@@ -183,6 +224,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         chosen = part if chosen is None else chosen.unionByName(part)
     own = docs.select(F.col(id_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     picked = own.join(F.broadcast(chosen), "k").groupBy("k", "label", "o").agg(F.min("text").alias("text"))  # at most sample_rows + 2 rows
+    # at most sample_rows + 2 rows are ordered here
+    so_far = F.sum(F.length("text")).over(Window.partitionBy("label").orderBy("o", "k"))
+    room = F.when(F.col("label") == 1, counts.get(1, 0)).otherwise(counts.get(0, 0)) * (sample_chars / max(1, sum(counts.values())))
+    first = F.row_number().over(Window.partitionBy("label").orderBy("o", "k")) == 1
+    picked = picked.select("k", "label", "text", first.alias("first"), (so_far <= room).alias("fits")).where("first or fits").repartition("k")
     rows = picked.select("label", "text").mapInArrow(bags, "label int, buckets binary, counts binary").toLocalIterator()  # bounded by the sample
     return fit(sorted((int(r[0]), bytes(r[1]), bytes(r[2])) for r in rows))
 
