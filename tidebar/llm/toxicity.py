@@ -28,8 +28,8 @@ DIM = 8
 # bounds of the training sample, which holds the classes in the shares of the labels: rows and code points;
 # a code point has three grams at most, a gram of a bag about 10 bytes on the driver
 SAMPLE_ROWS, SAMPLE_CHARS = 13_500, 48_000_000
-# most steps, steps between looks at the rows that aren't fitted, and steps without a better loss that end the training
-STEPS, CHECK, PATIENCE = 5_000, 100, 1_000
+# most steps, steps between looks at the rows that aren't fitted, and steps without a loss better by a hundredth that end the training
+STEPS, CHECK, PATIENCE = 3_000, 100, 600
 BATCH = 32
 # a text's share of each gram is about a thousandth, so embeddings take long steps
 RATE_E, RATE_W = 300.0, 0.05
@@ -167,7 +167,7 @@ def fit(rows: list, seed: int = 5) -> Model:
         used, seen = np.arange(len(rows)), np.arange(len(rows))
     else:
         used, seen = np.flatnonzero(fitted), np.flatnonzero(~fitted)
-    seen_idx, seen_val = np.concatenate([index[i] for i in seen]), np.concatenate([value[i] for i in seen])
+    seen_idx, seen_val = np.concatenate([index[i] for i in seen]).astype(np.int64), np.concatenate([value[i] for i in seen])
     seen_doc = np.repeat(np.arange(len(seen)), [len(index[i]) for i in seen])
     e, w, b = rng.normal(0, 0.01, (DIM, BUCKETS)), rng.normal(0, 1.0, (DIM, 2)), np.zeros(2)
     least, best, since, order = np.inf, None, 0, np.zeros(0, np.int64)
@@ -176,8 +176,9 @@ def fit(rows: list, seed: int = 5) -> Model:
             order = np.concatenate([order, rng.permutation(used)])
         part, order = order[:BATCH], order[BATCH:]
         fade = 1 - step / STEPS
-        idx, val = np.concatenate([index[i] for i in part]), np.concatenate([value[i] for i in part])
-        doc = np.repeat(np.arange(len(part)), [len(index[i]) for i in part])
+        idx, val = np.concatenate([index[i] for i in part]).astype(np.int64), np.concatenate([value[i] for i in part])
+        lens = [len(index[i]) for i in part]
+        doc = np.repeat(np.arange(len(part)), lens)
         hidden = np.stack([np.bincount(doc, weights=val * v[idx], minlength=len(part)) for v in e], 1)
         logit = hidden @ w + b
         prob = np.exp(logit - logit.max(1, keepdims=True))
@@ -186,16 +187,16 @@ def fit(rows: list, seed: int = 5) -> Model:
         back, by_w, by_b = prob @ w.T, hidden.T @ prob / len(part), prob.mean(0)
         # plain steps: a gram that many texts share moves far, one of a single text hardly does
         for k in range(DIM):
-            np.subtract.at(e[k], idx, fade * RATE_E * val * back[doc, k])
+            np.subtract.at(e[k], idx, val * np.repeat(fade * RATE_E * back[:, k], lens))
         w -= fade * RATE_W * by_w
         b -= fade * RATE_W * by_b
         if (step + 1) % CHECK == 0:
             weights, bias = (w[:, 1] - w[:, 0]) @ e, float(b[1] - b[0])
             z = np.bincount(seen_doc, weights=seen_val * weights[seen_idx], minlength=len(seen)) + bias
             loss = np.logaddexp(0, np.where(y[seen] == 1, -z, z)).mean()
-            since += 1
+            since = 0 if loss < 0.99 * least else since + 1
             if loss < least:
-                least, best, since = loss, (weights, bias), 0
+                least, best = loss, (weights, bias)
             if since * CHECK >= PATIENCE:
                 break
     weights, bias = best
