@@ -46,6 +46,35 @@ def test_edges(documents):
     assert sorted((r.doc_id, r.length, r.bucket, r.batch, r.slot) for r in out) == [(None, 0, 0, 0, 0), (None, 0, 0, 0, 1)]
 
 
-def test_bins_are_few(spark):
-    got = spark.range(1, 200_000).select(packing.bin_of(F.col("id")).alias("b")).distinct().count()
-    assert got < 700
+def quadratic(lengths, buckets):
+    """Least padding by trying every cut."""
+    values, count = np.unique(lengths, return_counts=True)
+    n, s = np.concatenate([[0], np.cumsum(count)]), np.concatenate([[0], np.cumsum(values * count)])
+    best = n[1:] * values - s[1:]
+    for _ in range(buckets - 1):
+        before = np.concatenate([[0], best])
+        best = np.array([(before[:j] + (n[j] - n[:j]) * values[j - 1] - (s[j] - s[:j])).min() for j in range(1, len(values) + 1)])
+    return best[-1]
+
+
+def test_halving_finds_the_least_padding():
+    rng = np.random.default_rng(5)
+    for size, spread, buckets in ((1, 5, 4), (2, 5, 4), (900, 3.0, 16), (3000, 1.5, 7), (500, 9.0, 2)):
+        lengths = np.exp(rng.normal(5, spread, size).clip(0, 13)).astype(np.int64)
+        values, count = np.unique(lengths, return_counts=True)
+        got = packing.optimal_bounds(count, values * count, values, buckets)
+        at = np.array(got)[np.searchsorted(got, lengths)]
+        assert (at - lengths).sum() == quadratic(lengths, buckets)
+
+
+def test_many_distinct_lengths():
+    values = np.arange(1, 300_001)
+    got = packing.optimal_bounds(np.ones_like(values), values, values, 16)
+    # equal counts: even buckets are best, up to one length
+    assert len(got) == 16 and np.ptp(np.diff([0, *got])) <= 1
+
+
+def test_long_lengths_are_not_rounded(documents):
+    rows = [(i, "w " * n) for i, n in enumerate((1000, 1001, 1002, 1003, 1004, 9000))]
+    out = packing.pack(documents(rows), packing.word_count(F.col("text")), buckets=3).collect()
+    assert sorted((r.length, r.padded_length) for r in out) == [(1000, 1001), (1001, 1001), (1002, 1004), (1003, 1004), (1004, 1004), (9000, 9000)]
