@@ -45,3 +45,17 @@ def test_run_and_edges(spark, documents):
             assert got.where("text is null or text = ''").count() == 3
         else:
             assert got.count() == len(rows)
+
+
+def test_clashing_columns_and_shuffled_drops(spark, documents, monkeypatch):
+    rows = [(1, "a b c d e"), (2, "a b c d e"), (3, "a b c d e"), (3, "a b c d e"), (4, "x y z"), (4, "x y z"), (5, "")]
+    frame = documents(rows).selectExpr("*", "1 as gone_id", "2 as twice_id", "3 as CLEAN", "4 as h", "5 as count")
+    stages = dict(corpus_pipeline.STAGES)
+    for rows_at_most in (500_000, 0):
+        monkeypatch.setattr(corpus_pipeline, "GONE_ROWS", rows_at_most)
+        got = stages["ngram_join"](spark, frame, SF)
+        assert got.columns == frame.columns and sorted(r.doc_id for r in got.collect()) == [1, 4, 5]
+    for name in ("toxicity", "decontamination", "pii"):
+        got = stages[name](spark, frame, SF)
+        assert got.columns == frame.columns and got.count() == len(rows)
+    assert stages["packing"](spark, frame, SF).count() == len(rows)
