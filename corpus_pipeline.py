@@ -22,6 +22,14 @@ GONE_ROWS = 500_000
 ALIKE = ngram_join.Likeness(words=5, num=80, den=100)
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A name that no column of ``docs`` has in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject; it learns from the labelled rows of ``documents`` that aren't held out."""
     model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -32,14 +40,15 @@ def keep_one_of_alike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """One document of each group of linked documents: the least id; documents without words link
     with nothing and stay, and so do rows without an id.
     """
-    gone = saved(ngram_join.join_components(docs, like=ALIKE).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct())
+    gone_id, twice_id = unused(docs, "gone_id"), unused(docs, "twice_id")
+    gone = saved(ngram_join.join_components(docs, like=ALIKE).where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)).distinct())
     if gone.count() <= GONE_ROWS:
         gone = F.broadcast(gone)
-    kept = docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
-    twice = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("twice_id"), F.xxhash64("text").alias("h")).count().where("count > 1").select("twice_id").distinct()
+    kept = docs.join(gone, docs["doc_id"] == F.col(gone_id), "left_anti")
+    twice = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias(twice_id), F.xxhash64("text").alias("h")).count().where("count > 1").select(twice_id).distinct()
     if not twice.limit(1).count():
         return kept
-    again = docs["doc_id"] == F.col("twice_id")
+    again = docs["doc_id"] == F.col(twice_id)
     return kept.join(twice, again, "left_anti").unionByName(kept.join(twice, again, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
@@ -50,9 +59,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by its kind, and ``n_chars`` counted anew where a text changed."""
-    clean = "clean"
-    while clean in docs.columns:
-        clean += "_"
+    clean = unused(docs, "clean")
     made = docs.select("*", pii.redact(F.col("text")).alias(clean))
     n_chars = F.when(F.col(clean) != F.col("text"), F.length(clean)).otherwise(F.col("n_chars")).cast("long") if "n_chars" in docs.columns else None
     new = {"text": F.col(clean), "n_chars": n_chars}
