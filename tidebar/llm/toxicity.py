@@ -26,7 +26,7 @@ BUCKETS = 1 << 18
 GRAMS = (3, 4, 5)
 DIM = 8
 # bounds of the training sample, which holds the classes in the shares of the labels: rows and code points;
-# a code point has three grams at most, a gram of a bag about 10 bytes on the driver
+# a code point has three grams at most, a gram of a bag 6 bytes on the driver
 SAMPLE_ROWS, SAMPLE_CHARS = 13_500, 48_000_000
 # most steps, steps between looks at the rows that aren't fitted, and steps without a loss better by a hundredth that end the training
 STEPS, CHECK, PATIENCE = 3_000, 100, 600
@@ -38,6 +38,8 @@ FOLDS = 5
 USUAL_GRAMS = 50
 # code points handled at once; longer texts go in steps
 STEP = 1 << 19
+# bag entries looked at in one go
+LOOK = 1 << 20
 _MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
 
 
@@ -161,14 +163,26 @@ def fit(rows: list, seed: int = 5) -> Model:
     index = [np.frombuffer(r[1], "<u4") for r in rows]
     counts = [np.frombuffer(r[2], "<u2") for r in rows]
     size = np.array([c.sum(dtype=np.float64) for c in counts])
-    value = [(c / max(1.0, n)).astype(np.float32) for c, n in zip(counts, size, strict=True)]
+    many = np.array([len(x) for x in index], np.int64)
+
+    def entries(part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place in ``part``, bucket and share of each entry; made anew each time, as all rows' would take the driver's memory."""
+        lens = many[part]
+        share = np.concatenate([counts[i] for i in part]) / np.repeat(np.maximum(1.0, size[part]), lens)
+        return np.repeat(np.arange(len(part)), lens), np.concatenate([index[i] for i in part]).astype(np.int64), share.astype(np.float32)
+
+    def means(part: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        out = []
+        for some in np.split(part, np.flatnonzero(np.diff(np.cumsum(many[part]) // LOOK)) + 1):
+            doc, idx, val = entries(some)
+            out.append(np.bincount(doc, weights=val * weights[idx], minlength=len(some)))
+        return np.concatenate(out)
+
     fitted = np.arange(len(rows)) % FOLDS > 0
     if len(set(y[fitted].tolist())) < 2 or len(set(y[~fitted].tolist())) < 2:
         used, seen = np.arange(len(rows)), np.arange(len(rows))
     else:
         used, seen = np.flatnonzero(fitted), np.flatnonzero(~fitted)
-    seen_idx, seen_val = np.concatenate([index[i] for i in seen]).astype(np.int64), np.concatenate([value[i] for i in seen])
-    seen_doc = np.repeat(np.arange(len(seen)), [len(index[i]) for i in seen])
     e, w, b = rng.normal(0, 0.01, (DIM, BUCKETS)), rng.normal(0, 1.0, (DIM, 2)), np.zeros(2)
     least, best, since, order = np.inf, None, 0, np.zeros(0, np.int64)
     for step in range(STEPS):
@@ -176,9 +190,7 @@ def fit(rows: list, seed: int = 5) -> Model:
             order = np.concatenate([order, rng.permutation(used)])
         part, order = order[:BATCH], order[BATCH:]
         fade = 1 - step / STEPS
-        idx, val = np.concatenate([index[i] for i in part]).astype(np.int64), np.concatenate([value[i] for i in part])
-        lens = [len(index[i]) for i in part]
-        doc = np.repeat(np.arange(len(part)), lens)
+        doc, idx, val = entries(part)
         hidden = np.stack([np.bincount(doc, weights=val * v[idx], minlength=len(part)) for v in e], 1)
         logit = hidden @ w + b
         prob = np.exp(logit - logit.max(1, keepdims=True))
@@ -187,12 +199,12 @@ def fit(rows: list, seed: int = 5) -> Model:
         back, by_w, by_b = prob @ w.T, hidden.T @ prob / len(part), prob.mean(0)
         # plain steps: a gram that many texts share moves far, one of a single text hardly does
         for k in range(DIM):
-            np.subtract.at(e[k], idx, val * np.repeat(fade * RATE_E * back[:, k], lens))
+            np.subtract.at(e[k], idx, val * (fade * RATE_E * back[:, k])[doc])
         w -= fade * RATE_W * by_w
         b -= fade * RATE_W * by_b
         if (step + 1) % CHECK == 0:
             weights, bias = (w[:, 1] - w[:, 0]) @ e, float(b[1] - b[0])
-            z = np.bincount(seen_doc, weights=seen_val * weights[seen_idx], minlength=len(seen)) + bias
+            z = means(seen, weights) + bias
             loss = np.logaddexp(0, np.where(y[seen] == 1, -z, z)).mean()
             since = 0 if loss < 0.99 * least else since + 1
             if loss < least:
@@ -200,9 +212,9 @@ def fit(rows: list, seed: int = 5) -> Model:
             if since * CHECK >= PATIENCE:
                 break
     weights, bias = best
-    usual = float(np.mean([weights[index[i]] @ value[i] for i in used if y[i] == 0]))
+    usual = float(means(used[y[used] == 0], weights).mean())
     model = Model(weights, bias, usual)
-    total = np.bincount(seen_doc, weights=seen_val * weights[seen_idx], minlength=len(seen)) * size[seen]
+    total = means(seen, weights) * size[seen]
     model.bias -= _cut((total + USUAL_GRAMS * usual) / (size[seen] + USUAL_GRAMS) + bias, y[seen])
     return model
 
