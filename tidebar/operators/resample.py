@@ -18,6 +18,8 @@ from .quantiles import exact_quantiles
 # Cumulative Poisson(1) probabilities.
 POISSON_CDF = (0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406, 0.999917, 0.999990)
 LANES = 4
+# rows of a group that are drawn from as one list
+PART = 8_192
 
 
 def uniform(row: Column, block: Column, lane: int) -> Column:
@@ -115,20 +117,14 @@ def subsample_baseline(
     Drawing ``k`` of ``n`` takes the k smallest md5 keys.
     """
     groups = list(groups)
-    known = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).alias("_v"), F.col(row).cast("string").alias("_row"))
+    known = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v"), F.col(row).cast("string").alias("_row"))
     size = known.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
     size = size.withColumn("_k", F.least(F.col("_n"), F.lit(sample_size)) if sample_size else F.col("_n"))
-    reps = (known.join(size, groups) if groups else known.crossJoin(size)).withColumn(
-        "_rep", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))
-    )
-    key = F.md5(F.concat_ws(":", "_row", F.lit("sub"), F.col("_rep").cast("string")))
-    reps = reps.withColumn("_h", key)
-    kept = _smallest(reps, [*groups, "_rep"])
-    mean = kept.groupBy(*groups, "_rep", "_k", "_n").agg(
-        F.avg("_v").alias("_mean"), (F.avg(flag(F.col("_v") > 0)) * 100.0).alias("_win")
-    )
-    med = exact_quantiles(kept, [*groups, "_rep"], "_v", [0.5], ["_median"])
-    each = mean.join(med, [*groups, "_rep"])
+    sized = known.join(size, groups) if groups else known.crossJoin(size)
+    if sample_size and sample_size <= PART:
+        each = _drawn_in_parts(sized, groups, draws)
+    else:
+        each = _drawn_by_slices(sized, groups, draws)
     return each.groupBy(*groups).agg(
         F.max("_k").alias("sample_size"),
         F.max("_n").alias("available_label_count"),
@@ -141,6 +137,53 @@ def subsample_baseline(
     )
 
 
+def _drawn_in_parts(sized: DataFrame, groups: list[str], draws: int) -> DataFrame:
+    """Mean, median and win rate of every draw of at most ``PART`` rows.
+
+    A group is cut into parts of about ``PART`` rows, held as lists. Replicates are drawn
+    from a part's list, so rows are shuffled once and not once a replicate; only the k
+    smallest keys of a part leave it, and only where a group has several parts.
+    """
+    parts = F.ceil(F.col("_n") / PART)
+    wide = int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def drawn(df: DataFrame) -> DataFrame:
+        rows = df.select(*groups, "_n", "_k", F.pmod(F.xxhash64("_row"), parts).alias("_part"), F.concat("_row", F.lit(":sub:")).alias("_row"), "_v")
+        # a count of partitions keeps few bytes from being put into few tasks: the draws are the work
+        lists = rows.repartition(wide, *groups, "_part").groupBy(*groups, "_n", "_k", "_part").agg(F.collect_list(F.struct("_row", "_v")).alias("_rows"))
+        out = lists.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumns({"_take": F.least(F.col("_k"), F.size("_rows")), "_end": F.col("_rep").cast("string")})
+        key = lambda r: F.md5(F.concat(r["_row"], F.col("_end")))
+        keyed = lambda r: F.struct(key(r).alias("h"), r["_row"].alias("row"), r["_v"].alias("v"))
+        # keys are uniform, so those wanted lie below this bound; where they don't, all are sorted
+        share = (F.col("_take") + 6 * F.sqrt("_take") + 16) / F.size("_rows")
+        bound = F.when(share < 1, F.lower(F.lpad(F.hex(F.floor(share * 4294967296.0).cast("long")), 8, "0"))).otherwise("g")
+        out = out.withColumn("_bound", bound).withColumn("_low", F.transform(F.filter("_rows", lambda r: key(r) < F.col("_bound")), keyed))
+        found = F.when(F.size("_low") >= F.col("_take"), F.col("_low")).otherwise(F.transform("_rows", keyed))
+        return out.select(*groups, "_n", "_k", "_rep", F.slice(F.sort_array(found), F.lit(1), F.col("_take")).alias("_low"))
+
+    one = drawn(sized.where(parts == 1)).select(*groups, "_n", "_k", "_rep", F.col("_low.v").alias("_vs"))
+    several = drawn(sized.where(parts > 1)).select(*groups, "_n", "_k", "_rep", F.inline("_low"))
+    first = F.row_number().over(Window.partitionBy(*groups, "_rep").orderBy("h", "row"))
+    merged = several.withColumn("_at", first).where(F.col("_at") <= F.col("_k")).groupBy(*groups, "_n", "_k", "_rep").agg(F.collect_list("v").alias("_vs"))
+    vs = one.unionByName(merged).withColumn("_vs", F.sort_array("_vs"))
+    total = F.aggregate("_vs", F.lit(0.0), lambda a, x: a + x)
+    won = F.size(F.filter("_vs", lambda x: x > 0))
+    mid = F.get("_vs", F.floor((F.col("_k") - 1) / 2).cast("int")) + F.get("_vs", F.floor(F.col("_k") / 2).cast("int"))
+    return vs.select(*groups, "_n", "_k", "_rep", (total / F.col("_k")).alias("_mean"), (mid / 2.0).alias("_median"), (won * 100.0 / F.col("_k")).alias("_win"))
+
+
+def _drawn_by_slices(sized: DataFrame, groups: list[str], draws: int) -> DataFrame:
+    """The same for draws of any size: rows are exploded to replicates and cut by slices of the key space."""
+    reps = sized.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    reps = reps.withColumn("_h", F.md5(F.concat_ws(":", "_row", F.lit("sub"), F.col("_rep").cast("string"))))
+    kept = _smallest(reps, [*groups, "_rep"])
+    mean = kept.groupBy(*groups, "_rep", "_k", "_n").agg(
+        F.avg("_v").alias("_mean"), (F.avg(flag(F.col("_v") > 0)) * 100.0).alias("_win")
+    )
+    med = exact_quantiles(kept, [*groups, "_rep"], "_v", [0.5], ["_median"])
+    return mean.join(med, [*groups, "_rep"])
+
+
 def _smallest(reps: DataFrame, groups: list[str]) -> DataFrame:
     """Rows holding the ``_k`` smallest ``_h`` of each group.
 
