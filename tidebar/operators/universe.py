@@ -221,20 +221,21 @@ def deep_v_entries(
 
 
 def ma_cross(bars: DataFrame, fast: int = 5, slow: int = 20, size: int = CHUNK) -> DataFrame:
-    """Moving-average cross events."""
+    """Moving-average cross events; averages are equal within a relative 1e-12, so that the order of summing makes no cross."""
     slow = max(slow, fast + 1)
+    a, b = F.col("ma_fast"), F.col("ma_slow")
+    side = F.when(F.abs(a - b) <= 1e-12 * F.greatest(F.abs(a), F.abs(b)), 0.0).otherwise(F.signum(a - b))
 
     def build(d: DataFrame, w: WindowSpec) -> DataFrame:
         d = d.withColumns(
             {"ma_fast": F.avg("close").over(rows(w, 1 - fast, 0)), "ma_slow": F.avg("close").over(rows(w, 1 - slow, 0))}
         )
-        pf, ps = F.lag("ma_fast").over(w), F.lag("ma_slow").over(w)
-        ready = F.col("bar_index") >= slow
+        d = d.withColumn("_side", side)
+        before, ready = F.lag("_side").over(w), F.col("bar_index") >= slow
         return d.withColumn(
             "cross",
-            F.when(ready & (pf <= ps) & (F.col("ma_fast") > F.col("ma_slow")), "UP")
-            .when(ready & (pf >= ps) & (F.col("ma_fast") < F.col("ma_slow")), "DOWN"),
-        )
+            F.when(ready & (before <= 0) & (F.col("_side") > 0), "UP").when(ready & (before >= 0) & (F.col("_side") < 0), "DOWN"),
+        ).drop("_side")
 
     return over_chunks(bars, build, back=slow + 1, size=size)
 
