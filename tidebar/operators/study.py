@@ -264,10 +264,11 @@ def feature_bins(samples: DataFrame, features: Sequence[str], label: str, bins:
     return base.join(q, groups, "left").withColumn("low_sample_warning", F.when(F.col("sample_count") < 20, 1).otherwise(0))
 
 
-def factor_bins(samples: DataFrame, factors: Sequence[str], label: str, key: str, bins: int = 5, draws: int = 200) -> DataFrame:
+def factor_bins(samples: DataFrame, factors: Sequence[str], label: str, key: str, bins: int = 5, draws: int = 200, digits: int | None = None) -> DataFrame:
     """Factor binning with bootstrap intervals, monotonicity and the missing rate.
 
-    A factor with fewer distinct values than bins gets fewer bins.
+    A factor with fewer distinct values than bins gets fewer bins. With ``digits`` the
+    edges are rounded to as many, for factors that are.
     """
     long = unpivot(samples, [key, label], factors, "factor", "value")
     whole = long.groupBy("factor").agg(
@@ -286,6 +287,8 @@ def factor_bins(samples: DataFrame, factors: Sequence[str], label: str, key: str
     # one quantile pass serves every possible bin count
     cuts = sorted({k / b for b in range(2, max(2, bins) + 1) for k in range(b + 1)})
     edges = exact_quantiles(known, ["factor"], "value", cuts, [f"_p{i}" for i in range(len(cuts))]).join(shape, "factor")
+    if digits is not None:
+        edges = edges.withColumns({f"_p{i}": F.round(f"_p{i}", digits) for i in range(len(cuts))})
     pick = F.lit(None).cast("array<double>")
     for b in range(2, max(2, bins) + 1):
         pick = F.when(F.col("_bins") == b, F.array(*[F.col(f"_p{cuts.index(k / b)}") for k in range(b + 1)])).otherwise(pick)

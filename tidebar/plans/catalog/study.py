@@ -135,6 +135,18 @@ def _(spark, sf):
     return study.drift(samples(spark, sf), utc8_month("open_time_ms"), FACTORS)
 
 
+# Fixed value: digits of a factor that bins go by; the bits beyond depend on the order of summing
+BIN_DIGITS = 9
+
+
+def settled(df):
+    return df.withColumns({f: F.round(F.col(f).cast("double"), BIN_DIGITS) for f in FACTORS})
+
+
+def settled_sql(long: str) -> str:
+    return f"SELECT * REPLACE (round(value, {BIN_DIGITS}) AS value) FROM ({long})"
+
+
 def rank_bin_sql(q: int, extra: str = "") -> str:
     return f"""
 rk AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY value, sample_no) AS r, count(*) OVER (PARTITION BY feature) AS n FROM lg WHERE value IS NOT NULL),
@@ -147,12 +159,12 @@ binned AS (SELECT rk.*, CASE WHEN bins <= 1 THEN 0 ELSE greatest(0, cast(ceil((r
     """SELECT *, entry_count / nullif(cast(entry_count + reject_count AS DOUBLE), 0) AS entry_rate FROM (
       SELECT feature, bin_id, min(value) AS bin_left, max(value) AS bin_right, count(*) AS total_count, count(*) FILTER (human_decision = 'ENTRY') AS entry_count,
              count(*) FILTER (human_decision = 'REJECT') AS reject_count FROM binned GROUP BY 1, 2)""",
-    f"{DECIDED_SQL}, lg AS ({long_sql(FACTORS, 'sample_no, human_decision', 'decided')}), {rank_bin_sql(4)}",
+    f"{DECIDED_SQL}, lg AS ({settled_sql(long_sql(FACTORS, 'sample_no, human_decision', 'decided'))}), {rank_bin_sql(4)}",
     "bin_left bin_right entry_rate",
     "bin_id",
 )
 def _(spark, sf):
-    return study.decision_bins(decided(spark, sf), FACTORS, "sample_no")
+    return study.decision_bins(settled(decided(spark, sf)), FACTORS, "sample_no")
 
 
 @query(
@@ -160,13 +172,13 @@ def _(spark, sf):
     f"""SELECT 'posterior_only' AS analysis_role, feature, bin_id, bin_left, bin_right, outcome_col, n, entry_count, reject_count, median, iqr, skewness, excess_kurtosis
     FROM ({dist_sql('ob', 'feature, bin_id, outcome_col')}) JOIN (SELECT feature, bin_id, min(value) AS bin_left, max(value) AS bin_right,
       count(*) FILTER (human_decision = 'ENTRY') AS entry_count, count(*) FILTER (human_decision = 'REJECT') AS reject_count FROM binned GROUP BY 1, 2) USING (feature, bin_id)""",
-    f"""{DECIDED_SQL}, lg AS ({long_sql(FACTORS, 'sample_no, human_decision, mfe_10, fwd_ret_10_side_adj', 'decided')}), {rank_bin_sql(4)},
+    f"""{DECIDED_SQL}, lg AS ({settled_sql(long_sql(FACTORS, 'sample_no, human_decision, mfe_10, fwd_ret_10_side_adj', 'decided'))}), {rank_bin_sql(4)},
     ob AS (SELECT feature, bin_id, 'mfe_10' AS outcome_col, mfe_10 AS value FROM binned UNION ALL SELECT feature, bin_id, '{LABEL}', {LABEL} FROM binned)""",
     "bin_left bin_right median iqr skewness excess_kurtosis",
     "bin_id",
 )
 def _(spark, sf):
-    return study.outcome_bins(decided(spark, sf), FACTORS, ["mfe_10", LABEL], "sample_no")
+    return study.outcome_bins(settled(decided(spark, sf)), FACTORS, ["mfe_10", LABEL], "sample_no")
 
 
 def edge_sql(k: int, by: str = "feature") -> str:
@@ -217,9 +229,9 @@ FB_FLOATS = "bin_left bin_right mean_label win_rate q25 median_label q75 ci_low
            rank() OVER (PARTITION BY factor ORDER BY m) + (count(*) OVER (PARTITION BY factor, m) - 1) / 2.0 AS rk
            FROM (SELECT factor, bin_id, avg({LABEL}) AS m FROM binned GROUP BY 1, 2)) GROUP BY 1) USING (factor)
     JOIN (SELECT factor, avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END) AS missing_rate, count(*) AS source_sample_count FROM lg0 GROUP BY 1) USING (factor)""",
-    f"""{SAMPLES_SQL}, lg0 AS ({long_sql(FACTORS, 'event_id, ' + LABEL, name='factor')}), lg AS (SELECT * FROM lg0 WHERE value IS NOT NULL AND {LABEL} IS NOT NULL),
+    f"""{SAMPLES_SQL}, lg0 AS ({settled_sql(long_sql(FACTORS, 'event_id, ' + LABEL, name='factor'))}), lg AS (SELECT * FROM lg0 WHERE value IS NOT NULL AND {LABEL} IS NOT NULL),
     nb AS (SELECT factor, least(5, count(DISTINCT value), greatest(2, count(*) // 5)) AS bins FROM lg GROUP BY 1),
-    es AS (SELECT factor, CASE bins {' '.join(f"WHEN {k} THEN list_sort(list_distinct([{', '.join(f'quantile_cont(value, {i / k})' for i in range(k + 1))}]))" for k in (2, 3, 4, 5))} END AS e
+    es AS (SELECT factor, CASE bins {' '.join(f"WHEN {k} THEN list_sort(list_distinct([{', '.join(f'round(quantile_cont(value, {i / k}), {BIN_DIGITS})' for i in range(k + 1))}]))" for k in (2, 3, 4, 5))} END AS e
            FROM lg JOIN nb USING (factor) GROUP BY factor, bins),
     binned AS (SELECT lg.*, 1 + len(list_filter(e[2:len(e) - 1], lambda x: x < value)) AS bin_id, e FROM lg JOIN es USING (factor) WHERE len(e) > 1),
     {boot_ctes('binned', 'factor, bin_id', LABEL, 'event_id', 200)}""",
@@ -227,7 +239,7 @@ FB_FLOATS = "bin_left bin_right mean_label win_rate q25 median_label q75 ci_low
     "bin_id",
 )
 def _(spark, sf):
-    return study.factor_bins(samples(spark, sf), FACTORS, LABEL, "event_id", draws=200)
+    return study.factor_bins(settled(samples(spark, sf)), FACTORS, LABEL, "event_id", draws=200, digits=BIN_DIGITS)
 
 
 @query(
