@@ -55,3 +55,11 @@ def test_nothing_to_correlate(spark):
     assert comovement.pairwise_correlations(none, "t", "symbol", "r").count() == 0
     one = comovement.complete_times(long(spark, np.array([[1.0, 2.0]])), "t", "symbol", "r")
     assert comovement.first_component(*comovement.correlation_blocks(one, "t", "symbol", "r")).count() == 0
+
+
+def test_blocks_stay_few(spark):
+    """Each block is sent to all others, so there are few of them where series are many."""
+    from pyspark.sql import functions as F
+
+    long = spark.range(4_096).select(F.col("id").cast("string").alias("symbol"))
+    assert comovement.series_blocks(long, "symbol").count() <= comovement.BLOCKS

@@ -16,27 +16,31 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import written
 
-SERIES, TIMES = 64, 512
+# every block meets every other one: up to BLOCKS of them take SERIES series or more each, but never over MOST
+SERIES, BLOCKS, MOST, TIMES = 64, 16, 512, 512
 # width of the subspace that holds the first factor, and when its direction counts as found
 WIDTH, ROUNDS, TOLERANCE = 32, 200, 1e-13
 
 
-def series_blocks(long: DataFrame, series: str, per: int = SERIES) -> DataFrame:
+def series_blocks(long: DataFrame, series: str, per: int | None = None) -> DataFrame:
     """(block, names): series dealt by hash into blocks of about ``per``, names in order."""
     names = long.select(series).distinct()
-    parts = max(1, -(-names.count() // per))
+    number = names.count()
+    parts = max(1, -(-number // (per or min(MOST, max(SERIES, -(-number // BLOCKS))))))
     return names.groupBy(F.pmod(F.xxhash64(series), F.lit(parts)).cast("int").alias("block")).agg(F.sort_array(F.collect_list(series)).alias("names"))
 
 
 def _packed(long: DataFrame, blocks: DataFrame, time: str, series: str, value: str, per: int) -> DataFrame:
-    """(block, width, part, cells): the cells of some series at some times, one (time, slot, value) each."""
+    """(block, width, part, cells): the cells of some series at some times, as lists of their times, slots and values."""
     slots = blocks.select("block", F.size("names").alias("width"), F.posexplode("names").alias("slot", series))
     # values are taken from the series' mean, which no correlation sees and sums need
     middle = long.groupBy(series).agg(F.avg(value).alias("_mid"))
     parts = max(1, -(-long.agg(F.approx_count_distinct(time)).collect()[0][0] // per))  # one row
     placed = long.select(series, time, value).join(middle.join(slots, series), series)
     cell = F.struct(F.xxhash64(time).alias("t"), "slot", (F.col(value) - F.col("_mid")).alias("v"))
-    return placed.groupBy("block", "width", F.pmod(F.xxhash64(time), F.lit(parts)).cast("int").alias("part")).agg(F.collect_list(cell).alias("cells"))
+    listed = placed.groupBy("block", "width", F.pmod(F.xxhash64(time), F.lit(parts)).cast("int").alias("part")).agg(F.collect_list(cell).alias("cells"))
+    # three plain lists take half the bytes of a list of structs
+    return listed.select("block", "width", "part", F.struct(F.col("cells.t").alias("t"), F.col("cells.slot").alias("slot"), F.col("cells.v").alias("v")).alias("cells"))
 
 
 class _Sums:
@@ -72,6 +76,7 @@ def _dense(cells: pa.StructArray, width: int, times: np.ndarray) -> np.ndarray:
     return out
 
 
+CELL = ["t", "slot", "v"]
 _PAIR = "lo int, hi int, rows int, cols int, n binary, corr binary"
 
 
@@ -80,13 +85,13 @@ def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at, sums, held = None, None, None
 
     def row() -> pa.RecordBatch:
-        made = [pa.array([v], t) for v, t in zip((*at, *sums.n.shape, sums.n.tobytes(), sums.correlation().tobytes()), (*[pa.int32()] * 4, pa.binary(), pa.binary()), strict=True)]
+        made = [pa.array([v], t) for v, t in zip((*at, *sums.n.shape, sums.n.astype(np.int32).tobytes(), sums.correlation().tobytes()), (*[pa.int32()] * 4, pa.binary(), pa.binary()), strict=True)]
         return pa.RecordBatch.from_arrays(made, names=["lo", "hi", "rows", "cols", "n", "corr"])
 
     for batch in batches:
         for i in range(batch.num_rows):
             lo, hi, part, side, rows, cols = (batch.column(k)[i].as_py() for k in range(6))
-            cells = batch.column(6)[i].values
+            cells = pa.StructArray.from_arrays([batch.column(6)[i][c].values for c in CELL], names=CELL)
             if (lo, hi) != at:
                 if at is not None:
                     yield row()
@@ -105,8 +110,8 @@ def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
-def correlation_blocks(long: DataFrame, time: str, series: str, value: str, per: int = SERIES, times: int = TIMES) -> tuple[DataFrame, DataFrame]:
-    """The blocks of series, and the counts and correlations of each pair of blocks (lo <= hi), packed."""
+def correlation_blocks(long: DataFrame, time: str, series: str, value: str, per: int | None = None, times: int = TIMES, keep: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The blocks of series, and the counts and correlations of each pair of blocks (lo <= hi), packed; kept in the shared folder if they are read again."""
     long = long.where(F.col(value).isNotNull() & F.col(time).isNotNull() & F.col(series).isNotNull())
     blocks = written(series_blocks(long, series, per), "series-blocks")
     packed = written(_packed(long, blocks, time, series, value, times), "return-blocks")
@@ -118,14 +123,15 @@ def correlation_blocks(long: DataFrame, time: str, series: str, value: str, per:
         F.when(F.col("block") <= F.col("with"), F.col("with_width")).otherwise(F.col("width")).alias("cols"), "cells",
     )
     dealt = met.repartition("lo", "hi").sortWithinPartitions("lo", "hi", "part", "side")
-    return blocks, written(dealt.mapInArrow(_pair_sums, _PAIR), "pair-blocks")
+    pairs = dealt.mapInArrow(_pair_sums, _PAIR)
+    return blocks, written(pairs, "pair-blocks") if keep else pairs
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             lo, hi, rows, cols, n, corr, first, second = (batch.column(k)[i].as_py() for k in range(8))
-            n, corr = (np.frombuffer(v).reshape(rows, cols) for v in (n, corr))
+            n, corr = np.frombuffer(n, np.int32).reshape(rows, cols), np.frombuffer(corr).reshape(rows, cols)
             a, b = np.triu_indices(rows) if lo == hi else (np.repeat(np.arange(rows), cols), np.tile(np.arange(cols), rows))
             names = np.array(first, object)[a], np.array(second, object)[b]
             swap = names[0] > names[1]
@@ -134,9 +140,9 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.array(n[a, b].astype(np.int64)), pa.array(c, mask=np.isnan(c))], names=["a", "b", "n", "corr"])
 
 
-def pairwise_correlations(long: DataFrame, time: str, series: str, value: str, per: int = SERIES, times: int = TIMES) -> DataFrame:
+def pairwise_correlations(long: DataFrame, time: str, series: str, value: str, per: int | None = None, times: int = TIMES) -> DataFrame:
     """(a, b, n, corr) of every pair a <= b of series over the times that both have; null without variance."""
-    blocks, pairs = correlation_blocks(long, time, series, value, per, times)
+    blocks, pairs = correlation_blocks(long, time, series, value, per, times, keep=False)
     named = pairs.join(blocks.toDF("lo", "first"), "lo").join(blocks.toDF("hi", "second"), "hi")
     return named.select("lo", "hi", "rows", "cols", "n", "corr", "first", "second").mapInArrow(_unpacked, "a string, b string, n long, corr double")
 
