@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.moments import safe_corr
 from ..functions.scalar import erfc, flag, md5_mod, null
+from ..session import written
 from .chunks import CHUNK, dense_index
-from .quantiles import value_positions, with_average_rank
+from .quantiles import BINS, _edges, _with_bin, with_average_rank
 
 
 def rank_ic(long: DataFrame, groups: Sequence[str], x: str, y: str) -> DataFrame:
@@ -48,44 +51,141 @@ def factor_ic(long: DataFrame, factor: str, x: str, y: str, block: str, min_bloc
     )
 
 
+# rows of one value that are weighed at once, and rows that a bin holds about, where there are enough
+PART = 16_384
+BIN_ROWS = 4_096
+
+
+def _side_bins(rows: DataFrame, factor: str, v: str, name: str) -> DataFrame:
+    """Bin of a value in its factor: odd on an edge, a single value of any number of rows, even between two edges."""
+    edges = _edges(rows, [factor], v, BINS).withColumn("_step", F.greatest(F.lit(1), F.ceil(F.lit(BIN_ROWS * BINS) / F.col("_total"))).cast("int"))
+    thin = edges.select(factor, F.filter("_edges", lambda _, i: i % F.col("_step") == F.least(F.col("_step"), F.size("_edges")) - 1).alias("_edges"))
+    binned = _with_bin(rows.join(F.broadcast(thin), factor), v, "_k")  # a row for each factor
+    on = F.coalesce(F.get("_edges", F.col("_k")) == F.col(v), F.lit(False))
+    return binned.withColumn(name, 2 * F.col("_k") + on.cast("int")).drop("_edges", "_k")
+
+
+def _weights(at: np.ndarray, starts: np.ndarray, block: int, n: int) -> np.ndarray:
+    """Times that each position is drawn, a row for each replicate: the blocks that have begun less those that have ended."""
+    draws, count = starts.shape
+    ends = starts + block
+    ends[:, -1] = starts[:, -1] + n - (count - 1) * block
+    order = np.argsort(at)
+    lane = np.arange(draws)[:, None] * (len(at) + 1)
+    begun, ended = ((lane + np.searchsorted(at[order], edge)).ravel() for edge in (starts, ends))
+    size = draws * (len(at) + 1)
+    steps = np.bincount(begun, minlength=size) - np.bincount(ended, minlength=size)
+    out = np.empty((draws, len(at)), np.int64)
+    out[:, order] = np.cumsum(steps.reshape(draws, -1), axis=1)[:, :-1]
+    return out
+
+
+def _twice_ranks(values: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Twice the rows below a value and once those equal to it, of rows counted ``w`` times, for each replicate."""
+    order = np.argsort(values, kind="stable")
+    v = values[order]
+    upto = np.concatenate([np.zeros((len(w), 1), np.int64), np.cumsum(w[:, order], axis=1)], axis=1)
+    both = upto[:, np.searchsorted(v, v)] + upto[:, np.searchsorted(v, v, "right")]
+    out = np.empty_like(w)
+    out[:, order] = both
+    return out
+
+
+def _starts(shape: DataFrame, factor: str, draws: int) -> dict[str, tuple[int, int, np.ndarray]]:
+    """Rows, block length and blocks' starts of each factor, a list for each replicate that is as long as the root of the rows."""
+    lists = shape.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).select(
+        F.col(factor).alias("_f"), "_rep", "_n", "_b",
+        F.transform(
+            F.sequence(F.lit(0), (F.ceil(F.col("_n") / F.col("_b")) - 1).cast("int")),
+            lambda j: md5_mod(F.concat_ws(":", F.col(factor), F.col("_rep").cast("string"), j.cast("string")), F.col("_n") - F.col("_b") + 1),
+        ).alias("_s"),
+    )
+    got = lists.orderBy("_f", "_rep").toArrow()
+    out = {}
+    for at in range(0, got.num_rows, draws):
+        own = got.slice(at, draws)
+        flat = own["_s"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        out[own["_f"][0].as_py()] = (int(own["_n"][0].as_py()), int(own["_b"][0].as_py()), flat.reshape(draws, -1))
+    return out
+
+
 def block_bootstrap_ic(
     long: DataFrame, factor: str, x: str, y: str, order: str, horizon: int = 1, draws: int = 200, size: int = CHUNK
 ) -> DataFrame:
     """Percentile interval of the rank IC from contiguous blocks, re-ranked in every replicate.
 
-    A replicate is a multiplicity per position, so rows are matched to it by an equi
-    join and ranks come from weighted counts; no replicate is gathered anywhere.
+    Rows are grouped by bins of ``y`` and then of ``x``; a task works out the multiplicities of its rows from the
+    blocks' starts and ranks one bin for all replicates. Only a row's ranks inside its bin of ``y`` are shuffled, as
+    small integers; the weights of whole bins, a bounded number, place the bins.
     """
-    known = long.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(factor, x, y, order)
-    pos = dense_index(known, [factor], order, size, name="_pos", total="_n")
+    spark = long.sparkSession
+    known = long.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(factor, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), order)
+    pos = dense_index(known, [factor], order, size, name="_pos", total="_n").select(factor, "_x", "_y", "_pos", "_n").where("_n >= 3")
+    rows = written(_side_bins(_side_bins(pos, factor, "_x", "_kx"), factor, "_y", "_ky").withColumnRenamed(factor, "_f"), "bootstrap")
     block = F.greatest(F.ceil(F.sqrt("_n")), F.lit(max(1, horizon)))
-    shape = pos.groupBy(factor).agg(F.max("_n").alias("_n")).withColumn("_b", F.least(block, F.col("_n"))).where("_n >= 3")
-    starts = (
-        shape.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-        .withColumn("_j", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("_n") / F.col("_b")) - 1).cast("int"))))
-        .withColumn("_s", md5_mod(F.concat_ws(":", factor, F.col("_rep").cast("string"), F.col("_j").cast("string")), F.col("_n") - F.col("_b") + 1))
-    )
-    picked = (
-        starts.withColumn("_o", F.explode(F.sequence(F.lit(0), (F.col("_b") - 1).cast("int"))))
-        .where(F.col("_j") * F.col("_b") + F.col("_o") < F.col("_n"))
-        .groupBy(factor, "_rep", (F.col("_s") + F.col("_o")).alias("_pos"))
-        .agg(F.count(F.lit(1)).alias("_w"))
-    )
-    reps = pos.drop("_n").join(picked, [factor, "_pos"])
-    g = [factor, "_rep"]
-    ranked = reps
-    for v, r in ((x, "_rx"), (y, "_ry")):
-        p = value_positions(reps, g, v, weight="_w", edge_groups=[factor]).select(*g, v, (F.col("n_below") + (F.col("n_equal") + 1) / 2.0).alias(r))
-        ranked = ranked.join(p, [*g, v])
-    w, a, b = F.col("_w"), F.col("_rx"), F.col("_ry")
-    s = ranked.groupBy(*g).agg(
-        F.sum(w).alias("n"), F.sum(w * a).alias("a"), F.sum(w * b).alias("b"), F.sum(w * a * b).alias("ab"),
-        F.sum(w * a * a).alias("aa"), F.sum(w * b * b).alias("bb"),
-    )
-    va, vb = F.col("aa") - F.col("a") * F.col("a") / F.col("n"), F.col("bb") - F.col("b") * F.col("b") / F.col("n")
-    ic = s.withColumn(
-        "_ic", F.when((va > 1e-9) & (vb > 1e-9), (F.col("ab") - F.col("a") * F.col("b") / F.col("n")) / F.sqrt(va * vb))
-    )
+    shape = rows.groupBy(F.col("_f").alias(factor)).agg(F.max("_n").alias("_n")).withColumn("_b", F.least(block, F.col("_n")))
+    starts = spark.sparkContext.broadcast(_starts(shape, factor, draws))
+    kind = rows.schema["_f"].dataType.simpleString()
+
+    def weighed(pdf: pd.DataFrame) -> np.ndarray:
+        n, b, s = starts.value[pdf["_f"].iat[0]]
+        return _weights(pdf["_pos"].to_numpy(), s, b, n)
+
+    def part(k: str) -> Column:
+        # a bin of one value is cut by position; the others hold a bounded share of the rows
+        return F.when(F.col(k) % 2 == 1, F.floor(F.col("_pos") / PART)).otherwise(0).alias("_part")
+
+    def bin_sums(k: str) -> dict:
+        """Bins of each factor in order, twice the rows below them and their own rows in each replicate."""
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"_f": [pdf["_f"].iat[0]], "_k": [pdf["_k"].iat[0]], "_w": [weighed(pdf).sum(axis=1).tobytes()]})
+
+        sums: dict = {}
+        for r in rows.select("_f", F.col(k).alias("_k"), "_pos", part(k)).groupBy("_f", "_k", "_part").applyInPandas(run, f"_f {kind}, _k int, _w binary").collect():
+            own = sums.setdefault(r["_f"], {})
+            own[r["_k"]] = own.get(r["_k"], 0) + np.frombuffer(r["_w"], np.int64)
+        out = {}
+        for f, own in sums.items():
+            keys = sorted(own)
+            each = np.array([own[i] for i in keys])
+            out[f] = (np.array(keys), 2 * (np.cumsum(each, axis=0) - each), each)
+        return out
+
+    bins = spark.sparkContext.broadcast({"_kx": bin_sums("_kx"), "_ky": bin_sums("_ky")})
+
+    def inner_ranks(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = _twice_ranks(pdf["_y"].to_numpy(), weighed(pdf)).T
+        r = np.ascontiguousarray(r.astype(np.uint16 if r.max(initial=0) < 1 << 16 else np.uint32))
+        return pdf[["_f", "_pos", "_x", "_kx", "_ky"]].assign(_r=[row.tobytes() for row in r])
+
+    def products(pdf: pd.DataFrame) -> pd.DataFrame:
+        f, k = pdf["_f"].iat[0], pdf["_kx"].iat[0]
+        n, w = starts.value[f][0], weighed(pdf)
+        keys, below, own = bins.value["_kx"][f]
+        at = np.searchsorted(keys, k)
+        a = below[at][:, None] + (own[at][:, None] if k % 2 else _twice_ranks(pdf["_x"].to_numpy(), w)) - n
+        keys, below, own = bins.value["_ky"][f]
+        at = np.searchsorted(keys, pdf["_ky"].to_numpy())
+        b = below[at] - n
+        single = pdf["_ky"].to_numpy() % 2 == 1
+        b[single] += own[at[single]]
+        long_as = pdf["_r"].map(lambda r: 0 if r is None else len(r)).to_numpy()
+        for kept in (np.uint16, np.uint32):
+            here = long_as == draws * np.dtype(kept).itemsize
+            if here.any():
+                b[here] += np.frombuffer(b"".join(pdf["_r"][here]), kept).reshape(-1, draws)
+        # twice the ranks less their mean, which is the same for every replicate, as each has n rows
+        a, b, w = a.astype(float), b.T.astype(float), w.astype(float)
+        wa, wb = w * a, w * b
+        return pd.DataFrame({"_f": f, "_rep": np.arange(draws), "ab": (wa * b).sum(axis=1), "aa": (wa * a).sum(axis=1), "bb": (wb * b).sum(axis=1)})
+
+    cols = f"_f {kind}, _pos long, _x double, _kx int, _ky int, _r binary"
+    ranked = rows.where("_ky % 2 = 0").groupBy("_f", "_ky").applyInPandas(inner_ranks, cols)
+    tied = rows.where("_ky % 2 = 1").select("_f", "_pos", "_x", "_kx", "_ky", F.lit(None).cast("binary").alias("_r"))
+    sums = ranked.unionByName(tied).groupBy("_f", "_kx", part("_kx")).applyInPandas(products, f"_f {kind}, _rep int, ab double, aa double, bb double")
+    s = sums.groupBy(F.col("_f").alias(factor), "_rep").agg(*[F.sum(c).alias(c) for c in ("ab", "aa", "bb")])
+    ic = s.withColumn("_ic", F.when((F.col("aa") > 0) & (F.col("bb") > 0), F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))))
     return ic.groupBy(factor).agg(
         F.percentile("_ic", 0.025).alias("ic_bootstrap_ci_low"), F.percentile("_ic", 0.975).alias("ic_bootstrap_ci_high"),
         F.count("_ic").alias("bootstrap_sample_count"),
