@@ -2,7 +2,9 @@
 
 A group may be too large for one task, so values are first placed in ordered bins
 whose edges come from a mergeable sketch. The edges only steer the work: counts per
-bin give exact offsets and only the bins that hold a wanted rank are sorted.
+bin give exact offsets and only the bins that hold a wanted rank are sorted. A merged sketch
+depends on the order in which its parts arrive, so edges are written once: counts and
+sorted bins must mean the same bins.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import written
 from .chunks import CHUNK
 
 BINS = 512
@@ -19,10 +22,11 @@ BINS = 512
 def _edges(df: DataFrame, groups: Sequence[str], value: str, bins: int) -> DataFrame:
     # one foldable text literal instead of a thousand numbers keeps the plan small
     probs = ",".join(repr(k / bins) for k in range(1, bins))
-    return df.groupBy(*groups).agg(
+    edges = df.groupBy(*groups).agg(
         F.expr(f"array_sort(array_distinct(percentile_approx({value}, cast(split('{probs}', ',') as array<double>), 10000)))").alias("_edges"),
         F.count(value).alias("_total"),
     )
+    return written(edges, "edges")
 
 
 def _with_bin(df: DataFrame, value: str, name: str = "_bin") -> DataFrame:
