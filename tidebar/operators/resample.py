@@ -8,8 +8,10 @@ of a group. The md5 makes every draw repeatable in any SQL engine.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalar import flag
@@ -32,6 +34,14 @@ def poisson_weight(u: Column) -> Column:
     return sum((F.when(u >= p, 1).otherwise(0) for p in POISSON_CDF), F.lit(0))
 
 
+def row_weights(rows: Sequence[str], draws: int) -> np.ndarray:
+    """The Poisson weights of rows in every replicate, a row of weights for each, read from the same md5s inside a task."""
+    blocks = range(-(-draws // LANES))
+    read = b"".join(hashlib.md5(f"{row}:{b}".encode()).digest() for row in rows for b in blocks)
+    u = np.frombuffer(read, ">u4").reshape(len(rows), -1)[:, :draws] / 4294967296.0
+    return np.searchsorted(POISSON_CDF, u, side="right").astype(float)
+
+
 def replicate_means(df: DataFrame, groups: Sequence[str], value: str, row: str, draws: int) -> DataFrame:
     """Weighted mean of every replicate: groups, replicate, mean."""
     blocks = -(-draws // LANES)
