@@ -20,6 +20,8 @@ from ..operators.feed import annotation_key, latest_by_key
 from ..operators.universe import TRADE_ACTIONS, observation_rows
 
 BACK = 20
+# keys of annotations that share a state; fixed for a checkpoint
+BUCKETS = 2_048
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -177,13 +179,14 @@ def stream_universe(candidates: DataFrame, actions: DataFrame, profile: str = "L
 
 
 class Versions(InOrder):
-    """Versions of an annotation: the current one is state, every change leaves with what it replaced.
+    """Versions of annotations: the current ones are state, every change leaves with what it replaced.
 
-    A delete keeps the counts, so that a later change goes on with them, until ``forget`` milliseconds
+    Keys share a state by hash, so that calls of the state grow with these buckets and not with the keys; a batch
+    rewrites the current versions of the buckets it meets. A delete keeps the counts, so that a later change goes on with them, until ``forget`` milliseconds
     of event time have passed; then the key starts anew. Without ``forget`` nothing expires.
     """
 
-    waiting = (("changed_at", "long"), ("change_no", "long"), ("operation", "string"), ("human_decision", "string"), ("confidence", "int"), ("note", "string"))
+    waiting = (("changed_at", "long"), ("change_no", "long"), ("operation", "string"), ("human_decision", "string"), ("confidence", "int"), ("note", "string"), ("annotation_key", "string"))
     out = "annotation_key string, changed_at long, change_no long, operation string, revision_no long, annotation_version long, created_at long, human_decision string, confidence int, note string, previous_payload string, new_payload string, kind string"
 
     def __init__(self, forget: int | None = None) -> None:
@@ -191,25 +194,34 @@ class Versions(InOrder):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.head = handle.getValueState("head", "revisions long, versions long, created_at long, payload string, deleted_at long")
+        self.heads = handle.getListState("heads", "annotation_key string, revisions long, versions long, created_at long, payload string, deleted_at long")
+
+    def _known(self) -> dict[str, tuple]:
+        return {k: tuple(head) for k, *head in self.heads.get()}
+
+    def _keep(self, heads: dict[str, tuple]) -> None:
+        if heads:
+            self.heads.put([(k, *head) for k, head in heads.items()])
+        else:
+            self.heads.clear()
 
     def released(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        revisions, versions, created, payload, deleted = self.head.get() if self.head.exists() else (0, 0, None, None, None)
-        out = []
+        heads, out = self._known(), []
         for r in rows.itertuples(index=False):
+            revisions, versions, created, payload, deleted = heads.get(r.annotation_key, (0, 0, None, None, None))
             if deleted is not None and self.forget is not None and r.changed_at - deleted > self.forget:
                 revisions, versions, created, payload = 0, 0, None, None
             gone = r.operation == "DELETE"
             now = json.dumps({k: v for k, v in (("human_decision", r.human_decision), ("confidence", None if pd.isna(r.confidence) else int(r.confidence)), ("note", r.note)) if not (v is None or pd.isna(v))}, separators=(",", ":"), ensure_ascii=False)
             revisions, versions = int(revisions) + 1, int(versions) + (not gone)
             created = int(r.changed_at) if created is None else int(created)
-            out.append((key[0], int(r.changed_at), int(r.change_no), r.operation, revisions, versions, created, r.human_decision, r.confidence, r.note, payload, None if gone else now, "change"))
-            payload, deleted = now, int(r.changed_at) if gone else None
-        self.head.update((revisions, versions, created, payload, deleted))
+            out.append((r.annotation_key, int(r.changed_at), int(r.change_no), r.operation, revisions, versions, created, r.human_decision, r.confidence, r.note, payload, None if gone else now, "change"))
+            heads[r.annotation_key] = (revisions, versions, created, now, int(r.changed_at) if gone else None)
+        self._keep(heads)
         return self._frame(out)
 
     def late(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return self._frame([(key[0], int(r.changed_at), int(r.change_no), r.operation, None, None, None, r.human_decision, r.confidence, r.note, None, None, "late") for r in rows.itertuples(index=False)])
+        return self._frame([(r.annotation_key, int(r.changed_at), int(r.change_no), r.operation, None, None, None, r.human_decision, r.confidence, r.note, None, None, "late") for r in rows.itertuples(index=False)])
 
     def _frame(self, rows: list[tuple]) -> pd.DataFrame:
         names = [c.split()[0] for c in self.out.split(", ")]
@@ -219,21 +231,22 @@ class Versions(InOrder):
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
-        if self.forget is None or self.timer.exists() or not self.head.exists():
-            return
-        deleted = self.head.get()[4]
-        if deleted is None:
+        if self.forget is None:
             return
-        if timerValues.getCurrentWatermarkInMs() > int(deleted) + self.forget:
-            self.head.clear()
-        else:  # nothing waits: the timer that is left lets the deleted version expire
-            self._wake(int(deleted) + self.forget + 1)
+        heads, passed = self._known(), timerValues.getCurrentWatermarkInMs()
+        left = {k: head for k, head in heads.items() if head[4] is None or passed <= int(head[4]) + self.forget}
+        if len(left) < len(heads):
+            self._keep(left)
+        deleted = [int(head[4]) for head in left.values() if head[4] is not None]
+        if deleted and not self.timer.exists():  # nothing waits: the timer that is left lets deleted versions expire
+            self._wake(min(deleted) + self.forget + 1)
 
 
-def annotation_stream(log: DataFrame, late: str, forget: int | None = None) -> DataFrame:
+def annotation_stream(log: DataFrame, late: str, forget: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Every change of an annotation with its revision number, version and payloads, and late changes, as ``kind`` tells."""
     timed = log.withColumns({"annotation_key": annotation_key(), "event_time": F.timestamp_millis("changed_at")})
-    return _stateful(timed, ["annotation_key"], "event_time", late, Versions(forget), Versions.out)
+    timed = timed.withColumn("bucket", F.pmod(F.xxhash64("annotation_key"), F.lit(buckets)))
+    return _stateful(timed, ["bucket"], "event_time", late, Versions(forget), Versions.out)
 
 
 def stream_revisions(changes: DataFrame) -> DataFrame:
