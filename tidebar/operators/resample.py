@@ -8,20 +8,28 @@ of a group. The md5 makes every draw repeatable in any SQL engine.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Sequence
+import sys
+from collections.abc import Callable, Iterator, Sequence
+from hashlib import md5
 
 import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalar import flag
 from .quantiles import exact_quantiles
 
+# the functions travel with the job, so executors need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Cumulative Poisson(1) probabilities.
 POISSON_CDF = (0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406, 0.999917, 0.999990)
 LANES = 4
 # rows of a group that are drawn from as one list
 PART = 8_192
+# rows drawn for at once, and groups whose sums a task holds
+ROWS, HELD = 512, 1_000
 
 
 def uniform(row: Column, block: Column, lane: int) -> Column:
@@ -34,39 +42,77 @@ def poisson_weight(u: Column) -> Column:
     return sum((F.when(u >= p, 1).otherwise(0) for p in POISSON_CDF), F.lit(0))
 
 
+def _digests(heads: Sequence[str], blocks: int) -> bytes:
+    """The md5 of every head with every block number behind it."""
+    ends = [str(b).encode() for b in range(blocks)]
+    return b"".join(md5(head + end).digest() for head in map(str.encode, heads) for end in ends)
+
+
+def _weights(heads: Sequence[str], draws: int) -> np.ndarray:
+    u = np.frombuffer(_digests(heads, -(-draws // LANES)), ">u4").reshape(len(heads), -1)[:, :draws] / 4294967296.0
+    return np.searchsorted(POISSON_CDF, u, side="right").astype(float)
+
+
+def _signs(heads: Sequence[str], draws: int) -> np.ndarray:
+    """One sign a row and replicate: a hexadecimal digit below eight keeps the value."""
+    read = np.frombuffer(_digests(heads, -(-draws // 32)), np.uint8).reshape(len(heads), -1, 1)
+    return 1.0 - 2.0 * (np.concatenate([read >> 7, read >> 3 & 1], axis=2).reshape(len(heads), -1)[:, :draws])
+
+
 def row_weights(rows: Sequence[str], draws: int) -> np.ndarray:
     """The Poisson weights of rows in every replicate, a row of weights for each, read from the same md5s inside a task."""
-    blocks = range(-(-draws // LANES))
-    read = b"".join(hashlib.md5(f"{row}:{b}".encode()).digest() for row in rows for b in blocks)
-    u = np.frombuffer(read, ">u4").reshape(len(rows), -1)[:, :draws] / 4294967296.0
-    return np.searchsorted(POISSON_CDF, u, side="right").astype(float)
+    return _weights([f"{row}:" for row in rows], draws)
+
+
+def replicate_sums(
+    df: DataFrame, groups: Sequence[str], value: str, head: Column, draws: int, weights: Callable[[Sequence[str], int], np.ndarray]
+) -> DataFrame:
+    """Per group and replicate the sum ``s`` of weighted values and ``n`` of weights.
+
+    A task draws a row's weights once, adds them up by products and lets only sums leave; it holds
+    the sums of ``HELD`` groups at most. Rows are spread over all tasks first, as the draws are the work.
+    """
+    groups = list(groups)
+    wide = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v"), head.alias("_head")).repartition(wide, "_head")
+
+    def flush(total: dict[tuple, np.ndarray], types: Sequence[pa.DataType]) -> pa.RecordBatch:
+        keys = [pa.array([k[i] for k in total], t) for i, t in enumerate(types)]
+        sums = [pa.array([s[i] for s in total.values()], pa.list_(pa.float64())) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays([*keys, *sums], names=[*groups, "_s", "_n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple, np.ndarray] = {}
+        types: list[pa.DataType] = []
+        for batch in batches:
+            types = [batch.column(g).type for g in groups]
+            for a in range(0, batch.num_rows, ROWS):
+                part = batch.slice(a, ROWS)
+                w, v = weights(part.column("_head").to_pylist(), draws), part.column("_v").to_numpy()
+                members: dict[tuple, list[int]] = {}
+                columns = [part.column(g).to_pylist() for g in groups]
+                for i in range(part.num_rows):
+                    members.setdefault(tuple(c[i] for c in columns), []).append(i)
+                for key, at in members.items():
+                    own = w[at]
+                    sums = np.stack([v[at] @ own, own.sum(axis=0)])
+                    total[key] = total[key] + sums if key in total else sums
+                if len(total) > HELD:
+                    yield flush(total, types)
+                    total = {}
+        if total:
+            yield flush(total, types)
+
+    shape = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in known.select(*groups).schema) + "_s array<double>, _n array<double>"
+    sums = known.mapInArrow(run, shape)
+    each = sums.select(*groups, F.posexplode(F.arrays_zip("_s", "_n")).alias("replicate", "_x"))
+    return each.groupBy(*groups, "replicate").agg(F.sum("_x._s").alias("s"), F.sum("_x._n").alias("n"))
 
 
 def replicate_means(df: DataFrame, groups: Sequence[str], value: str, row: str, draws: int) -> DataFrame:
     """Weighted mean of every replicate: groups, replicate, mean."""
-    blocks = -(-draws // LANES)
-    base = df.where(F.col(value).isNotNull()).select(
-        *groups, F.col(value).alias("_v"), F.col(row).alias("_row"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b")
-    )
-    base = base.withColumn("_h", F.md5(F.concat_ws(":", F.col("_row").cast("string"), F.col("_b").cast("string"))))
-    sums = []
-    for lane in range(LANES):
-        u = F.conv(F.substring("_h", 8 * lane + 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
-        base = base.withColumn(f"_w{lane}", poisson_weight(u))
-        sums += [F.sum(F.col(f"_w{lane}") * F.col("_v")).alias(f"_s{lane}"), F.sum(f"_w{lane}").alias(f"_n{lane}")]
-    wide = base.groupBy(*groups, "_b").agg(*sums)
-    lanes = F.array(
-        *[
-            F.struct(
-                (F.col("_b") * LANES + k).alias("replicate"),
-                F.when(F.col(f"_n{k}") > 0, F.col(f"_s{k}") / F.col(f"_n{k}")).alias("mean"),
-            )
-            for k in range(LANES)
-        ]
-    )
-    return wide.select(*groups, F.explode(lanes).alias("_r")).select(*groups, "_r.replicate", "_r.mean").where(
-        F.col("replicate") < draws
-    )
+    sums = replicate_sums(df, groups, value, F.concat_ws(":", F.col(row).cast("string"), F.lit("")), draws, _weights)
+    return sums.select(*groups, F.col("replicate").cast("long").alias("replicate"), F.when(F.col("n") > 0, F.col("s") / F.col("n")).alias("mean"))
 
 
 def bootstrap_mean(df: DataFrame, groups: Sequence[str], value: str, row: str, draws: int = 1000, level: float = 0.95) -> DataFrame:
@@ -91,25 +137,11 @@ def bootstrap_win_rate(df: DataFrame, groups: Sequence[str], value: str, row: st
 def sign_flip_test(df: DataFrame, groups: Sequence[str], effect: str, row: str, draws: int = 1000) -> DataFrame:
     """Two-sided sign-flip permutation test of a mean effect: p = (exceed + 1) / (draws + 1).
 
-    A flip changes the sum by twice the flipped values, so each replicate is one
-    conditional sum over the rows.
+    Each replicate is one signed sum over the rows.
     """
     groups = list(groups)
-    blocks = -(-draws // 32)
-    base = df.where(F.col(effect).isNotNull()).select(
-        *groups, F.col(effect).alias("_e"), F.col(row).alias("_row"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b")
-    )
-    base = base.withColumn("_h", F.md5(F.concat_ws(":", F.col("_row").cast("string"), F.lit("flip"), F.col("_b").cast("string"))))
-
-    def digit(k: int) -> Column:
-        return F.conv(F.substring("_h", k + 1, 1), 16, 10).cast("int")
-
-    sums = [F.sum(F.when(digit(k) < 8, F.col("_e")).otherwise(-F.col("_e"))).alias(f"_s{k}") for k in range(32)]
-    wide = base.groupBy(*groups, "_b").agg(*sums, F.count(F.lit(1)).alias("_n"))
-    reps = wide.select(
-        *groups, "_n",
-        F.explode(F.array(*[F.struct((F.col("_b") * 32 + k).alias("r"), F.col(f"_s{k}").alias("s")) for k in range(32)])).alias("_x"),
-    ).where(F.col("_x.r") < draws).select(*groups, "_n", F.col("_x.s").alias("_s"))
+    head = F.concat_ws(":", F.col(row).cast("string"), F.lit("flip"), F.lit(""))
+    reps = replicate_sums(df, groups, effect, head, draws, _signs).select(*groups, F.col("s").alias("_s"))
     seen = df.where(F.col(effect).isNotNull()).groupBy(*groups).agg(
         F.avg(effect).alias("mean_effect"), F.count(effect).alias("sample_count"), F.sum(effect).alias("_obs")
     )
