@@ -10,6 +10,7 @@ sorted bins must mean the same bins.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -53,9 +54,40 @@ def _bin_offsets(binned: DataFrame, groups: Sequence[str], weight: Column) -> Da
 def exact_quantiles(
     df: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str], bins: int = BINS
 ) -> DataFrame:
-    """Linear-interpolated quantiles per group, one column per probability."""
+    """Linear-interpolated quantiles per group, one column per probability.
+
+    Groups of at most ``CHUNK`` values are sorted as they are, so many small groups cost one
+    shuffle of their values; only larger ones are binned.
+    """
     groups = list(groups)
     data = df.select(*groups, F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    if not groups:
+        return _binned_quantiles(data, groups, probs, names, bins)
+    sizes = written(data.groupBy(*groups).agg(F.count(F.lit(1)).alias("_size")), "sizes")
+    small, large = sizes.agg(F.count_if(F.col("_size") <= CHUNK), F.count_if(F.col("_size") > CHUNK)).first()
+    if not large:
+        return _sorted_quantiles(data, groups, probs, names)
+    if not small:
+        return _binned_quantiles(data, groups, probs, names, bins)
+    # a group may be null, so sides are told apart by a flag and not by an anti join
+    same = [F.col(f"d.{g}").eqNullSafe(F.col(f"s.{g}")) for g in groups]
+    marked = data.alias("d").join(sizes.alias("s"), reduce(lambda a, b: a & b, same)).select(*[F.col(f"d.{g}").alias(g) for g in groups], "_x", "_size")
+    few = _sorted_quantiles(marked.where(F.col("_size") <= CHUNK), groups, probs, names)
+    return few.unionByName(_binned_quantiles(marked.where(F.col("_size") > CHUNK).drop("_size"), groups, probs, names, bins))
+
+
+def _sorted_quantiles(data: DataFrame, groups: list[str], probs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    lists = data.groupBy(*groups).agg(F.sort_array(F.collect_list("_x")).alias("_xs"))
+
+    def at(p: float) -> Column:
+        pos = F.lit(float(p)) * (F.size("_xs") - 1)
+        a, b = F.get("_xs", F.floor(pos).cast("int")), F.get("_xs", F.ceil(pos).cast("int"))
+        return a + (b - a) * (pos - F.floor(pos))
+
+    return lists.select(*groups, *[at(p).alias(n) for p, n in zip(probs, names, strict=True)])
+
+
+def _binned_quantiles(data: DataFrame, groups: list[str], probs: Sequence[float], names: Sequence[str], bins: int) -> DataFrame:
     edges = _edges(data, groups, "_x", bins)
     binned = _with_bin(_joined(data, edges, groups), "_x").drop("_edges")
     offsets = _bin_offsets(binned.select(*groups, "_bin"), groups, F.lit(1))
