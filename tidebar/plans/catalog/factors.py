@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 from ...functions.scalar import ERF_A, ERF_T, utc8_month
 from ...operators import factors, labels, rulebook, rules, series, splits, study, universe
 from ...operators.chunks import KEYS
-from ...session import fresh
-from ..derive import bars
+from ...session import fresh, written
+from ..derive import STEP, bars
 from ..registry import query
 from ..samples import FACTORS, LABEL, SAMPLES_SQL, samples
 from .features import UNIVERSE_SQL
@@ -238,11 +238,13 @@ def _(spark, sf):
     "pearson_ic spearman_rank_ic",
 )
 def _(spark, sf):
-    f = sample_folds(spark, sf).where("split = 'test'")
+    # written once: the ranks read it several times
+    f = written(sample_folds(spark, sf).where("split = 'test'").select("period", LABEL, *FACTORS), "folds")
     return factors.rank_ic(study.unpivot(f, ["period", LABEL], FACTORS, "factor", "value"), ["factor", "period"], "value", LABEL)
 
 
-WIDTH = 14_400_000 * 16_384
+# one bar's time: all symbols share a side's line of positions, so a bin holds at most a row of each symbol
+WIDTH = STEP
 
 
 def sample_folds(spark, sf, purge=0):
