@@ -7,14 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalar import digest_id, finite, ratio
-from ..session import cut
+from ..session import cut, written
 from .quantiles import exact_quantiles
 from .study import rank_bins, unpivot
 
 
 def prototype(features: DataFrame, annotations: DataFrame, names: Sequence[str], key: str = "observation_id") -> DataFrame:
+    """Centre and scale of the rows that an annotation calls ENTRY."""
+    return prototype_of(features.join(annotations.where(F.upper("human_decision") == "ENTRY").select(key), key), names)
+
+
+def prototype_of(entries: DataFrame, names: Sequence[str]) -> DataFrame:
     """Centre (median) and scale (IQR, else population std, else 1) of the ENTRY rows; a single row of two arrays."""
-    entries = features.join(annotations.where(F.upper("human_decision") == "ENTRY").select(key), key)
     long = unpivot(entries, [], names)
     q = exact_quantiles(long, ["feature"], "value", [0.25, 0.5, 0.75], ["_a", "_m", "_b"])
     s = long.groupBy("feature").agg(F.stddev_pop("value").alias("_s"), F.count("value").alias("_n"))
@@ -198,6 +202,8 @@ def manual_review(scores: DataFrame, k: int, key: str = "observation_id") -> Dat
     def take(df: DataFrame, name: str, *order: Column) -> DataFrame:
         return df.orderBy(*order, F.col(key)).limit(k).select(F.lit(name).alias("list"), key, "human_entry_similarity", "human_decision")
 
+    # the lists read the scores three times, so only what they order is kept
+    scores = written(scores.select(key, "human_entry_similarity", "human_decision"), "reviewed")
     a = take(scores.where(d == "REJECT"), "high_similarity_reject", s.desc())
     b = take(scores.where(d == "ENTRY"), "low_similarity_entry", s.asc())
     c = take(scores, "most_uncertain", F.abs(s - 0.5).asc())

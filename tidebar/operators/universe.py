@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
 from ..functions.scalar import digest_id, utc8_text
 from .chunks import CHUNK, KEYS, over_chunks, rows
 from .cleaning import with_candle_id
+from .rolling import Spec, rolled
 
 # Vocabularies of the observation tables.
 ACTIONS = ("OPEN_LONG", "OPEN_SHORT", "CLOSE_LONG", "CLOSE_SHORT", "HOLD", "NO_ACTION")
@@ -123,24 +124,41 @@ def entry_universe(
 ) -> DataFrame:
     """Review candidates: a core setup with a long lower shadow, or a bullish bar after a core setup."""
 
+    v = F.col("volume")
+
     def build(d: DataFrame, w: WindowSpec) -> DataFrame:
         prev, start = F.lag("close").over(w), F.lag("close", drop_lookback).over(w)
-        vf = rows(w, -volume_lookback, -1)
-        v, span = F.col("volume"), F.col("high") - F.col("low")
+        span = F.col("high") - F.col("low")
         usable = (F.col("bar_index") > max(1, drop_lookback)) & (F.col("bar_index") >= 2) & (span > 0) & (prev > 0) & (start > 0)
         fell = prev / F.when(start > 0, start) - 1.0 <= -abs(min_drop)
         wide = span / F.when(prev > 0, prev) >= min_range
-        busy = (_ratio_or_zero(v, vf) >= volume_ratio) | (_z_or_zero(v, vf) >= volume_z)
         shadow = F.greatest(F.least("open", "close") - F.col("low"), F.lit(0.0)) / F.when(span > 0, span) >= lower_shadow
         bull = (span > 0) & (F.col("close") > F.col("open")) & (
             (F.col("close") - F.col("open")) / F.when(span > 0, span) >= confirm_body
         )
-        d = d.withColumns({"_core": _yes(usable & fell & wide & busy), "_shadow": _yes(shadow), "_bull": _yes(bull)})
-        return d.withColumns(
-            {"_prev_core": F.coalesce(F.lag("_core").over(w), F.lit(False)), "_prev_time": F.lag("open_time_ms").over(w)}
+        d = d.withColumns({"_fit": _yes(usable & fell & wide), "_shadow": _yes(shadow), "_bull": _yes(bull)})
+        d = d.withColumns(
+            {"_prev_fit": _yes(F.lag("_fit").over(w)), "_prev_volume": F.lag("volume").over(w), "_prev_time": F.lag("open_time_ms").over(w)}
         )
-
-    d = over_chunks(bars, build, back=max(drop_lookback, volume_lookback) + 2, size=size)
+        odd = F.when(F.isnan(v) | (F.abs(v) == float("inf")), 1)
+        specs: dict[str, Spec] = {}
+        for at, shift in (("", 0), ("_prev", 1)):
+            frame = (-volume_lookback - shift, -1 - shift)
+            specs |= {f"_m{at}": ("mean", v, *frame), f"_s{at}": ("std", v, *frame), f"_odd{at}": ("max", odd, *frame)}
+        d = d.select(*KEYS, "_chunk", "bar_index", "open_time_ms", "volume", "_prev_volume", "_prev_time", "_fit", "_shadow", "_bull", "_prev_fit")
+        # volume decides only on bars that have the rest; no others leave the task
+        return rolled(d, specs, only=(F.col("_fit") & F.col("_shadow")) | (F.col("_bull") & F.col("_prev_fit")))
+
+    def busy(volume: str, at: str) -> Column:
+        x, m = F.col(volume), F.col(f"_m{at}")
+        # frames skip what isn't a number, a window's deviation becomes one
+        s = F.when(F.col(f"_odd{at}") == 1, float("nan")).otherwise(F.col(f"_s{at}"))
+        share, z = F.when(m > 0, x / m).otherwise(0.0), F.when(s > 0, (x - m) / s).otherwise(0.0)
+        return (share >= volume_ratio) | (z >= volume_z)
+
+    d = over_chunks(bars, build, back=max(drop_lookback, volume_lookback) + 2, size=size).withColumns(
+        {"_core": F.col("_fit") & _yes(busy("volume", "")), "_prev_core": F.col("_prev_fit") & _yes(busy("_prev_volume", "_prev"))}
+    )
     now, later = F.col("_core") & F.col("_shadow"), F.col("_bull") & F.col("_prev_core")
     d = d.where(now | later).withColumn("_now", now)
     timing = F.when(F.col("_now"), "CURRENT_BAR_CLOSE").otherwise("NEXT_BAR_CONFIRMATION")
