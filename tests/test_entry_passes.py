@@ -67,3 +67,25 @@ def test_review_lists_work_out_scores_once(spark):
         + first("low_similarity_entry", [r for r in rows if r[2] == "ENTRY"], lambda r: r[1])
         + first("most_uncertain", rows, lambda r: abs(r[1] - 0.5))
     )
+
+
+def test_diverse_halves_come_from_one_row_a_feature(spark, monkeypatch):
+    """Buckets equal those of ranks joined back, with nulls, ties and a constant feature; ranked rows aren't joined by id."""
+    rows = [(f"o{i:03}", i, (i * 29 % 60) / 60, None if i % 11 == 3 else float(i * 17 % 13), 4.0, float(i % 3)) for i in range(60)]
+    scores = spark.createDataFrame(rows, "observation_id string, obs_no long, human_entry_similarity double, a double, b double, c double")
+    ranked, joined = similarity.rank_bins, []
+
+    def watched(df, *rest):
+        joined.append("observation_id" in df.columns)
+        return ranked(df, *rest)
+
+    monkeypatch.setattr(similarity, "rank_bins", watched)
+    got = similarity.diverse(scores, ["a", "b", "c"], 60, "obs_no").collect()
+    half = []
+    for at in (3, 4, 5):
+        known = sorted((r[at], r[1]) for r in rows if r[at] is not None)
+        kinds = min(2, len({v for v, _ in known}))
+        half.append({tie: max(0, math.ceil(k * kinds / (len(known) - 1)) - 1) if kinds > 1 else 0 for k, (_, tie) in enumerate(known)})
+    want = {r[0]: "|".join(f"{n}:{h.get(r[1], '<NA>')}" for n, h in zip("abc", half, strict=True)) for r in rows}
+    assert {r.observation_id: r.diversity_bucket for r in got} == want and len(got) == len(rows)
+    assert joined == [False] * 3

@@ -37,11 +37,11 @@ def similarity(features: DataFrame, proto: DataFrame, names: Sequence[str], top:
         F.abs(F.coalesce(finite(n), F.get("center", F.lit(i))) - F.get("center", F.lit(i))) / F.get("scale", F.lit(i)) for i, n in enumerate(names)
     ]
     rms = F.sqrt(sum((d * d for d in dist), F.lit(0.0)) / len(names))
-    ranked = F.array_sort(F.array(*[F.struct(d.alias("d"), F.lit(n).alias("n")) for d, n in zip(dist, names, strict=True)]))
+    ranked = F.sort_array(F.array(*[F.struct(d.alias("d"), F.lit(n).alias("n")) for d, n in zip(dist, names, strict=True)]))
     return df.withColumns(
         {
             "human_entry_similarity": 1.0 / (1.0 + rms),
-            "explanation_features": F.array_join(F.transform(F.slice(ranked, 1, top), lambda x: x["n"]), ","),
+            "explanation_features": F.array_join(F.slice(ranked, 1, top)["n"], ","),
             "missing_feature_count": sum((F.when(finite(n).isNull(), 1).otherwise(0) for n in names), F.lit(0)),
         }
     ).drop("center", "scale")
@@ -109,13 +109,18 @@ def diverse(scores: DataFrame, names: Sequence[str], k: int, tie: str, key: str
     At most eight rows are picked from buckets, so the distance to them is computed
     against one short array.
     """
-    scores = cut(scores)
-    bucketed = scores
-    for i, n in enumerate(names[:3]):
-        half = rank_bins(scores.select(key, tie, finite(n).alias("_x")), [], "_x", tie, 2).select(key, F.col("bin_id").alias(f"_b{i}"))
-        bucketed = bucketed.join(half, key, "left")
-    parts = [F.concat(F.lit(f"{n}:"), F.coalesce(F.col(f"_b{i}").cast("string"), F.lit("<NA>"))) for i, n in enumerate(names[:3])]
-    df = cut(bucketed.withColumn("diversity_bucket", F.concat_ws("|", *parts)).drop("_b0", "_b1", "_b2"))
+    scores = written(scores, "scores")
+    values = {f"_x{i}": finite(n) for i, n in enumerate(names[:3])}
+    ends = None
+    for x, value in values.items():
+        # a half ends at one row, and every row's half follows from that row's value and tie
+        half = rank_bins(scores.select(tie, value.alias("_x")), [], "_x", tie, 2)
+        end = half.where("bin_id = 0").agg(F.max(F.struct("_x", tie)).alias(f"{x}_end"))
+        ends = end if ends is None else ends.crossJoin(end)
+    ends = cut(ends)
+    halves = {x: F.when(value.isNotNull(), F.when(F.struct(value.alias("_x"), F.col(tie)) <= F.col(f"{x}_end"), "0").otherwise("1")) for x, value in values.items()}
+    parts = [F.concat(F.lit(f"{n}:"), F.coalesce(h, F.lit("<NA>"))) for n, h in zip(names[:3], halves.values(), strict=True)]
+    df = scores.crossJoin(F.broadcast(ends)).withColumn("diversity_bucket", F.concat_ws("|", *parts)).select(*scores.columns, "diversity_bucket")
     s = F.desc_nulls_last("human_entry_similarity")
     best = df.withColumn("_r", F.row_number().over(Window.partitionBy("diversity_bucket").orderBy(s, key))).where("_r = 1").drop("_r")
     picked = cut(best.orderBy(s, key).limit(k))
