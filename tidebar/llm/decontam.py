@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidebar.llm.words import block_words, grams
+from tidebar.llm.words import SMALL_BLOCK, block_words, grams, pieces
 
 MIN_MATCH = 5
 COVERAGE = 0.5
@@ -117,7 +117,7 @@ class Items:
 
     def matches(self, texts: list) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, item, covered words, tiles, item words) of each pair that reaches the coverage."""
-        for first, bounds, h in block_words(texts):
+        for first, bounds, h in block_words(texts, budget=SMALL_BLOCK):
             for own in self.groups:
                 g = grams(h, own.n)
                 at = np.flatnonzero(own.seen[(g >> np.uint64(64 - _BITS)).astype(np.int64)])
@@ -226,8 +226,9 @@ def drop_overlaps(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(len(batch), bool)
-                for row, *_ in shared.value.matches(batch.column(place).to_pylist()):
-                    keep[row] = False
+                for first, texts in pieces(batch.column(place)):
+                    for row, *_ in shared.value.matches(texts):
+                        keep[first + row] = False
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -9,9 +9,14 @@ the two sets differ in at most ``k`` elements. The domain of shingle hashes is c
 three, and each pair of the three is a signature: with one difference, some pair is equal.
 No linked pair is lost; every candidate is verified on the sets themselves.
 
+Most sets link with nothing, and a few of their elements show it: of the first elements of
+a set, by hash, a number that follows from its size must be among the first elements of other sets
+(prefix filter). Only sets of which that holds get signatures.
+
 Sets with equal elements are one node (their rows are copies). Signature groups are
 compared star-wise with their head, and then only across components, so large groups of
-alike texts are not expanded into all pairs. Signatures that a sample shows to be very
+alike texts are not expanded into all pairs. Parity bits of the sets, which travel with the
+members of a group, bound their difference from below; only pairs within the bound are verified. Signatures that a sample shows to be very
 frequent are salted; the sample only steers the work.
 
 Edge cases: a null text counts as empty; a text without words has the empty set, links
@@ -31,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidebar.llm.common import saved
 from tidebar.llm.graph import components
-from tidebar.llm.words import block_words, mix, text_grams
+from tidebar.llm.words import SMALL_BLOCK, block_words, mix, pieces, text_grams
 
 WORDS = 3
 MIN_NUM, MIN_DEN = 90, 100
@@ -41,6 +46,10 @@ BROADCAST_ROWS = 500_000
 # a signature is salted from this many rows of the sample on, for the most frequent ones
 SAMPLE, HEAVY_ROWS, HEAVY_TOP, SALTS = 64, 64, 10_000, 64
 STAR_ROUNDS = 4
+# rows of a group that are compared in one run
+RUN = 4_096
+# a prefix is longer than needed by one element in so many, and a task's output holds about so many at once
+EXTRA, HELD = 20, 250_000
 
 
 @dataclass(frozen=True)
@@ -101,47 +110,150 @@ def _set_id(u: np.ndarray) -> int:
     return int(mix(np.array([int(np.bitwise_xor.reduce(u)) ^ int(mix(u).sum(dtype=np.uint64))], np.uint64)).view(np.int64)[0])
 
 
-def _sets(texts: list, words: int) -> Iterator[np.ndarray]:
-    for _, bounds, h in block_words(texts):
-        g, gb = text_grams(h, bounds, words)
-        for i in range(len(gb) - 1):
-            yield np.unique(g[gb[i] : gb[i + 1]])
+def _sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
+    for _, some in pieces(texts):
+        for _, bounds, h in block_words(some, budget=SMALL_BLOCK):
+            g, gb = text_grams(h, bounds, words)
+            for i in range(len(gb) - 1):
+                yield np.unique(g[gb[i] : gb[i + 1]])
 
 
-_SIGNED = pa.schema([("key", pa.int64()), ("tkey", pa.int64()), ("sid", pa.int64()), ("n", pa.int64()), ("sigs", pa.list_(pa.int64()))])
+def least_shared(size: int) -> int:
+    """Shared elements that a prefix is made to hold beyond the one it needs, by the size of a set."""
+    return size // EXTRA + 1
 
 
-def _signed(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
+def prefix(size: int, like: Likeness = DEFAULT) -> tuple[int, int]:
+    """How many first elements of a set say whether it can link, and how many of them other sets must have among theirs.
+
+    Of a set of n, at most n - ceil(n * num / den) elements are missing in a linked one, so the first l
+    elements that both have, in one order of all elements, lie among the first n - ceil(n * num / den) + l of either.
+    A linked set holds at least ceil(n * num / den) elements; its l may be that much less.
+    """
+    least = -(-size * like.num // like.den)
+    smaller = -(-least * like.num // like.den)
+    return size - least + min(least, least_shared(size)), min(smaller, least_shared(least))
+
+
+def _batch(parts: list[np.ndarray], *names: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(parts, axis=1)], names=list(names))
+
+
+def _named(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sids, ns = [], []
+        for u in _sets(batch.column(2), like.words):
+            sids.append(_set_id(u) if len(u) else None)
+            ns.append(len(u))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sids, pa.int64()), pa.array(ns, pa.int64())], names=["key", "tkey", "sid", "n"])
+
+
+def _firsts(batches: Iterator[pa.RecordBatch], like: Likeness, heavy: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(sig, sid, 0) of the first elements of each set, by their hashes, and (sid, sid, number) of those that are ``heavy``.
+
+    Copies within a task are left out.
+    """
     seen: set[int] = set()
-    edges = band_edges(1 << 20, like)
+    out: list[np.ndarray] = []
+    held = 0
     for batch in batches:
-        keys, tkeys, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
-        sids, ns, sigs, first, held = [], [], [], 0, 0
-        for i, u in enumerate(_sets(texts, like.words)):
-            if len(u) and u.size > edges[-3]:
-                edges = band_edges(u.size * 2, like)
+        for u in _sets(batch.column(0), like.words):
             sid = _set_id(u) if len(u) else None
-            new = sid is not None and sid not in seen
-            if new:
-                if len(seen) > 1_000_000:  # forgets, and then repeats signatures of some copies
-                    seen.clear()
-                seen.add(sid)
-            sids.append(sid)
-            ns.append(len(u))
-            sigs.append(signatures(u, edges, like).view(np.int64) if new else np.zeros(0, np.int64))
-            held += len(sigs[-1])
-            if held > 1_000_000 or i == len(texts) - 1:
-                lengths = np.cumsum([0, *map(len, sigs)], dtype=np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(sigs)))
-                span = slice(first, i + 1)
-                yield pa.RecordBatch.from_arrays([keys[span], tkeys[span], pa.array(sids, pa.int64()), pa.array(ns, pa.int64()), lists], schema=_SIGNED)
-                sids, ns, sigs, first, held = [], [], [], i + 1, 0
+            if sid is None or sid in seen:
+                continue
+            if len(seen) > 1_000_000:  # forgets, and then repeats the elements of some copies
+                seen.clear()
+            seen.add(sid)
+            sigs = u[: prefix(len(u), like)[0]].view(np.int64)
+            often = np.isin(sigs, heavy)
+            if often.any():
+                sigs = sigs[~often]
+                out.append(np.array([[sid], [sid], [often.sum()]], np.int64))
+            out.append(np.stack([sigs, np.full(len(sigs), sid), np.zeros(len(sigs), np.int64)]))
+            held += len(sigs)
+            if held > HELD:
+                yield _batch(out, "sig", "sid", "often")
+                out, held = [], 0
+    if out:
+        yield _batch(out, "sig", "sid", "often")
+
+
+def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by (sig, sid): each sid of the runs with several ones, once a run; heavy ones go through with their number."""
+    last = None  # the sig and sid before, and whether that sid was given
+    for batch in batches:
+        sig, sid, often = (batch.column(i).to_numpy() for i in range(3))
+        if (often > 0).any():
+            yield pa.RecordBatch.from_arrays([pa.array(sid[often > 0]), pa.array(often[often > 0])], names=["sid", "shared"])
+            sig, sid = sig[often == 0], sid[often == 0]
+        if not len(sig):
+            continue
+        if last is not None:
+            sig, sid = np.concatenate([[last[0]], sig]), np.concatenate([[last[1]], sid])
+        first = np.ones(len(sig), bool)
+        first[1:] = (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1])
+        sig, sid = sig[first], sid[first]
+        shared = np.zeros(len(sig), bool)
+        shared[1:] = sig[1:] == sig[:-1]
+        shared[:-1] |= shared[1:]
+        given = last is not None and last[2]
+        last = (sig[-1], sid[-1], bool(shared[-1]) or (given and len(sig) == 1))
+        if given:
+            shared[0] = False
+        yield pa.RecordBatch.from_arrays([pa.array(sid[shared]), pa.array(np.ones(shared.sum(), np.int64))], names=["sid", "shared"])
+
+
+def parity(elements: np.ndarray) -> bytes:
+    """The parity of a set's elements in each of at least two places an element, a power of two.
+
+    Two sets differ in at least as many elements as their parities have different bits; with
+    half the places the second half of the bytes is folded onto the first by exclusive or.
+    """
+    places = max(64, 1 << (2 * len(elements) - 1).bit_length())
+    odd = np.bincount((elements & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(rows: np.ndarray, width: int) -> np.ndarray:
+    """Rows of parity bytes as words of eight bytes, folded to ``width`` bytes."""
+    return np.ascontiguousarray(np.bitwise_xor.reduce(rows.reshape(len(rows), -1, width), axis=1)).view(np.uint64)
+
+
+def _may_link(different: np.ndarray, sizes: np.ndarray, like: Likeness) -> np.ndarray:
+    return different * (like.den + like.num) <= sizes * (like.den - like.num)
 
 
 def _grams(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i, u in enumerate(_sets(batch.column(1).to_pylist(), words)):
-            yield pa.RecordBatch.from_arrays([batch.column(0)[i : i + 1], pa.array([u.view(np.int64)], pa.list_(pa.int64()))], names=["sid", "grams"])
+        sids, sets, first, held = batch.column(0), [], 0, 0
+        for i, u in enumerate(_sets(batch.column(1), words)):
+            sets.append(u)
+            held += len(u)
+            if held > HELD or i == len(sids) - 1:
+                sizes = np.array([len(x) for x in sets], np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes], dtype=np.int32)), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([sids[first : i + 1], pa.array(sizes), pa.array(map(parity, sets), pa.binary()), lists], names=["sid", "n", "bits", "grams"])
+                sets, first, held = [], i + 1, 0
+
+
+def _signed(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
+    edges = band_edges(1 << 20, like)
+    out: list[np.ndarray] = []
+    held = 0
+    for batch in batches:
+        lists = batch.column(1)
+        bounds, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+        for sid, a, b in zip(batch.column(0).to_pylist(), bounds[:-1], bounds[1:], strict=True):
+            if b - a > edges[-3]:
+                edges = band_edges(2 * int(b - a), like)
+            sigs = signatures(flat[a:b], edges, like).view(np.int64)
+            out.append(np.stack([sigs, np.full(len(sigs), sid)]))
+            held += len(sigs)
+            if held > HELD:
+                yield _batch(out, "sig", "sid")
+                out, held = [], 0
+    if out:
+        yield _batch(out, "sig", "sid")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,57 +280,153 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(salt[keep]), pa.array(heads[keep]), pa.array(sid[keep])], names=["sig", "salt", "head", "sid"])
 
 
-def _groups(base: DataFrame) -> DataFrame:
-    """(sig, sid) of the signatures that several sets share; the same members are kept under one signature only."""
-    rows = base.where(F.size("sigs") > 0).select("sid", F.explode("sigs").alias("sig"))
-    sample = rows.where(F.pmod("sid", F.lit(SAMPLE)) == 0).groupBy("sig").count().where(F.col("count") >= HEAVY_ROWS)
-    heavy = sample.orderBy(F.desc("count"), "sig").limit(HEAVY_TOP).select("sig", F.lit(True).alias("heavy"))
+def _stars(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by (sig, salt): each one with the first of its run, of another component, where sizes and parities let them link."""
+    head = None  # sig, salt, sid, comp, n and parity of the run's first row
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sig, salt, sid, comp, n = (batch.column(i).to_numpy() for i in range(5))
+        bits = batch.column(5).to_pylist()
+        if head is not None:
+            sig, salt, sid, comp, n = (np.concatenate([[h], x]) for h, x in zip(head, (sig, salt, sid, comp, n)))
+            bits = [head[5], *bits]
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (salt[1:] != salt[:-1])
+        at = np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))
+        keep = (comp != comp[at]) & (np.minimum(n, n[at]) * like.den >= np.maximum(n, n[at]) * like.num)
+        wide = np.array([len(b) for b in bits])
+        found = []
+        for own, other in {*zip(wide[keep].tolist(), wide[at[keep]].tolist())}:
+            rows, width = np.flatnonzero(keep & (wide == own) & (wide[at] == other)), min(own, other)
+            for part in np.array_split(rows, -(-len(rows) * max(own, other) // HELD)):
+                x, y = (np.frombuffer(b"".join(bits[i] for i in p), np.uint8).reshape(len(p), -1) for p in (part, at[part]))
+                different = np.bitwise_count(_folded(x, width) ^ _folded(y, width)).sum(axis=1, dtype=np.int64)
+                found.append(part[_may_link(different, n[part] + n[at[part]], like)])
+        if found:
+            rows = np.concatenate(found)
+            a, b = sid[rows], sid[at[rows]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        i = int(at[-1])
+        head = (sig[i], salt[i], sid[i], comp[i], n[i], bits[i])
+
+
+def _across(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by (sig, lo, hi): all pairs of different components that may link by size and parity, of the blocks lo and hi of a group."""
+
+    def pairs(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = pa.Table.from_batches(parts).sort_by("comp")
+        lo, hi, block, sid, comp, n = (run.column(c).to_numpy() for c in ("lo", "hi", "block", "sid", "comp", "n"))
+        bits = run.column("bits").to_pylist()
+        width = min(map(len, bits))
+        words = np.concatenate([_folded(np.frombuffer(b, np.uint8)[None], width) for b in bits])
+        after = np.searchsorted(comp, comp, "right")
+        for i in range(len(sid)):
+            j = np.arange(after[i], len(sid))
+            j = j[np.minimum(n[j], n[i]) * like.den >= np.maximum(n[j], n[i]) * like.num]
+            if lo[0] != hi[0]:
+                j = j[block[j] != block[i]]
+            if len(j):
+                j = j[_may_link(np.bitwise_count(words[j] ^ words[i]).sum(axis=1, dtype=np.int64), n[j] + n[i], like)]
+            if len(j):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sid[j], sid[i])), pa.array(np.maximum(sid[j], sid[i]))], names=["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(i).to_numpy() for i in range(3)])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if held and (a or any(held[0].column(i)[0].as_py() != keys[i, 0] for i in range(3))):
+                yield from pairs(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield from pairs(held)
+
+
+def _heavy(sample: DataFrame) -> DataFrame:
+    """The most frequent sigs of a sample, at most ``HEAVY_TOP`` rows."""
+    often = sample.groupBy("sig").count().where(F.col("count") >= HEAVY_ROWS)
+    return often.orderBy(F.desc("count"), "sig").limit(HEAVY_TOP).select("sig", F.lit(True).alias("heavy"))
+
+
+def _alive(plain: DataFrame, own: DataFrame, like: Likeness) -> DataFrame:
+    """The sets of ``own`` of whose first elements enough are other sets' first elements too; no linked set is lost.
+
+    An element that a sample shows to be very frequent is shared, so its rows aren't shuffled.
+    """
+    def first(df: DataFrame, heavy: np.ndarray) -> DataFrame:
+        return df.select("text").mapInArrow(lambda batches: _firsts(batches, like, heavy), "sig long, sid long, often long")
+
+    sample = first(plain.where(F.pmod("tkey", F.lit(SAMPLE)) == 0), np.zeros(0, np.int64))
+    heavy = np.array([r.sig for r in _heavy(sample).collect()], np.int64)
+    shared = first(plain, heavy).repartition("sig").sortWithinPartitions("sig", "sid").mapInArrow(_several, "sid long, shared long")
+    shared = shared.groupBy("sid").agg(F.sum("shared").alias("shared"))
+    ceil = lambda n: F.floor((n * like.num + (like.den - 1)) / like.den)
+    least = ceil(F.col("n"))
+    need = F.least(ceil(least), F.floor(least / EXTRA) + 1)
+    return saved(own.join(shared, "sid").where(F.col("shared") >= need).select("sid", "row.k", F.col("row.tkey").alias("tkey")))
+
+
+def _groups(sets: DataFrame, like: Likeness) -> DataFrame:
+    """(sig, sid, size of the group) of the signatures that several sets share; the same members are kept under one signature only."""
+    signed = lambda df: df.select("sid", "grams").mapInArrow(lambda batches: _signed(batches, like), "sig long, sid long")
+    heavy = F.broadcast(_heavy(signed(sets.where(F.pmod("sid", F.lit(SAMPLE)) == 0))))  # at most HEAVY_TOP rows
     salt = F.when(F.col("heavy"), F.pmod(F.xxhash64("sid"), F.lit(SALTS))).otherwise(-1).cast("int")
-    placed = rows.join(F.broadcast(heavy), "sig", "left").select("sig", salt.alias("salt"), "sid")  # at most HEAVY_TOP rows
+    placed = signed(sets).join(heavy, "sig", "left").select("sig", salt.alias("salt"), "sid")
     runs = saved(placed.repartition("sig", "salt").sortWithinPartitions("sig", "salt", "sid").mapInArrow(_runs, "sig long, salt int, head long, sid long"))
     tops = runs.where("salt >= 0").select("sig", F.col("head").alias("sid"))
     members = runs.select("sig", "sid").unionByName(runs.where("salt < 0").select("sig", F.col("head").alias("sid"))).unionByName(tops).distinct()
     shape = members.groupBy("sig").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("sid")).alias("print"), F.bit_xor(F.xxhash64(F.lit(1), "sid")).alias("print2"))
-    one = shape.where("size > 1").groupBy("size", "print", "print2").agg(F.min("sig").alias("sig")).select("sig")
+    one = shape.where("size > 1").groupBy("size", "print", "print2").agg(F.min("sig").alias("sig")).select("sig", "size")
     return saved(members.join(one, "sig"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
-    """The pairs (a, b) that link, by exact set sizes."""
-    size = sets.select("sid", F.size("grams").alias("n"))
-    fit = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").where(F.least("na", "nb") * like.den >= F.greatest("na", "nb") * like.num)
-    both = fit.join(sets.toDF("b", "gb"), "b").join(sets.toDF("a", "ga"), "a")
-    shared = both.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("i"))
+    """The pairs (a, b) that link, by their elements; only sets of these pairs are shuffled."""
+    met = saved(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct())
+    grams = sets.select("sid", "grams").join(F.broadcast(met) if met.count() <= BROADCAST_ROWS else met, "sid", "left_semi")
+    both = pairs.join(grams.toDF("b", "gb"), "b").join(grams.toDF("a", "ga"), "a")
+    shared = both.select("a", "b", F.size("ga").alias("na"), F.size("gb").alias("nb"), F.size(F.array_intersect("ga", "gb")).alias("i"))
     return shared.where(F.col("i") * like.den >= (F.col("na") + F.col("nb") - F.col("i")) * like.num).select("a", "b")
 
 
 def _labelled(groups: DataFrame, links: DataFrame) -> DataFrame:
     """The groups that hold several components, with each member's component."""
     comp = components(links)
-    out = groups.join(comp, groups.sid == comp.node, "left").select("sig", "sid", F.coalesce("label", "sid").alias("comp"))
+    out = groups.join(comp, groups.sid == comp.node, "left").select("sig", "sid", "size", F.coalesce("label", "sid").alias("comp"))
     mixed = out.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("sig")
     return saved(out.join(mixed, "sig"))
 
 
 def _linked(groups: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
     """Links enough to span each component of the similarity graph."""
+    bits = sets.select("sid", "n", "bits")
+    parts = F.ceil(F.col("size") / RUN)
     links = tried = None
-    state = groups.withColumn("comp", F.col("sid"))
+    state, total = groups.withColumn("comp", F.col("sid")), 0
     for r in range(STAR_ROUNDS):
-        # each member meets one head of its group, another one in each round
-        heads = state.groupBy("sig").agg(F.min(F.struct(F.xxhash64("comp", F.lit(r)).alias("o"), F.xxhash64("sid", F.lit(r)).alias("p"), "sid", "comp")).alias("h"))
-        met = state.join(heads, "sig").where("comp != h.comp").select(F.least("sid", "h.sid").alias("a"), F.greatest("sid", "h.sid").alias("b")).distinct()
+        # each member meets one head of its group, or of its part of a large one; another in each round
+        salt = F.pmod(F.xxhash64("sid", F.lit(r)), parts)
+        order = F.xxhash64("comp", F.lit(r)), F.xxhash64("sid", F.lit(r))
+        rows = state.join(bits, "sid").withColumn("salt", salt).repartition("sig", "salt").sortWithinPartitions("sig", "salt", *order)
+        met = rows.select("sig", "salt", "sid", "comp", "n", "bits").mapInArrow(lambda batches: _stars(batches, like), "a long, b long").distinct()
         met = saved(met if tried is None else met.join(tried, ["a", "b"], "left_anti"))
         found = saved(_verified(met, sets, like))
         tried = met if tried is None else tried.unionByName(met)
         links = found if links is None else links.unionByName(found)
         state = _labelled(groups, links)
-        if r and not found.limit(1).count():
+        n = found.count()
+        total += n
+        if r and 10 * n <= total:
             break
-    # the pairs that are left: different components of one group, not met yet
-    x = state.select("sig", F.col("sid").alias("a"), F.col("comp").alias("ca"))
-    y = state.select("sig", F.col("sid").alias("b"), F.col("comp").alias("cb"))
-    rest = x.join(y, "sig").where("a < b and ca != cb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    # the pairs that are left: different components of one group, not met yet; large groups go by pairs of blocks
+    block = state.join(bits, "sid").withColumn("block", F.pmod(F.xxhash64("sid"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    block = block.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    cells = block.select("sig", "lo", "hi", "block", "sid", "comp", "n", "bits").repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
+    rest = cells.mapInArrow(lambda batches: _across(batches, like), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
     return links.unionByName(_verified(saved(rest), sets, like))
 
 
@@ -226,16 +434,19 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: its set's size and the least id reachable by links."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     plain = docs.select(F.col(id_col).cast("long").alias("key"), F.xxhash64(text).alias("tkey"), text.alias("text"))
-    base = saved(plain.mapInArrow(lambda batches: _signed(batches, like), "key long, tkey long, sid long, n long, sigs array<long>"))
-    groups = _groups(base)
+    base = saved(plain.mapInArrow(lambda batches: _named(batches, like), "key long, tkey long, sid long, n long"))
     # the row that stands for a set: its least id, then its least text hash
-    own = base.where("sid is not null").groupBy("sid").agg(F.min("key").alias("least"), F.count("*").alias("copies"), F.min(F.struct(F.coalesce("key", F.lit(-(1 << 63)).cast("long")).alias("k"), "tkey")).alias("row"))
+    row = F.struct(F.coalesce("key", F.lit(-(1 << 63)).cast("long")).alias("k"), "tkey")
+    own = base.where("sid is not null").groupBy("sid").agg(F.first("n").alias("n"), F.min("key").alias("least"), F.count("*").alias("copies"), F.min(row).alias("row"))
     own = saved(own)
-    wanted = saved(own.join(groups.select("sid").distinct(), "sid").select("sid", "row.k", F.col("row.tkey").alias("tkey")))
+    wanted = _alive(plain, own, like)
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     picked = plain.withColumn("k", F.coalesce("key", F.lit(-(1 << 63)).cast("long"))).join(wanted, ["k", "tkey"]).select("sid", "text")
-    sets = saved(picked.mapInArrow(lambda batches: _grams(batches, like.words), "sid long, grams array<long>").dropDuplicates(["sid"]))
+    sets = saved(picked.mapInArrow(lambda batches: _grams(batches, like.words), "sid long, n long, bits binary, grams array<long>"))
+    if sets.groupBy("sid").count().where("count > 1").limit(1).count():  # a row given twice
+        sets = saved(sets.dropDuplicates(["sid"]))
+    groups = _groups(sets, like)
     labels = components(_linked(groups, sets, like))
     named = labels.join(own, labels.node == own.sid).select("sid", "label", "least")
     roots = named.groupBy("label").agg(F.min("least").alias("root"))

@@ -22,6 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidebar.llm.common import give_back
+from tidebar.llm.words import pieces
+
 BUCKETS = 1 << 18
 GRAMS = (3, 4, 5)
 DIM = 8
@@ -39,7 +42,7 @@ USUAL_GRAMS = 50
 # code points handled at once; longer texts go in steps
 STEP = 1 << 19
 # bag entries looked at in one go
-LOOK = 1 << 20
+LOOK = 1 << 18
 _MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
 
 
@@ -243,7 +246,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     first = F.row_number().over(Window.partitionBy("label").orderBy("o", "k")) == 1
     picked = picked.select("k", "label", "text", first.alias("first"), (so_far <= room).alias("fits")).where("first or fits").repartition("k")
     rows = picked.select("label", "text").mapInArrow(bags, "label int, buckets binary, counts binary").toLocalIterator()  # bounded by the sample
-    return fit(sorted((int(r[0]), bytes(r[1]), bytes(r[2])) for r in rows))
+    model = fit(sorted((int(r[0]), bytes(r[1]), bytes(r[2])) for r in rows))
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -275,7 +280,7 @@ def drop_flagged(docs: DataFrame, model: Model, text_col: str = "text", threshol
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         for batch in batches:
-            keep = [own.of_block(at, codes) < threshold for _, at, codes in _blocks(batch.column(place).to_pylist())]
+            keep = [own.of_block(at, codes) < threshold for _, texts in pieces(batch.column(place)) for _, at, codes in _blocks(texts)]
             yield batch.filter(pa.array(np.concatenate(keep))) if keep else batch
 
     return docs.mapInArrow(run, docs.schema)

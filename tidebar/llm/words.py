@@ -11,8 +11,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 BLOCK_BYTES = 4 << 20
+# for tasks that hold other things beside a block, whose tables take some thirty times its bytes
+SMALL_BLOCK, PIECE_ROWS = 1 << 20, 1_024
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15  # odd, so that powers can be undone
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -106,6 +109,12 @@ def blocks(texts: list, budget: int = BLOCK_BYTES) -> Iterator[tuple[int, int, b
         yield first, len(texts), *_joined(parts)
 
 
+def pieces(column: pa.Array, rows: int = PIECE_ROWS) -> Iterator[tuple[int, list]]:
+    """(first row, texts) of a column, some rows at a time: a task needs no second copy of a whole batch."""
+    for first in range(0, len(column), rows):
+        yield first, column.slice(first, rows).to_pylist()
+
+
 def _joined(parts: list[bytes]) -> tuple[bytes, np.ndarray]:
     at = np.zeros(len(parts) + 1, np.int64)
     np.cumsum([len(p) + 1 for p in parts], out=at[1:])
