@@ -70,3 +70,21 @@ def test_rows_are_not_shuffled_for_each_replicate(spark):
     before = shuffled()
     factors.block_bootstrap_ic(df, "factor", "value", "label", "no", 10, 200).collect()
     assert shuffled() - before < 10 * n
+
+
+def test_a_task_works_on_some_replicates_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(factors, "CELLS", 2_000, raising=False)
+    whole = factors._weights
+
+    def weights(at, starts, block, n):
+        assert len(starts) == 1 or len(starts) * len(at) <= 2_000
+        return whole(at, starts, block, n)
+
+    monkeypatch.setattr(factors, "_weights", weights)
+    rows = table(300)
+    got = factors.block_bootstrap_ic(spark.createDataFrame(rows, SCHEMA), "factor", "value", "label", "no", 10, DRAWS, size=64)
+    got = {r[0]: tuple(r)[1:] for r in got.select("factor", "ic_bootstrap_ci_low", "ic_bootstrap_ci_high", "bootstrap_sample_count", "block_size").collect()}
+    want = brute(rows, 10)
+    assert got.keys() == want.keys()
+    for f in want:
+        assert np.allclose(got[f], want[f], atol=1e-12), f

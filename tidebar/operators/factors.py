@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -54,6 +54,8 @@ def factor_ic(long: DataFrame, factor: str, x: str, y: str, block: str, min_bloc
 # rows of one value that are weighed at once, and rows that a bin holds about, where there are enough
 PART = 16_384
 BIN_ROWS = 4_096
+# rows times replicates that a task works on at once
+CELLS = 400_000
 
 
 def _side_bins(rows: DataFrame, factor: str, v: str, name: str) -> DataFrame:
@@ -91,6 +93,10 @@ def _twice_ranks(values: np.ndarray, w: np.ndarray) -> np.ndarray:
     return out
 
 
+def _whole(most: int) -> type:
+    return np.int32 if most < 1 << 31 else np.int64
+
+
 def _starts(shape: DataFrame, factor: str, draws: int) -> dict[str, tuple[int, int, np.ndarray]]:
     """Rows, block length and blocks' starts of each factor, a list for each replicate that is as long as the root of the rows."""
     lists = shape.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).select(
@@ -105,7 +111,7 @@ def _starts(shape: DataFrame, factor: str, draws: int) -> dict[str, tuple[int, i
     for at in range(0, got.num_rows, draws):
         own = got.slice(at, draws)
         flat = own["_s"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        out[own["_f"][0].as_py()] = (int(own["_n"][0].as_py()), int(own["_b"][0].as_py()), flat.reshape(draws, -1))
+        out[own["_f"][0].as_py()] = (int(own["_n"][0].as_py()), int(own["_b"][0].as_py()), flat.astype(_whole(flat.max())).reshape(draws, -1))
     return out
 
 
@@ -127,58 +133,72 @@ def block_bootstrap_ic(
     starts = spark.sparkContext.broadcast(_starts(shape, factor, draws))
     kind = rows.schema["_f"].dataType.simpleString()
 
-    def weighed(pdf: pd.DataFrame) -> np.ndarray:
+    def weighed(pdf: pd.DataFrame) -> Iterator[tuple[slice, np.ndarray]]:
+        """Some replicates at a time and the weights of the rows in them."""
         n, b, s = starts.value[pdf["_f"].iat[0]]
-        return _weights(pdf["_pos"].to_numpy(), s, b, n)
+        some = max(1, CELLS // max(1, len(pdf)))
+        for first in range(0, draws, some):
+            yield slice(first, first + some), _weights(pdf["_pos"].to_numpy(), s[first : first + some], b, n)
 
     def part(k: str) -> Column:
         # a bin of one value is cut by position; the others hold a bounded share of the rows
         return F.when(F.col(k) % 2 == 1, F.floor(F.col("_pos") / PART)).otherwise(0).alias("_part")
 
     def bin_sums(k: str) -> dict:
-        """Bins of each factor in order, twice the rows below them and their own rows in each replicate."""
+        """Bins of each factor in order, and twice the rows below each and below all in each replicate."""
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"_f": [pdf["_f"].iat[0]], "_k": [pdf["_k"].iat[0]], "_w": [weighed(pdf).sum(axis=1).tobytes()]})
+            return pd.DataFrame({"_f": [pdf["_f"].iat[0]], "_k": [pdf["_k"].iat[0]], "_w": [np.concatenate([w.sum(axis=1) for _, w in weighed(pdf)]).tobytes()]})
 
         sums: dict = {}
-        for r in rows.select("_f", F.col(k).alias("_k"), "_pos", part(k)).groupBy("_f", "_k", "_part").applyInPandas(run, f"_f {kind}, _k int, _w binary").collect():
+        for r in rows.select("_f", F.col(k).alias("_k"), "_pos", part(k)).groupBy("_f", "_k", "_part").applyInPandas(run, f"_f {kind}, _k int, _w binary").toLocalIterator():
             own = sums.setdefault(r["_f"], {})
             own[r["_k"]] = own.get(r["_k"], 0) + np.frombuffer(r["_w"], np.int64)
         out = {}
         for f, own in sums.items():
             keys = sorted(own)
-            each = np.array([own[i] for i in keys])
-            out[f] = (np.array(keys), 2 * (np.cumsum(each, axis=0) - each), each)
+            below = 2 * np.cumsum([np.zeros(draws, np.int64), *[own[i] for i in keys]], axis=0)
+            out[f] = (np.array(keys), below.astype(_whole(below.max())))
         return out
 
     bins = spark.sparkContext.broadcast({"_kx": bin_sums("_kx"), "_ky": bin_sums("_ky")})
 
     def inner_ranks(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = _twice_ranks(pdf["_y"].to_numpy(), weighed(pdf)).T
-        r = np.ascontiguousarray(r.astype(np.uint16 if r.max(initial=0) < 1 << 16 else np.uint32))
+        y = pdf["_y"].to_numpy()
+        r = np.empty((len(pdf), draws), np.uint32)
+        for at, w in weighed(pdf):
+            r[:, at] = _twice_ranks(y, w).T
+        if r.max(initial=0) < 1 << 16:
+            r = r.astype(np.uint16)
         return pdf[["_f", "_pos", "_x", "_kx", "_ky"]].assign(_r=[row.tobytes() for row in r])
 
     def products(pdf: pd.DataFrame) -> pd.DataFrame:
         f, k = pdf["_f"].iat[0], pdf["_kx"].iat[0]
-        n, w = starts.value[f][0], weighed(pdf)
-        keys, below, own = bins.value["_kx"][f]
-        at = np.searchsorted(keys, k)
-        a = below[at][:, None] + (own[at][:, None] if k % 2 else _twice_ranks(pdf["_x"].to_numpy(), w)) - n
-        keys, below, own = bins.value["_ky"][f]
-        at = np.searchsorted(keys, pdf["_ky"].to_numpy())
-        b = below[at] - n
+        n, x = starts.value[f][0], pdf["_x"].to_numpy()
+        keys, below_x = bins.value["_kx"][f]
+        at_x = np.searchsorted(keys, k)
+        keys, below_y = bins.value["_ky"][f]
+        at_y = np.searchsorted(keys, pdf["_ky"].to_numpy())
         single = pdf["_ky"].to_numpy() % 2 == 1
-        b[single] += own[at[single]]
         long_as = pdf["_r"].map(lambda r: 0 if r is None else len(r)).to_numpy()
+        inner = []
         for kept in (np.uint16, np.uint32):
             here = long_as == draws * np.dtype(kept).itemsize
             if here.any():
-                b[here] += np.frombuffer(b"".join(pdf["_r"][here]), kept).reshape(-1, draws)
-        # twice the ranks less their mean, which is the same for every replicate, as each has n rows
-        a, b, w = a.astype(float), b.T.astype(float), w.astype(float)
-        wa, wb = w * a, w * b
-        return pd.DataFrame({"_f": f, "_rep": np.arange(draws), "ab": (wa * b).sum(axis=1), "aa": (wa * a).sum(axis=1), "bb": (wb * b).sum(axis=1)})
+                inner.append((here, np.frombuffer(b"".join(pdf["_r"][here]), kept).reshape(-1, draws)))
+        sums = np.empty((3, draws))
+        for at, w in weighed(pdf):
+            low, high = (below_x[i, at].astype(np.int64)[:, None] for i in (at_x, at_x + 1))
+            # twice the ranks less their mean, which is the same for every replicate, as each has n rows
+            a = (low - n + ((high - low) // 2 if k % 2 else _twice_ranks(x, w))).astype(float)
+            b = below_y[at_y, at].astype(np.int64) - n
+            b[single] += (below_y[at_y[single] + 1, at] - below_y[at_y[single], at]) // 2
+            for here, ranks in inner:
+                b[here] += ranks[:, at]
+            b, w = b.T.astype(float), w.astype(float)
+            wa = w * a
+            sums[:, at] = (wa * b).sum(axis=1), (wa * a).sum(axis=1), (w * b * b).sum(axis=1)
+        return pd.DataFrame({"_f": f, "_rep": np.arange(draws), "ab": sums[0], "aa": sums[1], "bb": sums[2]})
 
     cols = f"_f {kind}, _pos long, _x double, _kx int, _ky int, _r binary"
     ranked = rows.where("_ky % 2 = 0").groupBy("_f", "_ky").applyInPandas(inner_ranks, cols)
