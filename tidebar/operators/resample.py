@@ -11,6 +11,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable, Iterator, Sequence
 from hashlib import md5
+from math import sin
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,10 @@ POISSON_CDF = (0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406, 0.999
 LANES = 4
 # rows of a group that are drawn from as one list
 PART = 8_192
+# md5s made in one go, a number whose words stay in a core's cache
+MD5S = 8_192
+# digests of a part that are held at once
+DRAWN = 500_000
 # rows drawn for at once, and groups whose sums a task holds
 ROWS, HELD = 512, 1_000
 
@@ -42,6 +47,87 @@ def poisson_weight(u: Column) -> Column:
     return sum((F.when(u >= p, 1).otherwise(0) for p in POISSON_CDF), F.lit(0))
 
 
+_MD5_SHIFTS = (7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)
+_MD5_SINES = [int(abs(sin(i + 1)) * 2**32) for i in range(64)]
+_MD5_START = 0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476
+
+
+def md5_blocks(words: list[np.ndarray | int]) -> tuple[np.ndarray, ...]:
+    """The four words of the md5 of messages of one padded block, given as sixteen words that are arrays or equal for all."""
+    shape = np.broadcast_shapes(*[np.shape(w) for w in words])
+    a, b, c, d = (np.full(shape, x, np.uint32) for x in _MD5_START)
+    f, t = np.empty(shape, np.uint32), np.empty(shape, np.uint32)
+    for i in range(64):
+        turn = i // 16
+        if turn == 0:
+            g = i
+            np.bitwise_xor(c, d, out=f)
+            f &= b
+            f ^= d
+        elif turn == 1:
+            g = (5 * i + 1) % 16
+            np.bitwise_xor(b, c, out=f)
+            f &= d
+            f ^= c
+        elif turn == 2:
+            g = (3 * i + 5) % 16
+            np.bitwise_xor(b, c, out=f)
+            f ^= d
+        else:
+            g = 7 * i % 16
+            np.bitwise_not(d, out=f)
+            f |= b
+            f ^= c
+        f += a
+        w = words[g]
+        if isinstance(w, np.ndarray):
+            f += w
+            f += np.uint32(_MD5_SINES[i])
+        else:
+            f += np.uint32((w + _MD5_SINES[i]) & 0xFFFFFFFF)
+        s = _MD5_SHIFTS[turn][i % 4]
+        np.right_shift(f, np.uint32(32 - s), out=t)
+        f <<= np.uint32(s)
+        f |= t
+        f += b
+        a, b, c, d, f = d, f, b, c, a
+    return tuple(x + np.uint32(y) for x, y in zip((a, b, c, d), _MD5_START))
+
+
+def numbered_digests(heads: Sequence[bytes], first: int, last: int) -> np.ndarray:
+    """md5 of every head with each number from ``first`` to before ``last`` behind it, as sixteen bytes each.
+
+    Messages of equal lengths go through numpy together; those longer than a block go one by one.
+    """
+    out = np.empty((len(heads), last - first, 16), np.uint8)
+    lengths = np.array([len(h) for h in heads])
+    ends = [str(n).encode() for n in range(first, last)]
+    widths = np.array([len(e) for e in ends])
+    for size in np.unique(lengths):
+        rows = np.flatnonzero(lengths == size)
+        for width in np.unique(widths):
+            reps = np.flatnonzero(widths == width)
+            total = int(size + width)
+            if total > 55:
+                for i in rows:
+                    for r in reps:
+                        out[i, r] = np.frombuffer(md5(heads[i] + ends[r]).digest(), np.uint8)
+                continue
+            head, tail = np.zeros((len(rows), 64), np.uint8), np.zeros((len(reps), 64), np.uint8)
+            head[:, :size] = np.frombuffer(b"".join(heads[i] for i in rows), np.uint8).reshape(len(rows), -1)
+            tail[:, size:total] = np.frombuffer(b"".join(ends[r] for r in reps), np.uint8).reshape(len(reps), -1)
+            tail[:, total] = 0x80
+            tail[:, 56:] = np.frombuffer((8 * total).to_bytes(8, "little"), np.uint8)
+            x, y = head.view("<u4"), tail.view("<u4")
+            step = max(1, MD5S // len(reps))
+            for a in range(0, len(rows), step):
+                part = x[a : a + step]
+                words = [part[:, k, None] | y[None, :, k] if part[:, k].any() else (y[None, :, k] if (y[:, k] != y[0, k]).any() else int(y[0, k])) for k in range(16)]
+                got = np.stack(md5_blocks(words), axis=2).astype("<u4")
+                out[rows[a : a + step, None], reps[None, :]] = got.view(np.uint8).reshape(len(part), len(reps), 16)
+    return out
+
+
 def _digests(heads: Sequence[str], blocks: int) -> bytes:
     """The md5 of every head with every block number behind it."""
     ends = [str(b).encode() for b in range(blocks)]
@@ -190,18 +276,40 @@ def _drawn_in_parts(sized: DataFrame, groups: list[str], draws: int) -> DataFram
     wide = int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def drawn(df: DataFrame) -> DataFrame:
-        rows = df.select(*groups, "_n", "_k", F.pmod(F.xxhash64("_row"), parts).alias("_part"), F.concat("_row", F.lit(":sub:")).alias("_row"), "_v")
+        rows = df.select(*groups, "_n", "_k", F.pmod(F.xxhash64("_row"), parts).alias("_part"), "_row", "_v")
         # a count of partitions keeps few bytes from being put into few tasks: the draws are the work
-        lists = rows.repartition(wide, *groups, "_part").groupBy(*groups, "_n", "_k", "_part").agg(F.collect_list(F.struct("_row", "_v")).alias("_rows"))
-        out = lists.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumns({"_take": F.least(F.col("_k"), F.size("_rows")), "_end": F.col("_rep").cast("string")})
-        key = lambda r: F.md5(F.concat(r["_row"], F.col("_end")))
-        keyed = lambda r: F.struct(key(r).alias("h"), r["_row"].alias("row"), r["_v"].alias("v"))
-        # keys are uniform, so those wanted lie below this bound; where they don't, all are sorted
-        share = (F.col("_take") + 6 * F.sqrt("_take") + 16) / F.size("_rows")
-        bound = F.when(share < 1, F.lower(F.lpad(F.hex(F.floor(share * 4294967296.0).cast("long")), 8, "0"))).otherwise("g")
-        out = out.withColumn("_bound", bound).withColumn("_low", F.transform(F.filter("_rows", lambda r: key(r) < F.col("_bound")), keyed))
-        found = F.when(F.size("_low") >= F.col("_take"), F.col("_low")).otherwise(F.transform("_rows", keyed))
-        return out.select(*groups, "_n", "_k", "_rep", F.slice(F.sort_array(found), F.lit(1), F.col("_take")).alias("_low"))
+        lists = rows.repartition(wide, *groups, "_part").groupBy(*groups, "_n", "_k", "_part").agg(F.sort_array(F.collect_list(F.struct("_row", "_v"))).alias("_rows"))
+        kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in lists.select(*groups).schema)
+        return lists.select(*groups, "_n", "_k", "_rows._row", "_rows._v").mapInArrow(run, f"{kinds}_n long, _k long, _rep int, _low array<struct<h: binary, row: string, v: double>>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g = len(groups)
+            for at in range(batch.num_rows):
+                n, k = (batch.column(g + i)[at].as_py() for i in range(2))
+                row, v = (batch.column(g + 2 + i)[at].values for i in range(2))
+                heads = [f"{r}:sub:".encode() for r in row.to_pylist()]
+                take = min(k, len(heads))
+                step = max(1, DRAWN // len(heads))
+                for first in range(0, draws, step):
+                    last = min(draws, first + step)
+                    h = numbered_digests(heads, first, last)
+                    key = np.ascontiguousarray(h[:, :, :8]).view(">u8")[:, :, 0].astype(np.uint64)
+                    # the first eight bytes and one row more tell the order but for equal ones
+                    at_most = min(take + 1, len(heads))
+                    low = np.argpartition(key, at_most - 1, axis=0)[:at_most]
+                    low = np.take_along_axis(low, np.argsort(np.take_along_axis(key, low, 0), axis=0), 0)
+                    tied = np.diff(np.take_along_axis(key, low, 0), axis=0) == 0
+                    low = np.ascontiguousarray(low[:take].T)
+                    for r in np.flatnonzero(tied.any(axis=0)):  # rows are in order, so equal digests keep it
+                        low[r] = sorted(range(len(heads)), key=lambda i: h[i, r].tobytes())[:take]
+                    flat = pa.array(low.ravel())
+                    bytes_of = pa.py_buffer(h[low, np.arange(last - first)[:, None]].tobytes())
+                    digests = pa.Array.from_buffers(pa.binary(), len(flat), [None, pa.py_buffer(np.arange(0, 16 * len(flat) + 1, 16, dtype=np.int32)), bytes_of])
+                    items = pa.StructArray.from_arrays([digests, row.take(flat), v.take(flat)], names=["h", "row", "v"])
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, take), pa.int32()), items)
+                    same = [batch.column(i).take(pa.array(np.full(last - first, at))) for i in range(g + 2)]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(first, last), pa.int32()), lists], names=[*groups, "_n", "_k", "_rep", "_low"])
 
     one = drawn(sized.where(parts == 1)).select(*groups, "_n", "_k", "_rep", F.col("_low.v").alias("_vs"))
     several = drawn(sized.where(parts > 1)).select(*groups, "_n", "_k", "_rep", F.inline("_low"))
